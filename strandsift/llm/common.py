@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
+    """``df`` as a compressed table in the shared folder, for wide rows that are read again. The folder's owner
+    removes it with the rest of the checkpoints."""
+    path = f"{ensure_shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A materialized ``df``, marked for broadcast if it has at most ``rows`` rows; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
