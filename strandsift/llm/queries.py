@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandsift.llm import decontaminate, packing, simhash, toxicity
+from strandsift.llm import decontaminate, html_text, packing, quality, sharding, simhash, toxicity
 from strandsift.llm.common import crc_remainder, table
 
 
@@ -36,8 +36,21 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), output="text")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_packing, op4_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_packing, op4_decontamination, op5_quality, op7_sharding, op8_html)}
 
 
 def oracle_sql() -> dict[str, str]:
