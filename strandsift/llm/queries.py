@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandsift.llm import decontaminate, html_text, packing, quality, sharding, simhash, toxicity
+from strandsift.llm import decontaminate, html_text, language, packing, pii, quality, sharding, simhash, toxicity
 from strandsift.llm.common import crc_remainder, table
 
 
@@ -49,8 +49,23 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(crc_remainder("doc_id", 3) != 1).select("doc_id", "text", "lang"))
+    out = language.identify(docs.select("doc_id", "text"), model, score="score")
+    return out.select("doc_id", F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_packing, op4_decontamination, op5_quality, op7_sharding, op8_html)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_packing, op4_decontamination, op5_quality, op7_sharding, op8_html, op9_pii, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
