@@ -17,7 +17,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     """Learnt from the labelled rows outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(crc_remainder("doc_id", 5) != 0)
-    return toxicity.fit(docs.join(labels, "doc_id").select(F.col("doc_id").alias("key"), "text", "label"))
+    return toxicity.fit(docs, labels)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

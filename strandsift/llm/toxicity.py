@@ -128,14 +128,17 @@ def _gram_counts(texts: DataFrame, kept: frozenset[str] | None) -> DataFrame:
     return texts.select("text", "label").mapInArrow(run, "gram string, toxic long, rows long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"))
 
 
-def fit(rows: DataFrame, sample_rows: int = 12_000, lexicon_size: int = 600) -> ToxicityModel:
-    """Learns from ``rows`` (key, text, label 0/1). At most ``sample_rows`` of them are used, the first in the order
-    of the key's hash; the lexicon keeps at most ``lexicon_size`` grams. Without both labels the score is the share of
-    toxic rows (0.0 of none)."""
-    spark = rows.sparkSession
-    rows = rows.where(F.col("label").isin(0, 1)).select("key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    chosen = rows.select("key", F.xxhash64(F.col("key").cast("string")).alias("h")).orderBy("h", "key").limit(sample_rows)
-    sample = materialize(rows.join(chosen.select("key").distinct(), "key", "left_semi").repartition(max(4, spark.sparkContext.defaultParallelism), "key"))
+def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_rows: int = 12_000, lexicon_size: int = 600) -> ToxicityModel:
+    """Learns from ``docs`` that ``labels`` (id column, label 0/1) marks. At most ``sample_rows`` labels are used, the
+    first in the order of the id's hash, so that the labels, and not the texts, travel to the join; the lexicon keeps
+    at most ``lexicon_size`` grams. Other labels, null ids and null labels teach nothing; a null text is an empty one.
+    Without both labels the score is the share of toxic rows (0.0 of none)."""
+    spark = docs.sparkSession
+    labels = labels.where(F.col("label").isin(0, 1)).select(F.col(id_column).alias("key"), F.col("label").cast("int").alias("label"))
+    chosen = labels.groupBy("key").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(sample_rows)
+    texts = docs.select(F.col(id_column).alias("key"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(chosen), "key")  # at most sample_rows keys
+    sample = materialize(sample.repartition(max(4, spark.sparkContext.defaultParallelism), "key"))
     total, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if toxic < 3 or total - toxic < 3:
         return ToxicityModel({}, None, None, toxic / total if total else 0.0)
