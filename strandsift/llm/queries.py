@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandsift.llm import decontaminate, html_text, language, packing, pii, quality, sharding, simhash, toxicity
+from strandsift.llm import decontaminate, html_text, language, licenses, packing, pii, quality, sharding, simhash, toxicity
 from strandsift.llm.common import crc_remainder, table
 
 
@@ -40,6 +40,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"), F.format_number(m["coverage"], 3))), ",")
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"), F.coalesce(F.array_max("matches.coverage"), F.lit(0.0)).alias("coverage"), spans.alias("spans"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -65,7 +71,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_packing, op4_decontamination, op5_quality, op7_sharding, op8_html, op9_pii, op10_language)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_packing, op4_decontamination, op5_quality, op6_licenses, op7_sharding, op8_html, op9_pii, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
