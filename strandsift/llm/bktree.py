@@ -60,6 +60,7 @@ class Forest:
                 hit = (d <= radius) & (node < query)
                 if hit.any():
                     yield query[hit], node[hit], d[hit]
+                # distinct fingerprints have no edge labelled 0
                 low = np.searchsorted(self.edge, node * _LABELS + np.maximum(d - radius, 1))
                 high = np.searchsorted(self.edge, node * _LABELS + np.minimum(d + radius, _LABELS - 1), "right")
                 count = high - low

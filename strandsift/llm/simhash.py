@@ -15,6 +15,7 @@ needs is bounded, while all trees together grow with the corpus."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandsift.llm.bktree import Forest, Union
-from strandsift.llm.common import encoded, materialize
+from strandsift.llm.common import encoded, materialize, small, stored
 from strandsift.llm.components import connected_components
 
 SEED = 42
@@ -151,9 +152,115 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return prints.join(named, "print").select(F.col("id").alias(id_column), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id", (F.col("rows") > 1).alias("is_copy"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the one whose id names the group. Rows with a null id
-    that are not known to repeat another stay."""
-    groups = near_duplicates(docs, id_column, text_column, words, radius)
-    out = groups.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("_dropped")).distinct()
+def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """The distinct XXH64 of a text's word shingles (fewer words: the whole sequence)."""
+    tokens = text.lower().split()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(tokens[i : i + words]), SEED) for i in range(max(1, len(tokens) - words + 1))], np.uint64)) if tokens else np.zeros(0, np.uint64)
+
+
+def _sampled_keys(rows: int, similarity: float, missed: float = 0.01, shard: int = 200) -> list[int]:
+    """Bit masks whose values name shards. Texts of Jaccard ``similarity`` differ in each bit with probability
+    acos(2J / (1 + J)) / pi, so a mask of b bits misses them with probability 1 - (1 - p)^b; there are as many masks as
+    leave ``missed`` of them. b follows the number of rows, so that a shard of unlike texts keeps its size."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = min(24, max(10, math.ceil(math.log2(max(rows, 1) / shard))))
+    count = math.ceil(math.log(missed) / math.log(1 - (1 - p) ** bits))
+    draw = np.random.default_rng(11)
+    return [sum(1 << int(b) for b in draw.choice(64, bits, replace=False)) for _ in range(count)]
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text", shard_rows: int = 4096) -> DataFrame:
+    """(node, component): the ids that have a near-duplicate, with the smallest id of their group.
+
+    Near-duplicates have a Jaccard similarity of at least ``similarity`` on distinct ``words``-word shingles. Ids must
+    be whole numbers; null ids are left out. SimHash of the distinct shingles gives candidates: texts with equal
+    shingle sets fold to one node; nodes meet in the shards of sampled bit masks (see _sampled_keys), where BK-trees
+    find the pairs within the radius that such a similarity leaves. From each shard come the links to a node's
+    nearest earlier node and a spanning forest, nearest first; each link is then verified on the shingle sets, and
+    components are taken over verified links alone."""
+    own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, whole = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
+            for i, text in enumerate(encoded(batch.column(1))):
+                hashes = _shingle_hashes(text, words)
+                prints[i] = majority(hashes)
+                whole[i] = np.bitwise_xor.reduce(hashes) + np.uint64(len(hashes)) if len(hashes) else 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(whole.view(np.int64))], names=["id", "print", "whole"])
+
+    sketches = materialize(own.mapInArrow(sketch, "id long, print long, whole long"))
+    nodes = materialize(sketches.groupBy("print", "whole").agg(F.min("id").alias("node")))
+    masks = _sampled_keys(nodes.count(), similarity)
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = round(64 * p + 1.7 * math.sqrt(64 * p * (1 - p)))
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keyed = nodes.select("node", "print", F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("print").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])).alias("shard"))
+    large = materialize(keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > shard_rows))
+    if not large.isEmpty():  # each two stripes of a large shard meet in a shard of their own
+        striped = keyed.join(large, "shard").withColumn("stripes", F.ceil(F.col("rows") * 2 / F.lit(shard_rows)).cast("int"))
+        striped = striped.withColumn("own", F.pmod(F.xxhash64("print"), F.col("stripes")).cast("int"))
+        meets = F.transform(F.sequence(F.lit(0), F.col("stripes") - 1), lambda t: F.xxhash64(F.col("shard"), F.least(F.col("own"), t), F.greatest(F.col("own"), t)))
+        keyed = keyed.join(large, "shard", "left_anti").select("node", "print", "shard").unionByName(striped.select("node", "print", F.explode(meets).alias("shard")))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, own, node = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            shard = np.r_[shard, batch.column(0).to_numpy(zero_copy_only=False)]
+            own = np.r_[own, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
+            node = np.r_[node, batch.column(2).to_numpy(zero_copy_only=False)]
+            if len(shard) >= 100_000 and shard[0] != shard[-1]:
+                cut = int(np.searchsorted(shard, shard[-1]))
+                yield _near_links(shard[:cut], own[:cut], node[:cut], radius)
+                shard, own, node = shard[cut:], own[cut:], node[cut:]
+        if len(shard):
+            yield _near_links(shard, own, node, radius)
+
+    keyed = keyed.select("shard", "print", "node").repartition("shard").sortWithinPartitions("shard", "print", "node")
+    edges = materialize(keyed.mapInArrow(near, "a long, b long").distinct())
+    linked = small(materialize(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                hashes = [np.unique(_shingle_hashes(t, words).astype(np.uint32)).view(np.int32) for t in encoded(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.list_(pa.int32()))], names=["id", "shingles"])
+
+    known = stored(own.join(linked, "id", "left_semi").mapInArrow(sets, "id long, shingles array<int>").dropDuplicates(["id"]))
+    pairs = edges.join(known.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    verified = pairs.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    folded = sketches.join(nodes, ["print", "whole"]).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    return connected_components(verified.unionByName(folded))
+
+
+def _near_links(shard: np.ndarray, prints: np.ndarray, node: np.ndarray, radius: int) -> pa.RecordBatch:
+    """(a, b) of nodes; rows come sorted by shard and print. Equal prints of a shard form a chain of links."""
+    first = np.r_[True, (shard[1:] != shard[:-1]) | (prints[1:] != prints[:-1])]
+    again = np.flatnonzero(~first)
+    a, b = [node[again]], [node[again - 1]]
+    at = np.flatnonzero(first)
+    forest, union = Forest(shard[at], prints[at]), Union(len(at))
+    for i, j, d in forest.search(radius):
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        nearest = np.r_[True, i[1:] != i[:-1]]
+        union.link(i[nearest], j[nearest])
+        rest = np.flatnonzero(~nearest)
+        rest = rest[np.argsort(d[rest], kind="stable")]
+        joins = rest[union.link(i[rest], j[rest])]
+        used = np.r_[np.flatnonzero(nearest), joins]
+        a.append(node[at[i[used]]])
+        b.append(node[at[j[used]]])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest id. Rows with a null id stay,
+    and so do rows that repeat one id."""
+    groups = similar_groups(docs, words, similarity, id_column, text_column)
+    out = groups.where("node <> component").select(F.col("node").alias("_dropped"))
     return docs.join(out, docs[id_column] == out["_dropped"], "left_anti")
