@@ -103,7 +103,8 @@ def align_all(queries: DataFrame, database: DataFrame, block_rows: int = 2000, *
 
     The queries come in blocks of at most ``block_rows``, broadcast one block after another."""
     queries = queries.select(F.col("id").alias("query_id"), F.col("seq").alias("query_seq"))
-    database = database.select(F.col("id").alias("db_id"), F.col("seq").alias("db_seq"))
+    # by id, so that a small table is not one task's; at any size the alignments cost far more than this shuffle
+    database = database.select(F.col("id").alias("db_id"), F.col("seq").alias("db_seq")).repartition("db_id")
     blocks = max(1, -(-queries.count() // block_rows))
     parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [queries]
     out = None

@@ -36,25 +36,22 @@ class KmerEncoder:
     def info(self) -> dict:
         return {"name": f"kmer-{self.k}", "hidden_size": self.dim, "num_layers": self.layers, "num_attention_heads": 0, "vocab_size": 26**self.k, "max_position_embeddings": None}
 
-    def _vector(self, token: str, cache: dict[str, np.ndarray]) -> np.ndarray:
-        if token not in cache:
-            raw = b"".join(xxhash.xxh64_digest(token.encode(), seed) for seed in range(-(-self.dim // 8)))
-            cache[token] = (np.frombuffer(raw, np.uint8)[: self.dim].astype(np.float32) - 127.5) / 127.5
-        return cache[token]
+    def _vector(self, token: str) -> np.ndarray:
+        raw = b"".join(xxhash.xxh64_digest(token.encode(), seed) for seed in range(-(-self.dim // 8)))
+        return (np.frombuffer(raw, np.uint8)[: self.dim].astype(np.float32) - 127.5) / 127.5
 
     def hidden(self, sequences: list[str], max_length: int = 1022, layer: int = -1) -> tuple[np.ndarray, np.ndarray]:
         if not -self.layers <= layer < self.layers:
             raise ValueError(f"layer {layer} of {self.layers}")
         width = 1 + layer % self.layers * (self.k - 1)  # deeper layers see more context
-        cache: dict[str, np.ndarray] = {}
         tokens = [["<s>", *(s[i : i + width] for i in range(min(len(s), max_length))), "</s>"] for s in sequences]
-        out = np.zeros((len(sequences), max(map(len, tokens), default=0), self.dim), np.float32)
-        mask = np.zeros(out.shape[:2], np.float32)
-        for r, row in enumerate(tokens):
-            for c, t in enumerate(row):
-                out[r, c] = self._vector(t, cache)
-            mask[r, : len(row)] = 1
-        return out, mask
+        place: dict[str, int] = {}
+        at = [[place.setdefault(t, len(place)) for t in row] for row in tokens]
+        table = np.stack([self._vector(t) for t in place]) if place else np.zeros((1, self.dim), np.float32)
+        longest = max(map(len, at), default=0)
+        index = np.array([row + [0] * (longest - len(row)) for row in at], np.int64).reshape(len(at), longest)
+        mask = (np.arange(longest) < np.array([len(row) for row in at])[:, None]).astype(np.float32)
+        return table[index] * mask[:, :, None], mask
 
 
 def pool(hidden: np.ndarray, mask: np.ndarray, how: str = "mean") -> np.ndarray:
@@ -81,7 +78,8 @@ def encode(df: DataFrame, encoder: Encoder, sequence: str = "seq", output: str =
                 vectors += [None if s is None else v.tolist() for s, v in zip(part, pool(hidden, mask, pooling), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*columns, output])
 
-    return df.select(columns).mapInArrow(run, schema)
+    # the work per byte is far above a shuffle's; a small table would otherwise be encoded in one task
+    return df.select(columns).repartition(sequence).mapInArrow(run, schema)
 
 
 def encode_single(spark, seq: str, encoder: Encoder, max_length: int = 1022) -> list[float]:

@@ -97,7 +97,7 @@ def search(queries: DataFrame, database: DataFrame, k: int = 10, strategy: str =
         strategy = "blocks" if rows * queries.count() > _NATIVE_PRODUCT / 64 else "native"
     if strategy == "native":
         # a small table is one file split; without this one core would do the whole product
-        database = database.repartition(queries.sparkSession.sparkContext.defaultParallelism)
+        database = database.repartition("id")
         scores = cosine_scores(queries, database)
         if exclude_self:
             scores = scores.where(~F.col("query_id").eqNullSafe(F.col("db_id")))
