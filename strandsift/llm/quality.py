@@ -107,11 +107,13 @@ def base_failed(base: Column) -> Column:
     return (base["n_words"] < 10) | (base["n_repeat_words"] * 100 > base["n_words"] * 20)
 
 
-def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, text_column: str = "text") -> list[Rule]:
-    """``rules`` ordered by rejection per cost, both measured on at most ``sample_rows`` rows."""
+def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, text_column: str = "text") -> list[Rule]:
+    """``rules`` ordered by rejection per cost, both measured on at most ``sample_rows`` rows that pass the base. They
+    are taken from the first partitions that yield them, so the sample's cost does not grow with the table."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    sample = docs.select(text.alias("text")).sample(0.1, 7).limit(sample_rows)
-    sample = materialize(sample.select("text", figures(F.col("text")).alias("base")).where(~base_failed(F.col("base"))).repartition(4))
+    found = docs.select(text.alias("text")).sample(0.2, 7).where(~base_failed(figures(F.col("text")))).take(sample_rows)
+    sample = materialize(spark.createDataFrame([(r.text,) for r in found], "text string").select("text", figures(F.col("text")).alias("base")))
 
     def measured(*columns: Column) -> tuple[float, tuple]:
         begun = time.perf_counter()
