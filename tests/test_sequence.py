@@ -1,0 +1,179 @@
+import gzip
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandsift import cli
+from strandsift.functions import sequence
+from strandsift.operators import encode, split
+from strandsift.sources import fasta, files
+
+
+def one(spark, value, make):
+    return spark.createDataFrame([(value,)], "s string").select(make(F.col("s")).alias("x")).first().x
+
+
+def coded(text, max_len=None):
+    codes = [sequence.ALPHABET.find(c) if c in sequence.ALPHABET else 20 for c in text]
+    return codes if max_len is None else (codes + [20] * max_len)[:max_len]
+
+
+@pytest.mark.parametrize("text", ["ACD*-X.bz1", "acd*-x.BZ1", "", "ARNDCQEGHILKMFPSTWYVXUOBZJ", "ß é", "$\\."])
+def test_codes(spark, text):
+    assert one(spark, text, sequence.encode) == coded(text)
+    for n in (0, 1, len(text) - 1, len(text), len(text) + 1):
+        if n >= 0:
+            assert one(spark, text, lambda s, n=n: sequence.encode(s, n)) == coded(text, n)
+    assert one(spark, text, lambda s: sequence.decode(sequence.encode(s))) == "".join(c if c in sequence.ALPHABET else "X" for c in text)
+
+
+def test_scalars(spark):
+    assert one(spark, " ab \t", sequence.strip_upper) == "AB"
+    assert one(spark, "ß", sequence.strip_upper) == "SS"
+    assert one(spark, "AC-D*", sequence.clean) == "ACD"
+    assert one(spark, "", sequence.is_valid) is True and one(spark, "A-", sequence.is_valid) is False
+    assert one(spark, None, sequence.encode) is None
+    assert one(spark, "A" * 161, sequence.wrap) == "A" * 80 + "\n" + "A" * 80 + "\nA"
+    assert one(spark, "A" * 80, sequence.wrap) == "A" * 80
+
+
+def parsed(text):
+    """The rules, in plain Python."""
+    out, name, body = [], None, []
+    for line in map(str.strip, text.splitlines()):
+        if line.startswith(">"):
+            if name is not None:
+                out.append((name, "".join(body)))
+            name, body = line[1:].split()[0], []
+        elif line:
+            body.append(line.upper())
+    return [*out, (name, "".join(body))] if name is not None else out
+
+
+EDGE = "before the first\n\n>s1 first record\n  fghi  \n\nKL M\n>s2\tafter a tab\r\nACD\r\n   >s4\n>  s5 x\nacß\n> s6\n\nQQ"
+
+
+def test_fasta_edges(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(EDGE)
+    with gzip.open(tmp_path / "b.fasta.gz", "wt") as f:
+        f.write(EDGE)
+    for name in ("a.fasta", "b.fasta.gz"):
+        got = [(r.id, r.seq) for r in fasta.read_fasta(spark, str(tmp_path / name)).orderBy("seq_no").collect()]
+        assert got == parsed(EDGE)
+    assert fasta.read_fasta(spark, str(tmp_path)).groupBy("path").count().count() == 2
+
+
+def test_fasta_over_many_splits(spark, tmp_path):
+    rows = [(f"r{i}", "ACDEFGHIKL" * (i % 50)) for i in range(400)]
+    path = tmp_path / "many.fasta"
+    path.write_text("".join(f">{n} x\n" + "".join(s[k : k + 60] + "\n" for k in range(0, len(s), 60)) for n, s in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = fasta.read_fasta(spark, str(path))
+        assert [(r.id, r.seq) for r in df.orderBy("seq_no").collect()] == rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_header_without_id(spark, tmp_path):
+    (tmp_path / "x.fasta").write_text(">\nACD\n")
+    with pytest.raises(Exception, match="without an id"):
+        fasta.read_fasta(spark, str(tmp_path / "x.fasta")).collect()
+    assert fasta.read_fasta(spark, str(tmp_path / "x.fasta"), "PERMISSIVE").first().id is None
+
+
+def test_write_filter_stats(spark, tmp_path):
+    df = spark.createDataFrame([(0, "a", "A" * 170), (1, "b", ""), (2, "c", "AC-"), (3, "d", None)], "seq_no long, id string, seq string")
+    fasta.write_fasta(df, str(tmp_path / "o"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "o").glob("part-*"))) == f">a\n{'A' * 80}\n{'A' * 80}\n{'A' * 10}\n>b\n>c\nAC-\n>d\n"
+    assert [r.id for r in fasta.filter_fasta(df).collect()] == ["a", "b"]
+    assert [r.id for r in fasta.filter_fasta(df, 3, 100, "AC-").collect()] == ["c"]
+    s = fasta.fasta_stats(df.where("seq is not null")).first()
+    assert (s["count"], s.min_len, s.max_len, s.total_residues) == (3, 0, 170, 173)
+    assert fasta.fasta_stats(df.limit(0)).first()["count"] == 0
+
+
+def test_datasets(spark, tmp_path):
+    for family, seqs in {"PF1": {"train": ["ACD"], "test": ["AAA", "--"]}, "PF2": {"dev": ["CCC"]}}.items():
+        for part, own in seqs.items():
+            (tmp_path / family).mkdir(exist_ok=True)
+            (tmp_path / family / f"{part}.fasta").write_text("".join(f">{family}{part}{i}\n{s}\n" for i, s in enumerate(own)))
+    got = sorted((r.family, r.split, r.label, r.seq, len(r.codes)) for r in fasta.family_dataset(spark, str(tmp_path), max_len=5).collect())
+    assert got == [("PF1", "test", 0, "AAA", 5), ("PF1", "train", 0, "ACD", 5), ("PF2", "dev", 1, "CCC", 5)]
+    assert fasta.family_dataset(spark, str(tmp_path), "train").count() == 1
+    (tmp_path / "s.fasta").write_text(">a\nA-C\n>b\n---\n>c\nDD\n")
+    path = str(tmp_path / "s.fasta")
+    assert [r.seq for r in fasta.load_sequences(spark, path).orderBy("seq_no").collect()] == ["AC", "DD"]
+    assert fasta.load_sequences(spark, path, 1).count() == 1 and fasta.load_sequences(spark, path, 0).count() == 2
+    assert fasta.sequence_dataset(spark, path, 4).orderBy("seq_no").first().codes == [0, 4, 20, 20]
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 10, 11, 1000])
+def test_split_sizes(spark, n):
+    df = spark.range(n)
+    parts = {r.split: r["count"] for r in split.train_val_split(df).groupBy("split").count().collect()}
+    assert (parts.get("val", 0), parts.get("train", 0)) == (int(n * 0.1), n - int(n * 0.1))
+    three = {r.split: r["count"] for r in split.three_way_split(df).groupBy("split").count().collect()}
+    assert (three.get("train", 0), three.get("val", 0)) == (int(n * 0.8), int(n * 0.1)) and sum(three.values()) == n
+
+
+def test_ranks_pairs_batches(spark):
+    df = spark.range(100).withColumnRenamed("id", "seq_no").withColumn("id", F.col("seq_no")).withColumn("seq", F.when(F.col("seq_no") == 1, "").otherwise("AC"))
+    shuffled = [r.id for r in split.shuffled(spark.range(100)).orderBy("position").collect()]
+    assert sorted(shuffled) == list(range(100)) and shuffled != list(range(100))
+    got = [(r.i, r.j) for r in split.pair_product(df.where("seq_no < 4"), df.where("seq_no < 5"), 6).orderBy("i", "j").collect()]
+    assert got == [(i, j) for i in (0, 2, 3) for j in (0, 2, 3, 4)][:6]
+    assert split.pair_product(df.where("seq_no < 4"), df.where("seq_no < 5"), 0, seed=3).count() == 12
+    b = split.batches(df, 32, width=7).orderBy("batch").collect()
+    assert [len(r.rows) for r in b] == [32, 32, 32, 4] and [x.seq_no for x in b[1].rows] == list(range(32, 64))
+    labels = {r.family: r.label for r in split.dense_label(spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "family string")).collect()}
+    assert labels == {None: 0, "a": 1, "b": 2}
+    assert split.difference(spark.range(5), spark.range(3)).count() == 2
+
+
+def test_encoder(spark):
+    e = encode.load_encoder("kmer", dim=16)
+    df = spark.createDataFrame([(0, "ACDE"), (1, None), (2, ""), (3, "ACDEACDE")], "id long, seq string")
+    got = {r.id: r.embedding for r in encode.encode(df, e, batch_size=2).collect()}
+    assert got[1] is None and len(got[0]) == 16 and got[0] != got[3]
+    assert encode.encode_single(spark, "ACDE", e) == pytest.approx(got[0], abs=1e-6)
+    cut = {r.id: r.embedding for r in encode.encode(df, e, max_length=2).collect()}
+    assert cut[0] != got[0]
+    assert encode.encode(df, e, pooling="cls").count() == 4 and encode.encode(df, e, layer=0).count() == 4
+    with pytest.raises(ValueError, match="pooling"):
+        encode.encode(df, e, pooling="max")
+    assert encode.model_info("kmer", dim=16)["hidden_size"] == 16
+
+
+def test_files_and_commands(spark, tmp_path, capsys):
+    (tmp_path / "r.json").write_text("[[1, 2, 3], [4, 4, 5], [], [6]]")
+    (tmp_path / "g.json").write_text("[[2, 9], [4], [7], []]")
+    cli.main(["evaluate", "--retrieved", str(tmp_path / "r.json"), "--relevant", str(tmp_path / "g.json"), "--output", str(tmp_path / "m")], spark)
+    assert "mrr: 0.3750" in capsys.readouterr().out
+    assert {r.metric: r.value for r in files.load_metrics(spark, str(tmp_path / "m")).collect()}["mrr"] == 0.375
+    (tmp_path / "f.fasta").write_text("".join(f">s{i}\n{'ACD' * (i + 1)}\n" for i in range(20)))
+    f = str(tmp_path / "f.fasta")
+    cli.main(["stats", f], spark)
+    assert "count: 20" in capsys.readouterr().out
+    cli.main(["filter", f, "-o", str(tmp_path / "kept"), "--max-len", "9"], spark)
+    assert fasta.read_fasta(spark, str(tmp_path / "kept")).count() == 3
+    cli.main(["split", f, "--train", str(tmp_path / "a"), "--val", str(tmp_path / "b"), "--test", str(tmp_path / "c")], spark)
+    assert [fasta.read_fasta(spark, str(tmp_path / x)).count() for x in "abc"] == [16, 2, 2]
+    cli.main(["batches", "--fasta", f], spark)
+    encode.encode_fasta(spark, f, str(tmp_path / "e"), encode.KmerEncoder(8))
+    assert files.load_embeddings(spark, str(tmp_path / "e")).count() == 20
+    np.savez_compressed(tmp_path / "x.npz", embeddings=np.eye(3, dtype=np.float32), sequence_ids=np.array(["a", "b", "c"]))
+    assert [r.id for r in files.import_npz(spark, str(tmp_path / "x.npz")).orderBy("row").collect()] == ["a", "b", "c"]
+
+
+def test_synthetic_and_timing(spark):
+    from strandsift.plans import timing
+
+    assert files.random_vectors(spark, 10, 4).count() == 10
+    assert {len(r.seq) for r in files.random_sequences(spark, 5, 33).collect()} == {33}
+    assert files.random_indices(spark, 3, 4, 7).where("db_id < 0 or db_id >= 7").count() == 0
+    got = timing.benchmark_topk(spark, 2, 50, 3, 4, warmup=0, iterations=1)
+    assert got["seconds"] > 0 and got["benchmark"] == "topk"
