@@ -24,26 +24,40 @@ DROPPED = frozenset("nav header footer aside form head menu dialog button figure
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 dt dd".split())
-#: Words of class, id and role that name what is no article.
+#: Parts of class, id and role names that name what is no article; whole names that do; and parts that
+#: turn a name into its opposite or into a mere frame of it.
 UNWANTED = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation navbox menu menubar breadcrumb breadcrumbs
-header masthead footer sidebar aside rail widget comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay
-newsletter subscribe subscription signup login share sharing social related recommended recommendations toolbar pagination pager skip hidden contentinfo complementary search""".split())
+header masthead footer sidebar aside comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay
+newsletter subscribe subscription signup login share sharing social related recommended recommendations toolbar pagination pager contentinfo complementary search""".split())
+UNWANTED_NAMES = frozenset("hidden widget rail skip".split())
+NEGATING = frozenset("has have with no not without is wrapper layout".split())
 
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|!--|[!?/])")
-_NAME = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!-)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_NAME = re.compile(r"(?<![\w-])(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
+_HIDDEN = re.compile(r"(?<![\w-])hidden(?=$|[\s=/])(?!\s*=\s*[\"']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PART = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _unwanted(name: str, attributes: str) -> bool:
+def _names(attributes: str) -> list[str]:
+    return [n for m in _NAME.finditer(attributes) for n in next(filter(None, m.groups()), "").lower().split()]
+
+
+def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is no part of the article, by its own name or by those it was given. An article's own header
+    holds its title; a paragraph goes only if all its names say so."""
     if name in DROPPED:
-        return True
-    if not attributes or name in ("body", "html", "article", "main"):
+        return not (in_article and name in ("header", "figure"))
+    if not attributes or name in ("body", "html", "main"):
         return False
     if _HIDDEN.search(attributes):
         return True
-    return any(p in UNWANTED for m in _NAME.finditer(attributes) for p in _PART.findall(next(filter(None, m.groups()), "").lower()))
+    told = []
+    for one in _names(attributes):
+        parts = set(_PART.findall(one))
+        bad = parts & UNWANTED - ({"header"} if in_article else set())
+        told.append(one in UNWANTED_NAMES or bool(bad) and not parts & NEGATING)
+    return bool(told) and (all(told) if name in CLOSED_BY_BLOCK else any(told))
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
@@ -120,7 +134,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 links = 0 if closing else 1
             elif name == "br":
                 say(" ")
-            elif not closing and name not in VOID and _unwanted(name, attributes):
+            elif not closing and name not in VOID and _unwanted(name, attributes, articles > 0):
                 shut = _inline_end(page, name, at)
                 at = shut if shut is not None else at
             continue
@@ -138,11 +152,15 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             close(len(stack) - 1)
         if name in ("li", "option", "tr", "td", "th") and stack and stack[-1][0] == name:
             close(len(stack) - 1)
-        if not attributes.rstrip().endswith("/") or name not in ("embed",):
-            bad = _unwanted(name, attributes) and not (name in ("header", "figure") and articles and not unwanted)
-            stack.append((name, bad))
-            unwanted += bad
-            articles += name in ("article", "main")
+        if name in ("article", "main"):
+            for depth, (outer, _) in enumerate(stack):
+                if outer == "nav":  # never closed
+                    close(depth)
+                    break
+        bad = _unwanted(name, attributes, articles > 0)
+        stack.append((name, bad))
+        unwanted += bad
+        articles += name in ("article", "main")
     flush()
     return out
 

@@ -35,6 +35,9 @@ PAGES = {
     "odd signs": ("<article><p>1 < 2 and 3 > 2 <3</p></article>", "1 < 2 and 3 > 2 <3"),
     "open comment": ("<article><p>a</p><!-- never closed <p>b</p></article>", "a"),
     "hidden": ('<article><p>a</p><div style="display: none"><p>b</p></div><p hidden>c</p></article>', "a"),
+    "menu never closed": (f"<nav><ul><li><a>x</a></ul><article>{BODY}</article>", MAIN),
+    "frames keep": (f'<div class="layout has-sidebar overflow-hidden"><div class="main-content"><article class="post"><div class="entry-header"><h1>T</h1></div><p data-role="comment" class="lead share">a</p>{BODY}<p class="ad">b</p></article></div><div class="right-sidebar">{BODY}</div></div>', f"T\n\na\n\n{MAIN}"),
+    "readers' articles": (f'<main><article><h1>A</h1>{BODY}</article><section id="comments"><article class="comment"><p>mine</p></article></section></main>', f"A\n\n{MAIN}"),
     "nothing": ("<nav>menu</nav>", ""),
     "plain": ("", ""),
 }
