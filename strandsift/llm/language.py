@@ -26,6 +26,11 @@ _PIECE = 30
 UNKNOWN = "und"
 
 
+def letters(text: str) -> list[str]:
+    """The lower-cased words of a text that have a letter."""
+    return [w for w in _WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def pieces(word: str) -> list[bytes]:
     data = word.encode("utf-8", "replace")
     return [b" " + data[k : k + _PIECE] + b" " for k in range(0, len(data), _PIECE)]
@@ -187,7 +192,7 @@ class LanguageModel:
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The most probable language of each text and its share of the pooled probability; ``und`` and 0.0 for a text
         without letters or a model without languages."""
-        counts = [Counter(_WORD.findall(t.lower())) for t in texts]
+        counts = [Counter(letters(t)) for t in texts]
         words = set().union(*counts) if counts else set()
         if self.network is None or not words:
             only = self.languages[0] if len(self.languages) == 1 else UNKNOWN
@@ -220,7 +225,7 @@ def fit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", k
         for batch in batches:
             counts: dict[str, Counter] = {}
             for text, lang in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+                counts.setdefault(lang, Counter()).update(letters(text))
             rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 

@@ -123,6 +123,7 @@ class Plan:
     def __init__(self, totals: dict[str, int], weights: dict[str, float] | None, length: int):
         self.length = length
         self.names = list(totals)
+        self.place = {n: s for s, n in enumerate(self.names)}
         total = np.array([totals[n] for n in self.names], object)
         share = np.array([(weights or totals)[n] for n in self.names], float)
         share = share / share.sum() if share.sum() else np.full(len(share), 1 / max(len(share), 1))
@@ -148,7 +149,7 @@ class Plan:
 
     def pieces(self, queue: str, start: int, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start in the document, length, window, offset) of what lies at ``start`` to ``start + tokens`` of a queue."""
-        s = self.names.index(queue)
+        s = self.place[queue]
         rate = int(self.edges[s + 1] - self.edges[s])
         mixed = int(self._served(s, np.array([self.full]))[0])
         at = []

@@ -90,6 +90,7 @@ def test_odd_rows(odd, empty, model):
     assert got.count() == odd.count() and language.identify(empty, model).count() == 0
     rows = {r.doc_id: r for r in got.where("doc_id is not null").collect()}
     assert all((rows[i].lang_pred, rows[i].lang_score) == ("und", 0.0) for i in (3, 4, 5))
+    assert model.predict(["\u00b2 12 _ \u2167", "\u00b2a"])[0][0] == "und" != model.predict(["\u00b2a"])[0][0]
     assert all(rows[i].lang_pred in model.languages for i in (1, 6, 7, 8))
 
 
