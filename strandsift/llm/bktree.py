@@ -1,4 +1,4 @@
-"""Forests of BK-trees over 64-bit fingerprints, built and searched a level at a time in numpy.
+"""Forests of BK-trees over fingerprints of one or more 64-bit words, built and searched a level at a time in numpy.
 
 In a BK-tree a child hangs from its parent by an edge labelled with their Hamming distance. By the triangle
 inequality, a search within radius r that stands at distance d from a node needs to follow only the edges labelled
@@ -10,11 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_LABELS = 65
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).astype(np.int64)
+    """Differing bits of the rows of two arrays (rows, words)."""
+    out = np.bitwise_count(a[:, 0] ^ b[:, 0]).astype(np.int64)
+    for k in range(1, a.shape[1]):
+        out += np.bitwise_count(a[:, k] ^ b[:, k])
+    return out
 
 
 class Forest:
@@ -22,7 +25,9 @@ class Forest:
 
     def __init__(self, shard: np.ndarray, prints: np.ndarray):
         n = len(prints)
+        prints = prints.reshape(n, -1)
         self.prints = prints
+        self.labels = labels = 64 * prints.shape[1] + 1
         first = np.r_[True, shard[1:] != shard[:-1]] if n else np.zeros(0, bool)
         starts = np.flatnonzero(first)
         self.sizes = np.diff(np.r_[starts, n])
@@ -31,7 +36,7 @@ class Forest:
         active = np.flatnonzero(~first)
         keys, nodes = [], []
         while len(active):
-            label = at[active] * _LABELS + hamming(prints[active], prints[at[active]])
+            label = at[active] * labels + hamming(prints[active], prints[at[active]])
             key, place, group = np.unique(label, return_index=True, return_inverse=True)
             keys.append(key)
             nodes.append(active[place])
@@ -45,9 +50,9 @@ class Forest:
         self.child = (np.concatenate(nodes) if nodes else np.zeros(0, np.int64))[order]
 
     def search(self, radius: int, budget: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Pairs (i, j, distance), i > j, of one shard within ``radius``, in pieces: as many queries at a time as can
-        visit at most about ``budget`` nodes."""
-        n = len(self.prints)
+        """Pairs (i, j, distance), i > j, of one shard within ``radius``, in pieces: all pairs of as many queries i at
+        a time as can visit at most about ``budget`` nodes."""
+        n, labels = len(self.prints), self.labels
         load = np.cumsum(np.repeat(self.sizes, self.sizes))
         begin = 0
         while begin < n:
@@ -55,14 +60,15 @@ class Forest:
             query = np.arange(begin, end)
             node = self.root[query]
             begin = end
+            found = []
             while len(query):
                 d = hamming(self.prints[query], self.prints[node])
                 hit = (d <= radius) & (node < query)
                 if hit.any():
-                    yield query[hit], node[hit], d[hit]
+                    found.append((query[hit], node[hit], d[hit]))
                 # distinct fingerprints have no edge labelled 0
-                low = np.searchsorted(self.edge, node * _LABELS + np.maximum(d - radius, 1))
-                high = np.searchsorted(self.edge, node * _LABELS + np.minimum(d + radius, _LABELS - 1), "right")
+                low = np.searchsorted(self.edge, node * labels + np.maximum(d - radius, 1))
+                high = np.searchsorted(self.edge, node * labels + np.minimum(d + radius, labels - 1), "right")
                 count = high - low
                 to = np.cumsum(count)
                 total = int(to[-1]) if len(to) else 0
@@ -70,6 +76,8 @@ class Forest:
                     break
                 query = np.repeat(query, count)
                 node = self.child[np.arange(total) + np.repeat(low - (to - count), count)]
+            if found:
+                yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class Union:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandsift.llm.bktree import Forest, Union
@@ -50,13 +50,25 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return majority(hashes)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The 64-bit number whose bits are set in over half of ``hashes``."""
+def _counts(hashes: np.ndarray) -> np.ndarray:
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65536):
         part = hashes[k : k + 65536]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return counts
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit number whose bits are set in over half of ``hashes``."""
+    return int(np.packbits(_counts(hashes) * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def _remixed(hashes: np.ndarray) -> np.ndarray:
+    """Second hashes, made of the first by a bijective mixer."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4) -> DataFrame:
@@ -113,7 +125,7 @@ def links(prints: DataFrame, radius: int, shard_rows: int = 4096) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(shard: np.ndarray, own: np.ndarray):
-            forest, union = Forest(shard, own), Union(len(own))
+            forest, union = Forest(shard, own[:, None]), Union(len(own))
             for i, j, _ in forest.search(radius):
                 union.link(i, j)
             moved = np.flatnonzero(union.to != np.arange(len(own)))
@@ -159,66 +171,81 @@ def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(tokens[i : i + words]), SEED) for i in range(max(1, len(tokens) - words + 1))], np.uint64)) if tokens else np.zeros(0, np.uint64)
 
 
-def _sampled_keys(rows: int, similarity: float, missed: float = 0.01, shard: int = 200) -> list[int]:
-    """Bit masks whose values name shards. Texts of Jaccard ``similarity`` differ in each bit with probability
-    acos(2J / (1 + J)) / pi, so a mask of b bits misses them with probability 1 - (1 - p)^b; there are as many masks as
-    leave ``missed`` of them. b follows the number of rows, so that a shard of unlike texts keeps its size."""
+_WIDTH = 128
+
+
+def _sampled_keys(rows: int, similarity: float, missed: float = 0.005, shard: int = 800) -> tuple[list[tuple[int, int]], int]:
+    """(masks, radius). Texts of Jaccard ``similarity`` J differ in each bit with probability acos(2J / (1 + J)) / pi,
+    so their distance is binomial. The radius is 3 of its standard deviations above its mean. A mask of b bits
+    (two 64-bit words) names a shard by the bits' values; there are as many masks as leave ``missed`` of the pairs at
+    exactly that similarity without a shard in common. b follows the number of rows, so that a shard of unlike texts
+    keeps its size."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = min(24, max(10, math.ceil(math.log2(max(rows, 1) / shard))))
-    count = math.ceil(math.log(missed) / math.log(1 - (1 - p) ** bits))
+    bits = min(24, max(9, math.ceil(math.log2(max(rows, 1) / shard))))
+    d = range(_WIDTH - bits)
+    share = np.array([math.comb(_WIDTH, x) * p**x * (1 - p) ** (_WIDTH - x) for x in d])
+    agree = np.array([math.comb(_WIDTH - x, bits) / math.comb(_WIDTH, bits) for x in d])
+    count = 1
+    while share @ (1 - agree) ** count > missed:
+        count += 1
     draw = np.random.default_rng(11)
-    return [sum(1 << int(b) for b in draw.choice(64, bits, replace=False)) for _ in range(count)]
+    masks = [sum(1 << int(b) for b in draw.choice(_WIDTH, bits, replace=False)) for _ in range(count)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return [(signed(m & (2**64 - 1)), signed(m >> 64)) for m in masks], round(_WIDTH * p + 3 * math.sqrt(_WIDTH * p * (1 - p)))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text", shard_rows: int = 4096) -> DataFrame:
     """(node, component): the ids that have a near-duplicate, with the smallest id of their group.
 
     Near-duplicates have a Jaccard similarity of at least ``similarity`` on distinct ``words``-word shingles. Ids must
-    be whole numbers; null ids are left out. SimHash of the distinct shingles gives candidates: texts with equal
-    shingle sets fold to one node; nodes meet in the shards of sampled bit masks (see _sampled_keys), where BK-trees
-    find the pairs within the radius that such a similarity leaves. From each shard come the links to a node's
-    nearest earlier node and a spanning forest, nearest first; each link is then verified on the shingle sets, and
-    components are taken over verified links alone."""
+    be whole numbers; null ids are left out. A SimHash of 128 bits over the distinct shingles gives candidates: texts
+    with equal shingle sets fold to one node, nodes with equal fingerprints to one print; prints meet in the shards of
+    sampled bit masks (see _sampled_keys), where BK-trees find the pairs within the radius that such a similarity
+    leaves. From each shard come a print's two nearest and a spanning forest of those pairs: a few links for each print
+    whatever the size of its group. Every link is then verified on the shingle sets, and components are taken over verified links alone."""
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, whole = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
+            p, q, whole = np.zeros((3, batch.num_rows), np.uint64)
             for i, text in enumerate(encoded(batch.column(1))):
                 hashes = _shingle_hashes(text, words)
-                prints[i] = majority(hashes)
+                p[i], q[i] = majority(hashes), majority(_remixed(hashes))
                 whole[i] = np.bitwise_xor.reduce(hashes) + np.uint64(len(hashes)) if len(hashes) else 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(whole.view(np.int64))], names=["id", "print", "whole"])
-
-    sketches = materialize(own.mapInArrow(sketch, "id long, print long, whole long"))
-    nodes = materialize(sketches.groupBy("print", "whole").agg(F.min("id").alias("node")))
-    masks = _sampled_keys(nodes.count(), similarity)
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = round(64 * p + 1.7 * math.sqrt(64 * p * (1 - p)))
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = nodes.select("node", "print", F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("print").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])).alias("shard"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in (p, q, whole))], names=["id", "p", "q", "whole"])
+
+    sketches = materialize(own.mapInArrow(sketch, "id long, p long, q long, whole long"))
+    nodes = materialize(sketches.groupBy("p", "q", "whole").agg(F.min("id").alias("node")))
+    prints = materialize(nodes.groupBy("p", "q").agg(F.min("node").alias("node")))
+    masks, radius = _sampled_keys(prints.count(), similarity)
+    shards = F.array(*[F.xxhash64(F.lit(k), F.col("p").bitwiseAND(F.lit(m)), F.col("q").bitwiseAND(F.lit(n))) for k, (m, n) in enumerate(masks)])
+    keyed = prints.select("p", "q", "node", F.explode(shards).alias("shard"))
     large = materialize(keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > shard_rows))
     if not large.isEmpty():  # each two stripes of a large shard meet in a shard of their own
         striped = keyed.join(large, "shard").withColumn("stripes", F.ceil(F.col("rows") * 2 / F.lit(shard_rows)).cast("int"))
-        striped = striped.withColumn("own", F.pmod(F.xxhash64("print"), F.col("stripes")).cast("int"))
+        striped = striped.withColumn("own", F.pmod(F.xxhash64("p", "q"), F.col("stripes")).cast("int"))
         meets = F.transform(F.sequence(F.lit(0), F.col("stripes") - 1), lambda t: F.xxhash64(F.col("shard"), F.least(F.col("own"), t), F.greatest(F.col("own"), t)))
-        keyed = keyed.join(large, "shard", "left_anti").select("node", "print", "shard").unionByName(striped.select("node", "print", F.explode(meets).alias("shard")))
+        keyed = keyed.join(large, "shard", "left_anti").select("p", "q", "node", "shard").unionByName(striped.select("p", "q", "node", F.explode(meets).alias("shard")))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, own, node = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        kept = [np.zeros(0, np.int64)] * 4
         for batch in batches:
-            shard = np.r_[shard, batch.column(0).to_numpy(zero_copy_only=False)]
-            own = np.r_[own, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
-            node = np.r_[node, batch.column(2).to_numpy(zero_copy_only=False)]
+            kept = [np.r_[a, batch.column(k).to_numpy(zero_copy_only=False)] for k, a in enumerate(kept)]
+            shard = kept[0]
             if len(shard) >= 100_000 and shard[0] != shard[-1]:
                 cut = int(np.searchsorted(shard, shard[-1]))
-                yield _near_links(shard[:cut], own[:cut], node[:cut], radius)
-                shard, own, node = shard[cut:], own[cut:], node[cut:]
-        if len(shard):
-            yield _near_links(shard, own, node, radius)
-
-    keyed = keyed.select("shard", "print", "node").repartition("shard").sortWithinPartitions("shard", "print", "node")
-    edges = materialize(keyed.mapInArrow(near, "a long, b long").distinct())
+                yield _near_links(*(a[:cut] for a in kept), radius)
+                kept = [a[cut:] for a in kept]
+        if len(kept[0]):
+            yield _near_links(*kept, radius)
+
+    keyed = keyed.select("shard", "p", "q", "node").repartition("shard").sortWithinPartitions("shard", "p", "q")
+    across = keyed.mapInArrow(near, "a long, b long")
+    # texts of one print: each with the print's first node, and with the one before it
+    named = nodes.join(prints.withColumnRenamed("node", "first"), ["p", "q"]).where("node <> first")
+    named = named.withColumn("before", F.lag("node").over(Window.partitionBy("p", "q").orderBy("node")))
+    same = named.select(F.col("node").alias("b"), F.explode(F.array("first", "before")).alias("a")).where("a is not null").select("a", "b")
+    edges = materialize(across.unionByName(same).distinct())
     linked = small(materialize(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,39 +255,41 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
                 hashes = [np.unique(_shingle_hashes(t, words).astype(np.uint32)).view(np.int32) for t in encoded(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.list_(pa.int32()))], names=["id", "shingles"])
 
-    known = stored(own.join(linked, "id", "left_semi").mapInArrow(sets, "id long, shingles array<int>").dropDuplicates(["id"]))
+    known = stored(own.join(linked, "id", "left_semi").mapInArrow(sets, "id long, shingles array<int>"))
     pairs = edges.join(known.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     verified = pairs.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    folded = sketches.join(nodes, ["print", "whole"]).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    folded = sketches.join(nodes, ["p", "q", "whole"]).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     return connected_components(verified.unionByName(folded))
 
 
-def _near_links(shard: np.ndarray, prints: np.ndarray, node: np.ndarray, radius: int) -> pa.RecordBatch:
-    """(a, b) of nodes; rows come sorted by shard and print. Equal prints of a shard form a chain of links."""
-    first = np.r_[True, (shard[1:] != shard[:-1]) | (prints[1:] != prints[:-1])]
-    again = np.flatnonzero(~first)
-    a, b = [node[again]], [node[again - 1]]
-    at = np.flatnonzero(first)
-    forest, union = Forest(shard[at], prints[at]), Union(len(at))
+def _near_links(shard: np.ndarray, p: np.ndarray, q: np.ndarray, node: np.ndarray, radius: int, nearest: int = 2) -> pa.RecordBatch:
+    """(a, b) of nodes, distinct: for each print its ``nearest`` nearest ones of those found together, and a spanning
+    forest of each shard; rows come sorted by shard, and prints of a shard differ."""
+    prints = np.column_stack([p.view(np.uint64), q.view(np.uint64)])
+    forest, union = Forest(shard, prints), Union(len(prints))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j, d in forest.search(radius):
-        order = np.lexsort((j, d, i))
-        i, j, d = i[order], j[order], d[order]
-        nearest = np.r_[True, i[1:] != i[:-1]]
-        union.link(i[nearest], j[nearest])
-        rest = np.flatnonzero(~nearest)
-        rest = rest[np.argsort(d[rest], kind="stable")]
-        joins = rest[union.link(i[rest], j[rest])]
-        used = np.r_[np.flatnonzero(nearest), joins]
-        a.append(node[at[i[used]]])
-        b.append(node[at[j[used]]])
+        x, y, e = np.r_[i, j], np.r_[j, i], np.r_[d, d]
+        order = np.lexsort((y, e, x))
+        x, y = x[order], y[order]
+        start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        rank = np.arange(len(x)) - np.repeat(start, np.diff(np.r_[start, len(x)]))
+        x, y = x[rank < nearest], y[rank < nearest]
+        union.link(x, y)
+        by_distance = np.argsort(d, kind="stable")
+        i, j = i[by_distance], j[by_distance]
+        joins = union.link(i, j)
+        a.append(node[np.r_[x, i[joins]]])
+        b.append(node[np.r_[y, j[joins]]])
     a, b = np.concatenate(a), np.concatenate(b)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest id. Rows with a null id stay,
     and so do rows that repeat one id."""
     groups = similar_groups(docs, words, similarity, id_column, text_column)
-    out = groups.where("node <> component").select(F.col("node").alias("_dropped"))
+    out = small(materialize(groups.where("node <> component").select(F.col("node").alias("_dropped"))))
     return docs.join(out, docs[id_column] == out["_dropped"], "left_anti")
