@@ -136,14 +136,12 @@ def _shingle_counts(docs: DataFrame, wanted: set[tuple[bytes, ...]]) -> DataFram
     return docs.select("text").mapInArrow(run, "shingle binary, rows long").groupBy("shingle").agg(F.sum("rows").alias("rows"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_windows: int = 200_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """For each row of ``docs``: the id, n_words, n_hit, items (array of the item ids found, as text, sorted), hit_spans
-    (array of [first word, end word) of the merged hits).
+_ADDED = "_contamination"
 
-    Null and empty texts have no words and no hits; items that are null, empty or have no word are never found; an
-    item id that occurs in several rows counts once, with the windows of all of them; a null item id is left out; an
-    empty benchmark finds nothing; other columns are ignored."""
-    base = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+
+def mark(docs: DataFrame, items: DataFrame, window: int = 10, block_windows: int = 200_000, text_column: str = "text") -> DataFrame:
+    """``docs`` with a column _contamination: struct(items, spans, n_words), as contamination() describes. Rows stay
+    where they are; nothing of ``docs`` is shuffled."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,32 +150,46 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_win
 
     cuts = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "item string, window binary")
     windows = materialize(cuts.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")))
-    count = windows.count()
-    blocks = max(1, -(-count // block_windows))
-    kind = docs.schema[id_column].dataType.simpleString()
-    out = base.select("id", "text", F.expr("cast(array() as array<string>)").alias("items"), F.expr("cast(array() as array<struct<first:long,end:long>>)").alias("spans"), F.lit(0).cast("long").alias("n_words"))
-    schema = f"id {kind}, text string, items array<string>, spans array<struct<first:long,end:long>>, n_words long"
+    blocks = max(1, -(-windows.count() // block_windows))
+    texts = docs.select(F.col(text_column).cast("string").alias("text"))
+    columns = docs.columns
+    at = columns.index(text_column)
+    out = docs.withColumn(_ADDED, F.expr("named_struct('items', cast(array() as array<string>), 'spans', cast(array() as array<struct<first:bigint,end:bigint>>), 'n_words', 0L)"))
+    schema = out.schema
     for block in range(blocks):
         part = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).orderBy("window").collect()  # at most about block_windows rows
         known = [(tuple(bytes(r.window).split(b" ")), list(r["items"])) for r in part]
         wanted = {ws[p : p + _SHINGLE] for ws, _ in known for p in range(max(1, len(ws) - _SHINGLE + 1))}
-        frequency = {tuple(bytes(r.shingle).split(b" ")): r.rows for r in _shingle_counts(base, wanted).collect()} if wanted else {}
+        frequency = {tuple(bytes(r.shingle).split(b" ")): r.rows for r in _shingle_counts(texts, wanted).collect()} if wanted else {}
         index = docs.sparkSession.sparkContext.broadcast(Index(known, window, frequency))
 
         def probe(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
             for batch in batches:
                 for k in range(0, batch.num_rows, 256):
-                    yield _hits(batch.slice(k, 256), own)
+                    piece = batch.slice(k, 256)
+                    yield pa.RecordBatch.from_arrays([*piece.columns[:-1], _hits(piece.column(at), piece.column(len(columns)), own)], names=piece.schema.names)
 
         out = out.mapInArrow(probe, schema)
+    return out
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_windows: int = 200_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """For each row of ``docs``: the id, n_words, n_hit, items (array of the item ids found, as text, sorted), hit_spans
+    (array of [first word, end word) of the merged hits).
+
+    Null and empty texts have no words and no hits; items that are null, empty or have no word are never found; an
+    item id that occurs in several rows counts once, with the windows of all of them; a null item id is left out; an
+    empty benchmark finds nothing; other columns are ignored."""
+    base = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    out = mark(base, items, window, block_windows).select("id", f"{_ADDED}.*")
     return out.select(F.col("id").alias(id_column), "n_words", F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.first)").alias("n_hit"), "items", F.col("spans").alias("hit_spans"))
 
 
-def _hits(batch: pa.RecordBatch, index: Index) -> pa.RecordBatch:
-    """The batch with the block's hits added to its items and spans."""
-    documents = [words(t) for t in encoded(batch.column("text"))]
-    items, spans = batch.column("items").to_pylist(), batch.column("spans").to_pylist()
+def _hits(texts: pa.Array, known: pa.Array, index: Index) -> pa.Array:
+    """``known`` (items, spans, n_words) with the block's hits added."""
+    documents = [words(t) for t in encoded(texts)]
+    before = known.to_pylist()
     document, window, start = index.find(documents)
     order = np.lexsort((start, document))
     by: dict[int, list[tuple[int, int]]] = {}
@@ -187,15 +199,16 @@ def _hits(batch: pa.RecordBatch, index: Index) -> pa.RecordBatch:
         ids.setdefault(d, set()).update(index.items[w])
     for d, found in by.items():
         merged: list[list[int]] = []
-        for a, b in sorted([*found, *((x["first"], x["end"]) for x in spans[d])]):
+        for a, b in sorted([*found, *((x["first"], x["end"]) for x in before[d]["spans"])]):
             if merged and a <= merged[-1][1]:
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
-        spans[d] = [{"first": a, "end": b} for a, b in merged]
-        items[d] = sorted({*items[d], *ids[d]})
-    span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-    return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(items, pa.list_(pa.string())), pa.array(spans, span), pa.array([len(d) for d in documents], pa.int64())], names=["id", "text", "items", "spans", "n_words"])
+        before[d]["spans"] = [{"first": a, "end": b} for a, b in merged]
+        before[d]["items"] = sorted({*before[d]["items"], *ids[d]})
+    for own, d in zip(before, documents, strict=True):
+        own["n_words"] = len(d)
+    return pa.array(before, known.type)
 
 
 def items_digest(items) -> str:
@@ -203,9 +216,5 @@ def items_digest(items) -> str:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` without the rows that hold a whole window of a benchmark item; rows with a null id are judged by
-    their text alone and so need no id."""
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    marked = materialize(marked)
-    bad = contamination(marked, items, window, id_column="_row").where("n_hit > 0").select("_row")
-    return marked.join(bad, "_row", "left_anti").select(*[marked[c] for c in docs.columns])
+    """``docs`` without the rows that hold a whole window of a benchmark item."""
+    return mark(docs, items, window).where(F.size(f"{_ADDED}.spans") == 0).drop(_ADDED)
