@@ -98,7 +98,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             at += 1
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
                 out.append(("ip", m.start(), m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -147,7 +147,7 @@ def _strict(text: str, c: Candidate) -> int:
         local = s.split("@")[0] if "@" in s else s.split()[0]
         return 1 if not local.startswith(".") and not local.endswith(".") and ".." not in local and len(local) <= 64 else -1
     if c.kind == "ip":
-        return 1 if all(str(int(p)) == p for p in s.split(".")) else -1
+        return 1 if all(p == "0" or p[0] != "0" for p in s.split(".")) else -1
     if c.kind == "card":
         return 1 if len(_digits(s)) in (13, 14, 15, 16, 19) and len(set(_digits(s))) > 2 else -1
     if c.kind == "phone":

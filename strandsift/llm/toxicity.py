@@ -29,7 +29,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 LOOKALIKES = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "*": ""})
 
 _WORD = re.compile(r"\w+")
-_OBFUSCATED = re.compile(r"[^\W\d_]+[@*$!0-9]+[^\W\d_]+[@*$!0-9]*[^\W\d_]*")
+_OBFUSCATED = re.compile(r"[^\W\d_]++(?:[@*$!0-9]++[^\W\d_]++)+")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 _BEGINNINGS = (4, 5, 6, 7, 8)
 _NEAR = 4
