@@ -48,8 +48,15 @@ class Forest:
         order = np.argsort(key)
         self.edge = key[order]
         self.child = (np.concatenate(nodes) if nodes else np.zeros(0, np.int64))[order]
+        # the slice of each node's children, and their smallest and largest label
+        self.first = np.searchsorted(self.edge, np.arange(n) * labels)
+        self.last = np.searchsorted(self.edge, np.arange(n) * labels + labels)
+        some = self.last > self.first
+        self.least, self.most = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.least[some] = self.edge[self.first[some]] % labels
+        self.most[some] = self.edge[self.last[some] - 1] % labels
 
-    def search(self, radius: int, budget: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def search(self, radius: int, budget: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Pairs (i, j, distance), i > j, of one shard within ``radius``, in pieces: all pairs of as many queries i at
         a time as can visit at most about ``budget`` nodes."""
         n, labels = len(self.prints), self.labels
@@ -58,17 +65,21 @@ class Forest:
         while begin < n:
             end = max(begin + 1, int(np.searchsorted(load, (load[begin - 1] if begin else 0) + budget, "right")))
             query = np.arange(begin, end)
+            query = query[self.root[query] < query]
             node = self.root[query]
             begin = end
             found = []
             while len(query):
                 d = hamming(self.prints[query], self.prints[node])
-                hit = (d <= radius) & (node < query)
-                if hit.any():
+                hit = np.flatnonzero(d <= radius)
+                if len(hit):
                     found.append((query[hit], node[hit], d[hit]))
-                # distinct fingerprints have no edge labelled 0
-                low = np.searchsorted(self.edge, node * labels + np.maximum(d - radius, 1))
-                high = np.searchsorted(self.edge, node * labels + np.minimum(d + radius, labels - 1), "right")
+                low, high = self.first[node], self.last[node]
+                cut = np.flatnonzero((high > low) & ((d - radius > self.least[node]) | (d + radius < self.most[node])))
+                if len(cut):  # only some of the node's edges lie within the radius
+                    at, e = node[cut] * labels, d[cut]
+                    low[cut] = np.searchsorted(self.edge, at + np.maximum(e - radius, 1))
+                    high[cut] = np.searchsorted(self.edge, at + np.minimum(e + radius, labels - 1), "right")
                 count = high - low
                 to = np.cumsum(count)
                 total = int(to[-1]) if len(to) else 0
@@ -76,6 +87,9 @@ class Forest:
                     break
                 query = np.repeat(query, count)
                 node = self.child[np.arange(total) + np.repeat(low - (to - count), count)]
+                # whatever hangs below a node came after it, so nothing earlier than the query is lost
+                ahead = np.flatnonzero(node < query)
+                query, node = query[ahead], node[ahead]
             if found:
                 yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
