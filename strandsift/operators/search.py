@@ -3,7 +3,7 @@
 Two plans give the same rows. 'native' is one Catalyst plan: a broadcast block of queries, scores by higher-order
 functions, and a row_number that Spark turns into partial and final group limits. 'blocks' multiplies each Arrow batch
 of the database with a block of queries in numpy and keeps the k best of each batch, so that only k rows per query and
-batch reach the shuffle. 'auto' takes 'blocks' from a product of sizes on. Queries always come in blocks of bounded
+batch reach the shuffle. 'auto' takes 'blocks' from a number of pairs on. Queries always come in blocks of bounded
 size; the database is never broadcast nor collected."""
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from strandsift.functions import vector
 #: Scores are compared after rounding, so that the order of summation does not decide ties.
 DIGITS = 9
 _BLOCK_VALUES = 16_000_000
-_NATIVE_PRODUCT = 2_000_000
+_NATIVE_PAIRS = 30_000
 
 
 def _pairs(queries: DataFrame, database: DataFrame, score) -> DataFrame:
@@ -94,7 +94,7 @@ def search(queries: DataFrame, database: DataFrame, k: int = 10, strategy: str =
     if strict and k > rows:
         raise ValueError(f"k={k} exceeds the {rows} rows of the database")
     if strategy == "auto":
-        strategy = "blocks" if rows * queries.count() > _NATIVE_PRODUCT / 64 else "native"
+        strategy = "blocks" if rows * queries.count() > _NATIVE_PAIRS else "native"
     if strategy == "native":
         # a small table is one file split; without this one core would do the whole product
         database = database.repartition("id")

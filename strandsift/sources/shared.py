@@ -10,5 +10,5 @@ from pyspark.sql import SparkSession
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the session's spark.checkpoint.dir; where that is unset, as in tests, in a temporary folder."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandsift-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandsift-")
     return f"{folder}/{name}-{uuid.uuid4().hex}"

@@ -175,5 +175,8 @@ def test_synthetic_and_timing(spark):
     assert files.random_vectors(spark, 10, 4).count() == 10
     assert {len(r.seq) for r in files.random_sequences(spark, 5, 33).collect()} == {33}
     assert files.random_indices(spark, 3, 4, 7).where("db_id < 0 or db_id >= 7").count() == 0
+    assert timing.profile_memory(spark, 2, 100, 4)["driver_peak_gb"] > 0
+    grid = timing.run_grid(spark, (50,), (2,), 4, 3)
+    assert len(grid) == 7 and not any("error" in r for r in grid)
     got = timing.benchmark_topk(spark, 2, 50, 3, 4, warmup=0, iterations=1)
     assert got["seconds"] > 0 and got["benchmark"] == "topk"
