@@ -16,7 +16,7 @@ def ensure_shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. The session's setting rules; only where it is unset (tests in
     local mode) is a temporary folder made."""
     context = spark.sparkContext
-    known = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if known is None:
         known = tempfile.mkdtemp(prefix="strandsift-")
     if context.getCheckpointDir() is None:
