@@ -11,10 +11,10 @@ from strandsift.llm.common import materialize
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One large-star or small-star step. ``edges`` holds each link once as (u, v) with u > v.
 
-    The minimum is a pre-aggregated groupBy and goes back to the links by an equi-join, so that a hub's links may
-    be split over tasks; no neighbour list is ever gathered."""
+    The minimum is a pre-aggregated groupBy, written, and goes back to the links by an equi-join of two plain shuffles,
+    so that adaptive execution can split a hub's links over tasks; no neighbour list is ever gathered."""
     around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = around.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.col("c")).alias("m"))
+    least = materialize(around.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.col("c")).alias("m")))
     met = around.join(least, around["u"] == least["c"])
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -160,7 +160,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     component = connected_components(links(distinct.select("print"), radius, shard_rows))
     named = distinct.join(component.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("print", "component_id", "rows")
+    # written, so that the join below has two plain shuffles and a print that many rows share can be split
+    named = materialize(named.join(least, "component").select("print", "component_id", "rows"))
     return prints.join(named, "print").select(F.col("id").alias(id_column), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id", (F.col("rows") > 1).alias("is_copy"))
 
 
@@ -195,7 +196,7 @@ def _sampled_keys(rows: int, similarity: float, missed: float = 0.005, shard: in
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text", shard_rows: int = 4096) -> DataFrame:
-    """(node, component): the ids that have a near-duplicate, with the smallest id of their group.
+    """(node, component) of every id: the smallest id of its group of near-duplicates, itself if it has none.
 
     Near-duplicates have a Jaccard similarity of at least ``similarity`` on distinct ``words``-word shingles. Ids must
     be whole numbers; null ids are left out. A SimHash of 128 bits over the distinct shingles gives candidates: texts
@@ -241,9 +242,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
 
     keyed = keyed.select("shard", "p", "q", "node").repartition("shard").sortWithinPartitions("shard", "p", "q")
     across = keyed.mapInArrow(near, "a long, b long")
-    # texts of one print: each with the print's first node, and with the one before it
+    # texts of one print: each with the print's first node, and with one before it
     named = nodes.join(prints.withColumnRenamed("node", "first"), ["p", "q"]).where("node <> first")
-    named = named.withColumn("before", F.lag("node").over(Window.partitionBy("p", "q").orderBy("node")))
+    named = named.withColumn("before", F.lag("node").over(Window.partitionBy("p", "q", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy("node")))
     same = named.select(F.col("node").alias("b"), F.explode(F.array("first", "before")).alias("a")).where("a is not null").select("a", "b")
     edges = materialize(across.unionByName(same).distinct())
     linked = small(materialize(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
@@ -259,8 +260,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     pairs = edges.join(known.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     verified = pairs.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    folded = sketches.join(nodes, ["p", "q", "whole"]).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    return connected_components(verified.unionByName(folded))
+    # copies of one text are no part of the graph; written, so that a text that many rows share can be split below
+    component = connected_components(verified).withColumnRenamed("node", "_node")
+    named = materialize(nodes.join(component, nodes["node"] == component["_node"], "left").select("p", "q", "whole", F.coalesce("component", "node").alias("component")))
+    return sketches.join(named, ["p", "q", "whole"]).select(F.col("id").alias("node"), "component")
 
 
 def _near_links(shard: np.ndarray, p: np.ndarray, q: np.ndarray, node: np.ndarray, radius: int, nearest: int = 2) -> pa.RecordBatch:
