@@ -74,5 +74,39 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_packing, op4_decontamination, op5_quality, op6_licenses, op7_sharding, op8_html, op9_pii, op10_language)}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP4 = f"""WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[p : p + n - 1], ' ') AS win FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, p, n, item_id FROM dw JOIN bw USING (n, win)),
+pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+_OP5 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+l AS (SELECT doc_id, p, word, lag(word) OVER o AS before, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c, lead(word, 3) OVER o AS e, lead(word, 4) OVER o AS f FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+x AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, word, b, c, e, f) AS times FROM l WHERE f IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM x WHERE times > 1) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_same FROM l WHERE word = before GROUP BY 1),
+f AS (SELECT doc_id, text, coalesce(n_same, 0) AS n_same, lines, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)),
+g AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  n_symbols * 10 > n_words
+  OR (n_dup_lines >= 2 AND n_dup_lines * 100 > len(lines) * 35)
+  OR word_chars < n_words * 2 OR word_chars > n_words * 15
+  OR (length(text) - length(replace(text, '!', ''))) * 2 > n_words
+  OR length(regexp_replace(text, '\P{Lu}+', '', 'g')) * 10 > length(text) * 4
+  OR length(regexp_replace(text, '[^\p{L}]+', '', 'g')) * 2 < word_chars
+  OR n_same * 5 > n_words
+  OR len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) * 10 > len(lines) * 4
+  OR (len(lines) >= 5 AND len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-*•‣]'))) * 10 > len(lines) * 9) AS rejected FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the two operators that SQL can express in full."""
+    return {"op4_decontamination": _OP4, "op5_quality": _OP5}

@@ -56,7 +56,7 @@ class Features:
         if found is None:
             best = max(((self.lexicon[g], g) for g in grams(word) if g in self.lexicon), default=(0.0, ""))
             found = (word in SEED_LEXICON, *best)
-            if len(self.known) > 400_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             self.known[word] = found
         return found
