@@ -147,7 +147,7 @@ def links(prints: DataFrame, radius: int, shard_rows: int = 4096) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
-    """(id column, fingerprint, component_id, n_links) for every row of ``docs``.
+    """(id column, fingerprint, component_id, is_copy) for every row of ``docs``.
 
     fingerprint: 16 lowercase hex digits. component_id: the smallest id reachable by links of at most ``radius``
     differing bits, the row itself included. is_copy: another row has the same fingerprint.
@@ -202,8 +202,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     be whole numbers; null ids are left out. A SimHash of 128 bits over the distinct shingles gives candidates: texts
     with equal shingle sets fold to one node, nodes with equal fingerprints to one print; prints meet in the shards of
     sampled bit masks (see _sampled_keys), where BK-trees find the pairs within the radius that such a similarity
-    leaves. From each shard come a print's two nearest and a spanning forest of those pairs: a few links for each print
-    whatever the size of its group. Every link is then verified on the shingle sets, and components are taken over verified links alone."""
+    leaves. From each shard comes a spanning forest of those pairs, nearest first, and more of each print's nearest in
+    small groups: a few links for each print whatever the size of its group. Every link is then verified on the shingle sets, and components are taken over verified links alone."""
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,27 +220,30 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     prints = materialize(nodes.groupBy("p", "q").agg(F.min("node").alias("node")))
     masks, radius = _sampled_keys(prints.count(), similarity)
     shards = F.array(*[F.xxhash64(F.lit(k), F.col("p").bitwiseAND(F.lit(m)), F.col("q").bitwiseAND(F.lit(n))) for k, (m, n) in enumerate(masks)])
-    keyed = prints.select("p", "q", "node", F.explode(shards).alias("shard"))
+    keyed = prints.select("p", "q", "node", F.posexplode(shards).alias("mask", "shard")).withColumn("side", F.lit(0))
     large = materialize(keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > shard_rows))
+    columns = ["shard", "p", "q", "node", "mask", "side"]
     if not large.isEmpty():  # each two stripes of a large shard meet in a shard of their own
-        striped = keyed.join(large, "shard").withColumn("stripes", F.ceil(F.col("rows") * 2 / F.lit(shard_rows)).cast("int"))
+        striped = keyed.drop("side").join(large, "shard").withColumn("stripes", F.ceil(F.col("rows") * 2 / F.lit(shard_rows)).cast("int"))
         striped = striped.withColumn("own", F.pmod(F.xxhash64("p", "q"), F.col("stripes")).cast("int"))
-        meets = F.transform(F.sequence(F.lit(0), F.col("stripes") - 1), lambda t: F.xxhash64(F.col("shard"), F.least(F.col("own"), t), F.greatest(F.col("own"), t)))
-        keyed = keyed.join(large, "shard", "left_anti").select("p", "q", "node", "shard").unionByName(striped.select("p", "q", "node", F.explode(meets).alias("shard")))
+        side = lambda t: F.when(t == F.col("own"), 0).when(t > F.col("own"), 1).otherwise(2)
+        meets = F.transform(F.sequence(F.lit(0), F.col("stripes") - 1), lambda t: F.struct(F.xxhash64(F.col("shard"), F.least(F.col("own"), t), F.greatest(F.col("own"), t)).alias("shard"), side(t).alias("side")))
+        striped = striped.select("p", "q", "node", "mask", F.explode(meets).alias("x")).select("p", "q", "node", "mask", "x.shard", "x.side")
+        keyed = keyed.join(large, "shard", "left_anti").select(columns).unionByName(striped.select(columns))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 4
+        kept = [np.zeros(0, np.int64)] * 6
         for batch in batches:
             kept = [np.r_[a, batch.column(k).to_numpy(zero_copy_only=False)] for k, a in enumerate(kept)]
             shard = kept[0]
             if len(shard) >= 100_000 and shard[0] != shard[-1]:
                 cut = int(np.searchsorted(shard, shard[-1]))
-                yield _near_links(*(a[:cut] for a in kept), radius)
+                yield _near_links(*(a[:cut] for a in kept), masks, radius)
                 kept = [a[cut:] for a in kept]
         if len(kept[0]):
-            yield _near_links(*kept, radius)
+            yield _near_links(*kept, masks, radius)
 
-    keyed = keyed.select("shard", "p", "q", "node").repartition("shard").sortWithinPartitions("shard", "p", "q")
+    keyed = keyed.select(columns).repartition("shard").sortWithinPartitions("shard", "p", "q")
     across = keyed.mapInArrow(near, "a long, b long")
     # texts of one print: each with the print's first node, and with one before it
     named = nodes.join(prints.withColumnRenamed("node", "first"), ["p", "q"]).where("node <> first")
@@ -266,25 +269,43 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     return sketches.join(named, ["p", "q", "whole"]).select(F.col("id").alias("node"), "component")
 
 
-def _near_links(shard: np.ndarray, p: np.ndarray, q: np.ndarray, node: np.ndarray, radius: int, nearest: int = 2) -> pa.RecordBatch:
-    """(a, b) of nodes, distinct: for each print its ``nearest`` nearest ones of those found together, and a spanning
-    forest of each shard; rows come sorted by shard, and prints of a shard differ."""
+def _near_links(shard: np.ndarray, p: np.ndarray, q: np.ndarray, node: np.ndarray, mask: np.ndarray, side: np.ndarray, masks: list[tuple[int, int]], radius: int, small_group: int = 64, nearest: int = 3) -> pa.RecordBatch:
+    """(a, b) of nodes, distinct: a spanning forest of each shard's pairs, each print with its nearest first, and in groups
+    of up to ``small_group`` prints each print's ``nearest`` nearest. Rows come sorted by shard, and prints of a shard
+    differ.
+
+    A pair is looked at in one shard only: that of the first mask on which its prints agree and, where that shard is cut
+    into stripes, the one where its two stripes meet. So the forests of different shards have different links, and the
+    pairs of a small group are nearly all among them."""
     prints = np.column_stack([p.view(np.uint64), q.view(np.uint64)])
+    words = np.array(masks, np.int64).reshape(-1, 2).view(np.uint64)
     forest, union = Forest(shard, prints), Union(len(prints))
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j, d in forest.search(radius):
+        own = (side[i] == 0) | (side[i] != side[j])
+        i, j, d = i[own], j[own], d[own]
+        apart = prints[i] ^ prints[j]
+        own = np.ones(len(i), bool)
+        for k in range(int(mask[i].max(initial=0))):
+            own &= (mask[i] <= k) | ((apart & words[k]) != 0).any(1)
+        i, j, d = i[own], j[own], d[own]
         x, y, e = np.r_[i, j], np.r_[j, i], np.r_[d, d]
         order = np.lexsort((y, e, x))
         x, y = x[order], y[order]
-        start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
         rank = np.arange(len(x)) - np.repeat(start, np.diff(np.r_[start, len(x)]))
-        x, y = x[rank < nearest], y[rank < nearest]
-        union.link(x, y)
+        near = union.link(x[start], y[start])
+        a.append(node[x[start[near]]])
+        b.append(node[y[start[near]]])
         by_distance = np.argsort(d, kind="stable")
         i, j = i[by_distance], j[by_distance]
-        joins = union.link(i, j)
-        a.append(node[np.r_[x, i[joins]]])
-        b.append(node[np.r_[y, j[joins]]])
+        rest = union.link(i, j)
+        a.append(node[i[rest]])
+        b.append(node[j[rest]])
+        few = np.bincount(union.to, minlength=len(prints))[union.to[x]] <= small_group if len(x) else np.zeros(0, bool)
+        few &= rank < nearest
+        a.append(node[x[few]])
+        b.append(node[y[few]])
     a, b = np.concatenate(a), np.concatenate(b)
     pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
