@@ -15,13 +15,12 @@ needs is bounded, while all trees together grow with the corpus."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandsift.llm.bktree import Forest, Union
@@ -63,14 +62,6 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(_counts(hashes) * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _remixed(hashes: np.ndarray) -> np.ndarray:
-    """Second hashes, made of the first by a bijective mixer."""
-    x = hashes + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4) -> DataFrame:
     """(id, fingerprint as signed long) for every row; a null text counts as empty."""
     kind = docs.schema[id_column].dataType.simpleString()
@@ -172,143 +163,153 @@ def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(tokens[i : i + words]), SEED) for i in range(max(1, len(tokens) - words + 1))], np.uint64)) if tokens else np.zeros(0, np.uint64)
 
 
-_WIDTH = 128
+def _least_shared(size, similarity: float):
+    """Shingles that a text of ``size`` shingles shares at least with one of that Jaccard similarity."""
+    return np.ceil(similarity * size - 1e-9).astype(np.int64)
+
 
+def _common_shingles(texts: DataFrame, words: int, rows: int, sample_docs: int = 20_000, least: int = 3, most: int = 200_000) -> np.ndarray:
+    """Shingles that many texts hold, rarest first, from a sample. Only the order of shingles follows from them, which
+    decides the cost of the join below and never its result."""
+    step = max(1, rows // sample_docs)
 
-def _sampled_keys(rows: int, similarity: float, missed: float = 0.005, shard: int = 800) -> tuple[list[tuple[int, int]], int]:
-    """(masks, radius). Texts of Jaccard ``similarity`` J differ in each bit with probability acos(2J / (1 + J)) / pi,
-    so their distance is binomial. The radius is 3 of its standard deviations above its mean. A mask of b bits
-    (two 64-bit words) names a shard by the bits' values; there are as many masks as leave ``missed`` of the pairs at
-    exactly that similarity without a shard in common. b follows the number of rows, so that a shard of unlike texts
-    keeps its size."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = min(24, max(9, math.ceil(math.log2(max(rows, 1) / shard))))
-    d = range(_WIDTH - bits)
-    share = np.array([math.comb(_WIDTH, x) * p**x * (1 - p) ** (_WIDTH - x) for x in d])
-    agree = np.array([math.comb(_WIDTH - x, bits) / math.comb(_WIDTH, bits) for x in d])
-    count = 1
-    while share @ (1 - agree) ** count > missed:
-        count += 1
-    draw = np.random.default_rng(11)
-    masks = [sum(1 << int(b) for b in draw.choice(_WIDTH, bits, replace=False)) for _ in range(count)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return [(signed(m & (2**64 - 1)), signed(m >> 64)) for m in masks], round(_WIDTH * p + 3 * math.sqrt(_WIDTH * p * (1 - p)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in encoded(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_hashes(text, words).view(np.int64))], names=["token"])
 
+    tokens = texts.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("text").mapInArrow(run, "token long")
+    top = tokens.groupBy("token").count().where(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(most).toPandas()
+    return top["token"].to_numpy(np.int64)[::-1].view(np.uint64)
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text", shard_rows: int = 4096) -> DataFrame:
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text", shard_rows: int = 4096, few: int = 32) -> DataFrame:
     """(node, component) of every id: the smallest id of its group of near-duplicates, itself if it has none.
 
     Near-duplicates have a Jaccard similarity of at least ``similarity`` on distinct ``words``-word shingles. Ids must
-    be whole numbers; null ids are left out. A SimHash of 128 bits over the distinct shingles gives candidates: texts
-    with equal shingle sets fold to one node, nodes with equal fingerprints to one print; prints meet in the shards of
-    sampled bit masks (see _sampled_keys), where BK-trees find the pairs within the radius that such a similarity
-    leaves. From each shard comes a spanning forest of those pairs, nearest first, and more of each print's nearest in
-    small groups: a few links for each print whatever the size of its group. Every link is then verified on the shingle sets, and components are taken over verified links alone."""
+    be whole numbers; null ids are left out. The join is exact. Texts with equal shingle sets fold to one node. In any
+    common order of all shingles, two near-duplicates share one of the first n - ceil(similarity * n) + 1 of each one's n
+    shingles; the order puts shingles known to be common last. The nodes of a shingle with up to ``few`` of them give
+    their pairs, less those that sizes and positions rule out, which are verified on the shingle sets. For a shingle
+    with more, the sets themselves go to shards of about ``shard_rows`` rows, each two stripes of a large one in a shard of
+    their own; every pair there is compared or known to be in one group, and a forest of verified links comes out."""
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q, whole = np.zeros((3, batch.num_rows), np.uint64)
-            for i, text in enumerate(encoded(batch.column(1))):
-                hashes = _shingle_hashes(text, words)
-                p[i], q[i] = majority(hashes), majority(_remixed(hashes))
-                whole[i] = np.bitwise_xor.reduce(hashes) + np.uint64(len(hashes)) if len(hashes) else 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in (p, q, whole))], names=["id", "p", "q", "whole"])
-
-    sketches = materialize(own.mapInArrow(sketch, "id long, p long, q long, whole long"))
-    nodes = materialize(sketches.groupBy("p", "q", "whole").agg(F.min("id").alias("node")))
-    prints = materialize(nodes.groupBy("p", "q").agg(F.min("node").alias("node")))
-    masks, radius = _sampled_keys(prints.count(), similarity)
-    shards = F.array(*[F.xxhash64(F.lit(k), F.col("p").bitwiseAND(F.lit(m)), F.col("q").bitwiseAND(F.lit(n))) for k, (m, n) in enumerate(masks)])
-    keyed = prints.select("p", "q", "node", F.posexplode(shards).alias("mask", "shard")).withColumn("side", F.lit(0))
-    large = materialize(keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > shard_rows))
-    columns = ["shard", "p", "q", "node", "mask", "side"]
-    if not large.isEmpty():  # each two stripes of a large shard meet in a shard of their own
-        striped = keyed.drop("side").join(large, "shard").withColumn("stripes", F.ceil(F.col("rows") * 2 / F.lit(shard_rows)).cast("int"))
-        striped = striped.withColumn("own", F.pmod(F.xxhash64("p", "q"), F.col("stripes")).cast("int"))
-        side = lambda t: F.when(t == F.col("own"), 0).when(t > F.col("own"), 1).otherwise(2)
-        meets = F.transform(F.sequence(F.lit(0), F.col("stripes") - 1), lambda t: F.struct(F.xxhash64(F.col("shard"), F.least(F.col("own"), t), F.greatest(F.col("own"), t)).alias("shard"), side(t).alias("side")))
-        striped = striped.select("p", "q", "node", "mask", F.explode(meets).alias("x")).select("p", "q", "node", "mask", "x.shard", "x.side")
-        keyed = keyed.join(large, "shard", "left_anti").select(columns).unionByName(striped.select(columns))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 6
+            digests = [xxhash.xxh3_128_digest(_shingle_hashes(text, words).tobytes()) for text in encoded(batch.column(1))]
+            pq = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(pq[:, k])) for k in (0, 1))], names=["id", "p", "q"])
+
+    sketches = materialize(own.mapInArrow(sketch, "id long, p long, q long"))
+    nodes = materialize(sketches.groupBy("p", "q").agg(F.min("id").alias("node")))
+    copies = small(materialize(sketches.join(nodes, ["p", "q"]).where("id <> node").select("id").distinct()))
+    texts = own.join(copies, "id", "left_anti")
+    common = _common_shingles(texts, words, nodes.count())
+    by_value = np.argsort(common)
+    common, place = common[by_value], by_value + 1
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [np.r_[a, batch.column(k).to_numpy(zero_copy_only=False)] for k, a in enumerate(kept)]
-            shard = kept[0]
-            if len(shard) >= 100_000 and shard[0] != shard[-1]:
-                cut = int(np.searchsorted(shard, shard[-1]))
-                yield _near_links(*(a[:cut] for a in kept), masks, radius)
-                kept = [a[cut:] for a in kept]
-        if len(kept[0]):
-            yield _near_links(*kept, masks, radius)
-
-    keyed = keyed.select(columns).repartition("shard").sortWithinPartitions("shard", "p", "q")
-    across = keyed.mapInArrow(near, "a long, b long")
-    # texts of one print: each with the print's first node, and with one before it
-    named = nodes.join(prints.withColumnRenamed("node", "first"), ["p", "q"]).where("node <> first")
-    named = named.withColumn("before", F.lag("node").over(Window.partitionBy("p", "q", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy("node")))
-    same = named.select(F.col("node").alias("b"), F.explode(F.array("first", "before")).alias("a")).where("a is not null").select("a", "b")
-    edges = materialize(across.unionByName(same).distinct())
-    linked = small(materialize(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+            sizes, tokens = [], []
+            for text in encoded(batch.column(1)):
+                own = _shingle_hashes(text, words)
+                late = np.zeros(len(own), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    late = np.where(common[at] == own, place[at], 0)
+                kept = len(own) - int(_least_shared(len(own), similarity)) + 1
+                sizes.append(len(own))
+                tokens.append(own[np.lexsort((own, late))][:kept].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["id", "n", "tokens"])
+
+    # one row per node, also where rows repeat an id
+    firsts = stored(texts.mapInArrow(first, "id long, n int, tokens array<long>").join(nodes.select(F.col("node").alias("id")), "id", "left_semi"))
+    posts = firsts.select("id", "n", F.posexplode("tokens").alias("at", "token"))
+    shared = small(materialize(posts.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("values")).where("rows > 1")), 1_000_000)
+    posts = materialize(posts.join(shared, "token"))
+    side = lambda x: posts.where(F.col("rows") <= few).select("token", *[F.col(c).alias(x + c) for c in ("id", "n", "at")])
+    met = side("a").join(side("b"), "token").where("aid < bid").where(F.least("an", "bn") + 1e-9 >= similarity * F.greatest("an", "bn"))
+    met = met.groupBy("aid", "bid", "an", "bn").agg(F.count(F.lit(1)).alias("c"), F.max("aat").alias("aat"), F.max("bat").alias("bat"))
+    # what both share lies among the shared shingles up to the last of these, which are all counted, and behind it. A pair that
+    # also shares a shingle of more than ``few`` nodes may count too little here and is looked at there
+    bound = F.col("c") + F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")) - 1
+    pairs = materialize(met.where(bound * (1 + similarity) + 1e-6 >= similarity * (F.col("an") + F.col("bn"))).select(F.col("aid").alias("a"), F.col("bid").alias("b")))
+    many = posts.where(F.col("rows") > few)
+    linked = small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(many.select("id")).distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                hashes = [np.unique(_shingle_hashes(t, words).astype(np.uint32)).view(np.int32) for t in encoded(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.list_(pa.int32()))], names=["id", "shingles"])
+                hashes = [_shingle_hashes(t, words).view(np.int64) for t in encoded(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    known = stored(own.join(linked, "id", "left_semi").mapInArrow(sets, "id long, shingles array<int>"))
-    pairs = edges.join(known.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    verified = pairs.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    known = stored(own.join(linked, "id", "left_semi").mapInArrow(sets, "id long, shingles array<long>"))
+    both = pairs.join(known.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    size = F.size(F.array_intersect("x", "y"))
+    verified = both.where(size + 1e-9 >= similarity * (F.size("x") + F.size("y") - size)).select("a", "b")
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, ids, held = None, [], []
+        for batch in batches:
+            values = batch.column(2)
+            ends = values.offsets.to_numpy()
+            flat = values.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            for k, (s, i) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if s != shard and ids:
+                    yield _verified_forest(ids, held, similarity)
+                    ids, held = [], []
+                shard = s
+                ids.append(i)
+                held.append(flat[ends[k] : ends[k + 1]].copy())
+        if ids:
+            yield _verified_forest(ids, held, similarity)
+
+    stripes = F.greatest(F.ceil(F.col("rows") * 2 / F.lit(shard_rows)), F.ceil(F.col("values") / F.lit(2_000_000))).cast("int")
+    stripes = F.when((F.col("rows") <= shard_rows) & (F.col("values") <= 4_000_000), 1).otherwise(stripes)
+    striped = many.select("id", "token", stripes.alias("stripes")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("stripes")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("stripes") - 1), lambda t: F.xxhash64(F.col("token"), F.least(F.col("own"), t), F.greatest(F.col("own"), t)))
+    shards = striped.select("id", F.explode(meets).alias("shard")).join(known, "id").select("shard", "id", "shingles")
+    across = shards.repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(forests, "a long, b long")
     # copies of one text are no part of the graph; written, so that a text that many rows share can be split below
-    component = connected_components(verified).withColumnRenamed("node", "_node")
-    named = materialize(nodes.join(component, nodes["node"] == component["_node"], "left").select("p", "q", "whole", F.coalesce("component", "node").alias("component")))
-    return sketches.join(named, ["p", "q", "whole"]).select(F.col("id").alias("node"), "component")
-
-
-def _near_links(shard: np.ndarray, p: np.ndarray, q: np.ndarray, node: np.ndarray, mask: np.ndarray, side: np.ndarray, masks: list[tuple[int, int]], radius: int, small_group: int = 64, nearest: int = 3) -> pa.RecordBatch:
-    """(a, b) of nodes, distinct: a spanning forest of each shard's pairs, each print with its nearest first, and in groups
-    of up to ``small_group`` prints each print's ``nearest`` nearest. Rows come sorted by shard, and prints of a shard
-    differ.
-
-    A pair is looked at in one shard only: that of the first mask on which its prints agree and, where that shard is cut
-    into stripes, the one where its two stripes meet. So the forests of different shards have different links, and the
-    pairs of a small group are nearly all among them."""
-    prints = np.column_stack([p.view(np.uint64), q.view(np.uint64)])
-    words = np.array(masks, np.int64).reshape(-1, 2).view(np.uint64)
-    forest, union = Forest(shard, prints), Union(len(prints))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, j, d in forest.search(radius):
-        own = (side[i] == 0) | (side[i] != side[j])
-        i, j, d = i[own], j[own], d[own]
-        apart = prints[i] ^ prints[j]
-        own = np.ones(len(i), bool)
-        for k in range(int(mask[i].max(initial=0))):
-            own &= (mask[i] <= k) | ((apart & words[k]) != 0).any(1)
-        i, j, d = i[own], j[own], d[own]
-        x, y, e = np.r_[i, j], np.r_[j, i], np.r_[d, d]
-        order = np.lexsort((y, e, x))
-        x, y = x[order], y[order]
-        start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
-        rank = np.arange(len(x)) - np.repeat(start, np.diff(np.r_[start, len(x)]))
-        near = union.link(x[start], y[start])
-        a.append(node[x[start[near]]])
-        b.append(node[y[start[near]]])
-        by_distance = np.argsort(d, kind="stable")
-        i, j = i[by_distance], j[by_distance]
-        rest = union.link(i, j)
-        a.append(node[i[rest]])
-        b.append(node[j[rest]])
-        few = np.bincount(union.to, minlength=len(prints))[union.to[x]] <= small_group if len(x) else np.zeros(0, bool)
-        few &= rank < nearest
-        a.append(node[x[few]])
-        b.append(node[y[few]])
-    a, b = np.concatenate(a), np.concatenate(b)
-    pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+    component = connected_components(verified.unionByName(across)).withColumnRenamed("node", "_node")
+    named = materialize(nodes.join(component, nodes["node"] == component["_node"], "left").select("p", "q", F.coalesce("component", "node").alias("component")))
+    return sketches.join(named, ["p", "q"]).select(F.col("id").alias("node"), "component")
+
+
+def _verified_forest(ids: list[int], held: list[np.ndarray], similarity: float) -> pa.RecordBatch:
+    """(a, b) that span the groups of sets of at least that Jaccard similarity. A row is compared with all that are not
+    done; rows of small groups come first, and it ends when those left are one group, so no pair of two groups is left
+    out."""
+    m = len(ids)
+    size = np.fromiter(map(len, held), np.int64, m)
+    row = np.repeat(np.arange(m), size)
+    _, token = np.unique(np.concatenate(held), return_inverse=True)
+    by_token = row[np.argsort(token, kind="stable")]
+    ends = np.cumsum(np.bincount(token))
+    begins = np.r_[0, ends[:-1]]
+    starts = np.cumsum(size) - size
+    group, left = np.arange(m), np.ones(m, bool)
+    a, b = [], []
+    while True:
+        sizes = np.bincount(group[left], minlength=m)
+        if (sizes > 0).sum() < 2:
+            break
+        open_rows = np.flatnonzero(left)
+        i = open_rows[sizes[group[open_rows]].argmin()]
+        left[i] = False
+        own = token[starts[i] : starts[i] + size[i]]
+        count = ends[own] - begins[own]
+        to = np.cumsum(count)
+        shared = np.bincount(by_token[np.arange(to[-1]) + np.repeat(begins[own] - (to - count), count)], minlength=m)
+        like = np.flatnonzero(left & (group != group[i]) & (shared + 1e-9 >= similarity * (size + size[i] - shared)))
+        if len(like):
+            joined, at = np.unique(group[like], return_index=True)
+            a += [ids[i]] * len(at)
+            b += [ids[k] for k in like[at].tolist()]
+            group[np.isin(group, joined)] = group[i]
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

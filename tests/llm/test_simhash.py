@@ -148,3 +148,30 @@ def test_drop_odd_rows(odd, empty):
     assert kept.columns == odd.columns and simhash.drop_near_duplicates(empty).count() == 0
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 3, 6, 7, 8] and ids.count(None) == 2
+
+
+def brute_similar(texts, similarity=0.8):
+    to = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if to[a] != to[b] and jaccard(texts[a], texts[b]) >= similarity:
+                x, y = to[a], to[b]
+                to = [min(x, y) if t in (x, y) else t for t in to]
+    return to
+
+
+@pytest.mark.parametrize("shard_rows", [4096, 40])
+def test_large_groups_lose_no_pair(spark, shard_rows):
+    """A dense ball whose members are partly just over and partly just under the threshold from each other."""
+    draw = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(160):
+        own = list(base)
+        for p in draw.sample(range(120), draw.choice((1, 2, 2, 3, 3, 4))):
+            own[p] = f"x{i}p{p}"
+        texts.append(" ".join(own))
+    want = brute_similar(texts)
+    assert 1 < len(set(want)) < 120
+    got = {r.node: r.component for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shard_rows=shard_rows).collect()}
+    assert [got[i] for i in range(len(texts))] == want
