@@ -175,3 +175,14 @@ def test_large_groups_lose_no_pair(spark, shard_rows):
     assert 1 < len(set(want)) < 120
     got = {r.node: r.component for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shard_rows=shard_rows).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_short_texts_lose_no_pair(spark):
+    """Texts of 8 and 9 words have 4 and 5 shingles and a similarity of exactly 0.8."""
+    draw = random.Random(9)
+    texts = []
+    for _ in range(400):
+        own = [f"w{draw.randrange(10**6)}" for _ in range(9)]
+        texts += [" ".join(own[:8]), " ".join(own)]
+    got = {r.node: r.component for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(800)] == [i // 2 * 2 for i in range(800)]
