@@ -313,8 +313,17 @@ def _verified_forest(ids: list[int], held: list[np.ndarray], similarity: float)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the one with the smallest id. Rows with a null id stay,
-    and so do rows that repeat one id."""
-    groups = similar_groups(docs, words, similarity, id_column, text_column)
-    out = small(materialize(groups.where("node <> component").select(F.col("node").alias("_dropped"))))
-    return docs.join(out, docs[id_column] == out["_dropped"], "left_anti")
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest id; null ids come last.
+
+    Rows are told apart by a key of their own in a written table, so that rows that repeat an id, or have none, are
+    judged each by its own text. A row with neither id nor text stays."""
+    key = "_strandsift_row"
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()))
+    usable = rows.where(F.col(id_column).isNotNull() | F.col(text_column).isNotNull())
+    groups = materialize(similar_groups(usable, words, similarity, key, text_column).withColumnRenamed("node", key))
+    # only groups of several rows need an order by id
+    several = groups.groupBy("component").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("component")
+    members = materialize(rows.select(key, F.col(id_column).alias("_id")).join(groups, key).join(several, "component").select(key, "component", F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col(key).alias("row")).alias("order")))
+    first = members.groupBy("component").agg(F.min("order").alias("first")).select(F.col("first.row").alias(key))
+    out = small(materialize(members.select(key).join(first, key, "left_anti")))
+    return rows.join(out, key, "left_anti").select(docs.columns)

@@ -186,3 +186,11 @@ def test_short_texts_lose_no_pair(spark):
         texts += [" ".join(own[:8]), " ".join(own)]
     got = {r.node: r.component for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(800)] == [i // 2 * 2 for i in range(800)]
+
+
+def test_drop_is_by_row(spark):
+    """Rows that share an id, or have none, are judged each by its own text."""
+    copy, other, third = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, copy), (2, copy), (2, other), (3, third), (3, third), (None, copy), (None, "d e f g h i j"), (None, "d e f g h i j")]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(got, key=str) == sorted([(1, copy), (2, other), (3, third), (None, "d e f g h i j")], key=str)
