@@ -8,6 +8,7 @@ second-person proximity, capitals, punctuation and obfuscation rates. Training s
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -30,7 +31,9 @@ LOOKALIKES = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0
 
 _WORD = re.compile(r"\w+")
 _OBFUSCATED = re.compile(r"[^\W\d_]++(?:[@*$!0-9]++[^\W\d_]++)+")
+_SIGN = re.compile(r"[@*$!0-9]")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
+_STRETCHED = re.compile(r"([^\W\d_])\1\1+")
 _BEGINNINGS = (4, 5, 6, 7, 8)
 _NEAR = 4
 
@@ -43,6 +46,17 @@ def grams(word: str) -> list[str]:
     return [f"={word}", *(f"{word[:k]}*" for k in _BEGINNINGS if len(word) > k)]
 
 
+def squeezed(word: str) -> list[str]:
+    """What a word with stretched letters may stand for: each run of three or more as one or two letters (from the
+    ninth run on as one; no learned beginning is longer)."""
+    runs = len(_STRETCHED.findall(word))
+    out = []
+    for lengths in itertools.product((1, 2), repeat=min(runs, 8)) if runs else ():
+        left = iter(lengths)
+        out.append(_STRETCHED.sub(lambda m: m[1] * next(left, 1), word))  # noqa: B023
+    return out
+
+
 class Features:
     """Turns texts into rows of ``FEATURES``. ``lexicon``: learned gram -> log odds."""
 
@@ -54,8 +68,9 @@ class Features:
         """Whether the seed list has it; its weight; the gram that gave it."""
         found = self.known.get(word)
         if found is None:
-            best = max(((self.lexicon[g], g) for g in grams(word) if g in self.lexicon), default=(0.0, ""))
-            found = (word in SEED_LEXICON, *best)
+            forms = [word, *squeezed(word)]
+            best = max(((self.lexicon[g], g) for f in forms for g in grams(f) if g in self.lexicon), default=(0.0, ""))
+            found = (any(f in SEED_LEXICON for f in forms), *best)
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[word] = found
@@ -85,15 +100,15 @@ class Features:
             near += any(x in SECOND_PERSON for x in lower[max(0, i - _NEAR) : i + _NEAR + 1])
         letters = sum(map(len, words))
         capitals = sum(w.isupper() and len(w) > 1 for w in words)
-        shown = _OBFUSCATED.findall(text) if any(c in text for c in "@*$!013457") else []
+        shown = _OBFUSCATED.findall(text) if _SIGN.search(text) else []
         hidden = sum(bool(look(x.lower().translate(LOOKALIKES))[0] or look(x.lower().translate(LOOKALIKES))[2]) for x in shown)
         marks = {c: text.count(c) for c in "!?.,;:#*$%&|<>\"'()-"}
         beginnings = max((c for g, c in by_gram.items() if g.endswith("*")), default=0)
         ascii_bytes = len(text.encode("utf-8", "replace"))
         return [
             math.log1p(len(words)), math.log1p(len(text)), seed, 100 * seed / n, strong, 100 * strong / n, weak, 100 * weak / n, weight, 100 * weight / n, most, beginnings, len(by_gram),
-            near, 100 * you / n, capitals / n, sum(map(str.isupper, text)) / chars if capitals else 0.0, 100 * marks["!"] / n, 100 * marks["?"] / n, sum(marks[c] for c in "!?.,;:\"'()-") / n, sum(marks[c] for c in "#*$%&|<>") / n,
-            100 * len(shown) / n, hidden, 100 * len(_REPEATED.findall(text)) / n if capitals or hidden or strong else 0.0, sum(w.isdigit() for w in words) / n, (ascii_bytes - len(text)) / chars, letters / n,
+            near, 100 * you / n, capitals / n, sum(map(str.isupper, text)) / chars, 100 * marks["!"] / n, 100 * marks["?"] / n, sum(marks[c] for c in "!?.,;:\"'()-") / n, sum(marks[c] for c in "#*$%&|<>") / n,
+            100 * len(shown) / n, hidden, 100 * len(_REPEATED.findall(text)) / n, sum(w.isdigit() for w in words) / n, (ascii_bytes - len(text)) / chars, letters / n,
         ]
 
     def __call__(self, texts: list[str]) -> np.ndarray:

@@ -70,3 +70,12 @@ def test_odd_rows(spark, odd, empty, documents, small):
 @pytest.mark.parametrize("text", ["", "x", "!!!", "\U0001f600"])
 def test_model_without_trees(text):
     assert toxicity.ToxicityModel({}, None, None, 0.25).score([text], toxicity.Features({})).tolist() == [0.25]
+
+
+def test_features_need_no_other_sign():
+    """Each sign counts by itself, whatever else the text holds."""
+    row = lambda text: dict(zip(toxicity.FEATURES, toxicity.Features({"=kill": 3.0}).row(text), strict=True))
+    stretched = row("what a stuuupid thing to kiiilll")
+    assert stretched["repeated_letters"] > 0 and stretched["seed_count"] == 2 and stretched["strong_count"] == 1
+    assert row("a w8rd here")["obfuscated"] == row("a w8rd here $")["obfuscated"] > 0
+    assert row("The House of Anna")["capital_letters"] > 0
