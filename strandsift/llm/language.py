@@ -218,7 +218,7 @@ def fit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", k
     are used, and of their (word, language) pairs the ``frequent`` most frequent and ``rare`` others in the order of a
     hash; the ``languages`` most frequent languages can be predicted."""
     usable = docs.where(F.col(text_column).isNotNull() & F.col(lang_column).isNotNull())
-    chosen = usable.select(F.col(key_column).alias("key")).orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(sample_docs).distinct()
+    chosen = usable.select(F.col(key_column).alias("key")).distinct().orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(sample_docs)
     sample = usable.select(F.col(key_column).alias("key"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang")).join(F.broadcast(chosen), "key", "left_semi")  # at most sample_docs keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

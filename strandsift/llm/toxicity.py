@@ -145,14 +145,17 @@ def _gram_counts(texts: DataFrame, kept: frozenset[str] | None) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_rows: int = 12_000, lexicon_size: int = 600) -> ToxicityModel:
     """Learns from ``docs`` that ``labels`` (id column, label 0/1) marks. At most ``sample_rows`` labels are used, the
-    first in the order of the id's hash, so that the labels, and not the texts, travel to the join; the lexicon keeps
+    first in the order of the id's hash, so that the labels, and not the texts, travel to the join, and one row of each
+    id, that with the smallest hash of its text; the lexicon keeps
     at most ``lexicon_size`` grams. Other labels, null ids and null labels teach nothing; a null text is an empty one.
     Without both labels the score is the share of toxic rows (0.0 of none)."""
     spark = docs.sparkSession
     labels = labels.where(F.col("label").isin(0, 1)).select(F.col(id_column).alias("key"), F.col("label").cast("int").alias("label"))
     chosen = labels.groupBy("key").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(sample_rows)
     texts = docs.select(F.col(id_column).alias("key"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "key")  # at most sample_rows keys
+    # at most sample_rows rows: of an id on several rows one text, chosen before rows of one id come together
+    one = texts.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    sample = one.select("key", F.col("least.text").alias("text"), "label")
     sample = materialize(sample.repartition(max(4, spark.sparkContext.defaultParallelism), "key"))
     total, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if toxic < 3 or total - toxic < 3:
