@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 POOLINGS = ("mean", "cls")
+#: Tokens of a batch of sequences without a limit of length.
+_BATCH_TOKENS = 65_536
 
 
 class Encoder(Protocol):
@@ -21,7 +23,7 @@ class Encoder(Protocol):
 
     def info(self) -> dict: ...
 
-    def hidden(self, sequences: list[str], max_length: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
+    def hidden(self, sequences: list[str], max_length: int | None, layer: int) -> tuple[np.ndarray, np.ndarray]:
         """(batch, tokens, dim) and the mask (batch, tokens), special tokens included."""
         ...
 
@@ -40,11 +42,11 @@ class KmerEncoder:
         raw = b"".join(xxhash.xxh64_digest(token.encode(), seed) for seed in range(-(-self.dim // 8)))
         return (np.frombuffer(raw, np.uint8)[: self.dim].astype(np.float32) - 127.5) / 127.5
 
-    def hidden(self, sequences: list[str], max_length: int = 1022, layer: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def hidden(self, sequences: list[str], max_length: int | None = 1022, layer: int = -1) -> tuple[np.ndarray, np.ndarray]:
         if not -self.layers <= layer < self.layers:
             raise ValueError(f"layer {layer} of {self.layers}")
         width = 1 + layer % self.layers * (self.k - 1)  # deeper layers see more context
-        tokens = [["<s>", *(s[i : i + width] for i in range(min(len(s), max_length))), "</s>"] for s in sequences]
+        tokens = [["<s>", *(s[i : i + width] for i in range(len(s) if max_length is None else min(len(s), max_length))), "</s>"] for s in sequences]
         place: dict[str, int] = {}
         at = [[place.setdefault(t, len(place)) for t in row] for row in tokens]
         table = np.stack([self._vector(t) for t in place]) if place else np.zeros((1, self.dim), np.float32)
@@ -60,8 +62,9 @@ def pool(hidden: np.ndarray, mask: np.ndarray, how: str = "mean") -> np.ndarray:
     return (hidden * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1e-9)
 
 
-def encode(df: DataFrame, encoder: Encoder, sequence: str = "seq", output: str = "embedding", batch_size: int = 32, max_length: int = 1022, pooling: str = "mean", layer: int = -1) -> DataFrame:
-    """``df`` with an array<float> column ``output``. Longer sequences are cut to ``max_length``; null ones give null."""
+def encode(df: DataFrame, encoder: Encoder, sequence: str = "seq", output: str = "embedding", batch_size: int = 32, max_length: int | None = 1022, pooling: str = "mean", layer: int = -1) -> DataFrame:
+    """``df`` with an array<float> column ``output``. Longer sequences are cut to ``max_length`` (None: never);
+    null ones give null. Without a limit, batches of long sequences have fewer of them."""
     if pooling not in POOLINGS:
         raise ValueError(f"unknown pooling {pooling!r}; known: {', '.join(POOLINGS)}")
     columns = [c for c in df.columns if c != output]
@@ -72,8 +75,15 @@ def encode(df: DataFrame, encoder: Encoder, sequence: str = "seq", output: str =
         for batch in batches:
             vectors: list = []
             values = batch.column(at).to_pylist()
-            for k in range(0, len(values), batch_size):
-                part = values[k : k + batch_size]
+            k = 0
+            while k < len(values):
+                part, longest = values[k : k + batch_size], 0
+                for i, s in enumerate(part):
+                    longest = max(longest, len(s or "") if max_length is None else 0)
+                    if i and (i + 1) * longest > _BATCH_TOKENS:
+                        part = part[:i]
+                        break
+                k += len(part)
                 hidden, mask = encoder.hidden([s or "" for s in part], max_length, layer)
                 vectors += [None if s is None else v.tolist() for s, v in zip(part, pool(hidden, mask, pooling), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*columns, output])

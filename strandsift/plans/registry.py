@@ -218,17 +218,17 @@ def fasta_roundtrip(spark, sf_dir):
 
 
 def sw_scores(spark, sf_dir):
-    return align.align_all(_sequences(spark, sf_dir, "benchmark", "item_id").where("id % 50 = 0"), _sequences(spark, sf_dir))
+    return align.align_all(_sequences(spark, sf_dir, "benchmark", "item_id").where("id % 50 = 0"), _sequences(spark, sf_dir), max_length=None)
 
 
 def sw_pairs(spark, sf_dir):
     items, docs = _sequences(spark, sf_dir, "benchmark", "item_id"), _sequences(spark, sf_dir)
     pairs = items.select(F.col("id").alias("query_id")).join(docs.select(F.col("id").alias("db_id")), F.col("query_id") == F.col("db_id"))
-    return align.align_listed(pairs, items, docs)
+    return align.align_listed(pairs, items, docs, max_length=None)
 
 
 def _encoded(df):
-    return encode.encode(df, encode.KmerEncoder()).select("id", "embedding")
+    return encode.encode(df, encode.KmerEncoder(), max_length=None).select("id", "embedding")
 
 
 def encode_kmer(spark, sf_dir):
@@ -241,7 +241,7 @@ def sw_rerank(spark, sf_dir):
     """Embedding search over all documents, the candidates then ranked by alignment."""
     items, docs = _sequences(spark, sf_dir, "benchmark", "item_id").where("id % 50 = 0"), _sequences(spark, sf_dir)
     hits = search.search(_encoded(items), _encoded(docs), 20)
-    return _rounded(align.rerank(hits, items, docs), "score")
+    return _rounded(align.rerank(hits, items, docs, max_length=None), "score")
 
 
 def substitution_scores(spark, sf_dir):

@@ -47,3 +47,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 100
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_texts_are_encoded_and_aligned(spark, tmp_path):
+    """What lies behind the first 1,022 and 1,024 letters counts."""
+    head = "ACDEFGHIKL" * 150
+    spark.createDataFrame([(0, head + "WWWWYYYYWWWW" * 9), (1, head)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "WWWWYYYYWWWW" * 9)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert len({r.norm for r in run("encode_kmer")}) == 2
+    for name in ("sw_scores", "sw_rerank"):
+        scores = {r.db_id: r.sw_score for r in run(name)}
+        assert scores[0] > scores[1] >= 0
+    assert run("sw_pairs")[0].sw_score == scores[0]
