@@ -3,8 +3,8 @@
 Markup is stripped to lines, one for each block of text, with the length of the text that is no link. The lines'
 lengths are summed over sliding windows; where the sums rise over the limit is a surge, where they fall below it for
 good a dive, and the text between is the article. Containers whose role is known from the markup (navigation, footers,
-asides, forms, scripts, adverts, notices, comments) are never lines. Where the page itself marks an article, its lines
-alone are looked at, and any text makes a surge: short paragraphs of an article stay."""
+asides, forms, scripts, adverts, notices, comments) are never lines. Where the page itself marks an article that holds at least as
+much text as all outside it, this rule replaces the windows: its lines are the text, short paragraphs included."""
 
 from __future__ import annotations
 
@@ -175,11 +175,14 @@ def _inline_end(page: str, name: str, at: int) -> int | None:
     return None
 
 
-def main_text(page: str, width: int = 3, limit: int = 120) -> str:
+def main_text(page: str, width: int = 3, limit: int = 120, marks: bool = True) -> str:
     """The article's blocks, joined by an empty line. ``width``: lines in a window; ``limit``: characters outside links
-    that a window needs for a surge, where the page marks no article."""
+    that a window needs for a surge, where the page marks no article or marks less text than it leaves unmarked.
+    ``marks``: whether marks count at all."""
     found = lines(page)
     inside = [x for x in found if x[2]]
+    if not marks or sum(x[1] for x in inside) < sum(x[1] for x in found if not x[2]):
+        inside = []  # a teaser or a frame is marked, and most of the text is not
     if inside:
         found, limit = inside, 1
     lengths = [plain for _, plain, _ in found]

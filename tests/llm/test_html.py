@@ -59,3 +59,8 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "page_id long, html string").withColumn("main_text", F.lit("old"))
     got = sorted((r.page_id or 0, r.main_text) for r in html_text.extract(df).collect())
     assert got == [(0, "y"), (1, ""), (2, ""), (3, "x"), (3, "x")] and html_text.extract(df.limit(0)).count() == 0
+
+
+def test_a_marked_teaser_is_not_the_article():
+    for mark in ("<article><p>Read also this.</p></article>", "<main><h1>Head</h1></main>"):
+        assert f"{MAIN}\n\n{MAIN}" in html_text.main_text(f"<body>{mark}<div>{BODY}{BODY}</div></body>")
