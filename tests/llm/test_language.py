@@ -106,3 +106,9 @@ def test_held_out_rows_teach_nothing(spark, small, tmp_path):
     df.withColumn("lang", F.when(queries.crc_remainder("doc_id", 3) == 1, F.lit("xx")).otherwise(F.col("lang"))).write.parquet(f"{tmp_path}/documents.parquet")
     a, b = ({r.doc_id: r.lang_pred for r in queries.op10_language(spark, f).collect()} for f in (small, str(tmp_path)))
     assert a == b and "xx" not in set(b.values())
+
+
+def test_rows_of_one_id_take_one_place(spark):
+    rows = [(1, "one two three", "en")] * 5 + [(2, "eins zwei drei", "de")] * 5
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=2, epochs=1)
+    assert model.languages == ["de", "en"]

@@ -79,3 +79,9 @@ def test_features_need_no_other_sign():
     assert stretched["repeated_letters"] > 0 and stretched["seed_count"] == 2 and stretched["strong_count"] == 1
     assert row("a w8rd here")["obfuscated"] == row("a w8rd here $")["obfuscated"] > 0
     assert row("The House of Anna")["capital_letters"] > 0
+
+
+def test_rows_of_one_id_teach_once(spark):
+    docs = spark.createDataFrame([(1, "a b")] * 10 + [(2, "c"), (3, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, label int")
+    assert toxicity.fit(docs, labels).rate == pytest.approx(1 / 3)
