@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandsift.llm.common import materialize
+from strandsift.llm.common import materialize, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,10 +27,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node that has a link; ``component`` is the smallest node reachable.
 
     ``edges`` has two long columns; nulls, loops and repeats are ignored. Alternates large-star and small-star until
-    nothing changes, which takes about log2(longest path) rounds; each round is written to the shared folder."""
+    nothing changes, which takes about log2(longest path) rounds; each round is written to the shared folder, as a table
+    and not as a checkpoint, since a checkpoint hands on what the optimizer has inferred, which grows from round to round."""
     a, b = edges.columns[:2]
     links = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    links = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    links = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
 
     def state(df: DataFrame):
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -39,7 +40,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        links = materialize(_star(_star(links, large=True), large=False))
+        links = stored(_star(_star(links, large=True), large=False))
         now = state(links)
         if now == before:
             break

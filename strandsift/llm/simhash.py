@@ -24,29 +24,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandsift.llm.bktree import Forest, Union
-from strandsift.llm.common import encoded, materialize, small, stored
+from strandsift.llm.common import encoded, materialize
 from strandsift.llm.components import connected_components
 
 SEED = 42
 
 
-def fingerprint(text: bytes, words: int = 4) -> int:
-    """SimHash of the ``words``-word shingles of a UTF-8 text, repeats included; 0 for a text without words.
-
-    A-Z are lower-cased; words are runs of anything but ASCII white space. A bit is set if more than half of the
-    shingles' XXH64 have it."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """The XXH64 of each of the ``words``-word shingles of a UTF-8 text, repeats included; of the whole sequence if it
+    has fewer words; nothing of a text without words. A-Z are lower-cased; words are runs of anything but ASCII white
+    space."""
     tokens = text.lower().split()
-    if not tokens:
-        return 0
+    digest = xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(tokens), SEED)
+        return np.array([digest(b" ".join(tokens), SEED)] if tokens else [], np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
-    digest = xxhash.xxh64_intdigest
     n = len(tokens) - words + 1
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n)
-    return majority(hashes)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: bytes, words: int = 4) -> int:
+    """SimHash of the ``words``-word shingles of a UTF-8 text, repeats included; 0 for a text without words. A bit is
+    set if more than half of the shingles' XXH64 have it."""
+    return majority(shingle_hashes(text, words))
 
 
 def _counts(hashes: np.ndarray) -> np.ndarray:
@@ -149,181 +151,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     prints = materialize(fingerprints(docs, id_column, text_column, words))
     distinct = materialize(prints.groupBy("print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")))
     component = connected_components(links(distinct.select("print"), radius, shard_rows))
-    named = distinct.join(component.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    # written, so that the join below has two plain shuffles and a print that many rows share can be split
+    named = materialize(distinct.join(component.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print")))
+    # both sides are written, so that the joins have two plain shuffles each and a print or component of many rows can be split
+    least = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")))
     named = materialize(named.join(least, "component").select("print", "component_id", "rows"))
     return prints.join(named, "print").select(F.col("id").alias(id_column), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id", (F.col("rows") > 1).alias("is_copy"))
-
-
-def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
-    """The distinct XXH64 of a text's word shingles (fewer words: the whole sequence)."""
-    tokens = text.lower().split()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(tokens[i : i + words]), SEED) for i in range(max(1, len(tokens) - words + 1))], np.uint64)) if tokens else np.zeros(0, np.uint64)
-
-
-def _least_shared(size, similarity: float):
-    """Shingles that a text of ``size`` shingles shares at least with one of that Jaccard similarity."""
-    return np.ceil(similarity * size - 1e-9).astype(np.int64)
-
-
-def _common_shingles(texts: DataFrame, words: int, rows: int, sample_docs: int = 20_000, least: int = 3, most: int = 200_000) -> np.ndarray:
-    """Shingles that many texts hold, rarest first, from a sample. Only the order of shingles follows from them, which
-    decides the cost of the join below and never its result."""
-    step = max(1, rows // sample_docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in encoded(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(_shingle_hashes(text, words).view(np.int64))], names=["token"])
-
-    tokens = texts.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("text").mapInArrow(run, "token long")
-    top = tokens.groupBy("token").count().where(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(most).toPandas()
-    return top["token"].to_numpy(np.int64)[::-1].view(np.uint64)
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text", shard_rows: int = 4096, few: int = 32) -> DataFrame:
-    """(node, component) of every id: the smallest id of its group of near-duplicates, itself if it has none.
-
-    Near-duplicates have a Jaccard similarity of at least ``similarity`` on distinct ``words``-word shingles. Ids must
-    be whole numbers; null ids are left out. The join is exact. Texts with equal shingle sets fold to one node. In any
-    common order of all shingles, two near-duplicates share one of the first n - ceil(similarity * n) + 1 of each one's n
-    shingles; the order puts shingles known to be common last. The nodes of a shingle with up to ``few`` of them give
-    their pairs, less those that sizes and positions rule out, which are verified on the shingle sets. For a shingle
-    with more, the sets themselves go to shards of about ``shard_rows`` rows, each two stripes of a large one in a shard of
-    their own; every pair there is compared or known to be in one group, and a forest of verified links comes out."""
-    own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("id is not null")
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = [xxhash.xxh3_128_digest(_shingle_hashes(text, words).tobytes()) for text in encoded(batch.column(1))]
-            pq = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(pq[:, k])) for k in (0, 1))], names=["id", "p", "q"])
-
-    sketches = materialize(own.mapInArrow(sketch, "id long, p long, q long"))
-    nodes = materialize(sketches.groupBy("p", "q").agg(F.min("id").alias("node")))
-    copies = small(materialize(sketches.join(nodes, ["p", "q"]).where("id <> node").select("id").distinct()))
-    texts = own.join(copies, "id", "left_anti")
-    common = _common_shingles(texts, words, nodes.count())
-    by_value = np.argsort(common)
-    common, place = common[by_value], by_value + 1
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, tokens = [], []
-            for text in encoded(batch.column(1)):
-                own = _shingle_hashes(text, words)
-                late = np.zeros(len(own), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                    late = np.where(common[at] == own, place[at], 0)
-                kept = len(own) - int(_least_shared(len(own), similarity)) + 1
-                sizes.append(len(own))
-                tokens.append(own[np.lexsort((own, late))][:kept].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["id", "n", "tokens"])
-
-    # one row per node, also where rows repeat an id
-    firsts = stored(texts.mapInArrow(first, "id long, n int, tokens array<long>").join(nodes.select(F.col("node").alias("id")), "id", "left_semi"))
-    posts = firsts.select("id", "n", F.posexplode("tokens").alias("at", "token"))
-    shared = small(materialize(posts.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("values")).where("rows > 1")), 1_000_000)
-    posts = materialize(posts.join(shared, "token"))
-    side = lambda x: posts.where(F.col("rows") <= few).select("token", *[F.col(c).alias(x + c) for c in ("id", "n", "at")])
-    met = side("a").join(side("b"), "token").where("aid < bid").where(F.least("an", "bn") + 1e-9 >= similarity * F.greatest("an", "bn"))
-    met = met.groupBy("aid", "bid", "an", "bn").agg(F.count(F.lit(1)).alias("c"), F.max("aat").alias("aat"), F.max("bat").alias("bat"))
-    # what both share lies among the shared shingles up to the last of these, which are all counted, and behind it. A pair that
-    # also shares a shingle of more than ``few`` nodes may count too little here and is looked at there
-    bound = F.col("c") + F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")) - 1
-    pairs = materialize(met.where(bound * (1 + similarity) + 1e-6 >= similarity * (F.col("an") + F.col("bn"))).select(F.col("aid").alias("a"), F.col("bid").alias("b")))
-    many = posts.where(F.col("rows") > few)
-    linked = small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(many.select("id")).distinct()))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                hashes = [_shingle_hashes(t, words).view(np.int64) for t in encoded(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "shingles"])
-
-    known = stored(own.join(linked, "id", "left_semi").mapInArrow(sets, "id long, shingles array<long>"))
-    both = pairs.join(known.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    size = F.size(F.array_intersect("x", "y"))
-    verified = both.where(size + 1e-9 >= similarity * (F.size("x") + F.size("y") - size)).select("a", "b")
-
-    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, held = None, [], []
-        for batch in batches:
-            values = batch.column(2)
-            ends = values.offsets.to_numpy()
-            flat = values.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for k, (s, i) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if s != shard and ids:
-                    yield _verified_forest(ids, held, similarity)
-                    ids, held = [], []
-                shard = s
-                ids.append(i)
-                held.append(flat[ends[k] : ends[k + 1]].copy())
-        if ids:
-            yield _verified_forest(ids, held, similarity)
-
-    stripes = F.greatest(F.ceil(F.col("rows") * 2 / F.lit(shard_rows)), F.ceil(F.col("values") / F.lit(2_000_000))).cast("int")
-    stripes = F.when((F.col("rows") <= shard_rows) & (F.col("values") <= 4_000_000), 1).otherwise(stripes)
-    striped = many.select("id", "token", stripes.alias("stripes")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("stripes")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("stripes") - 1), lambda t: F.xxhash64(F.col("token"), F.least(F.col("own"), t), F.greatest(F.col("own"), t)))
-    shards = striped.select("id", F.explode(meets).alias("shard")).join(known, "id").select("shard", "id", "shingles")
-    across = shards.repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(forests, "a long, b long")
-    # copies of one text are no part of the graph; written, so that a text that many rows share can be split below
-    component = connected_components(verified.unionByName(across)).withColumnRenamed("node", "_node")
-    named = materialize(nodes.join(component, nodes["node"] == component["_node"], "left").select("p", "q", F.coalesce("component", "node").alias("component")))
-    return sketches.join(named, ["p", "q"]).select(F.col("id").alias("node"), "component")
-
-
-def _verified_forest(ids: list[int], held: list[np.ndarray], similarity: float) -> pa.RecordBatch:
-    """(a, b) that span the groups of sets of at least that Jaccard similarity. A row is compared with all that are not
-    done; rows of small groups come first, and it ends when those left are one group, so no pair of two groups is left
-    out."""
-    m = len(ids)
-    size = np.fromiter(map(len, held), np.int64, m)
-    row = np.repeat(np.arange(m), size)
-    _, token = np.unique(np.concatenate(held), return_inverse=True)
-    by_token = row[np.argsort(token, kind="stable")]
-    ends = np.cumsum(np.bincount(token))
-    begins = np.r_[0, ends[:-1]]
-    starts = np.cumsum(size) - size
-    group, left = np.arange(m), np.ones(m, bool)
-    a, b = [], []
-    while True:
-        sizes = np.bincount(group[left], minlength=m)
-        if (sizes > 0).sum() < 2:
-            break
-        open_rows = np.flatnonzero(left)
-        i = open_rows[sizes[group[open_rows]].argmin()]
-        left[i] = False
-        own = token[starts[i] : starts[i] + size[i]]
-        count = ends[own] - begins[own]
-        to = np.cumsum(count)
-        shared = np.bincount(by_token[np.arange(to[-1]) + np.repeat(begins[own] - (to - count), count)], minlength=m)
-        like = np.flatnonzero(left & (group != group[i]) & (shared + 1e-9 >= similarity * (size + size[i] - shared)))
-        if len(like):
-            joined, at = np.unique(group[like], return_index=True)
-            a += [ids[i]] * len(at)
-            b += [ids[k] for k in like[at].tolist()]
-            group[np.isin(group, joined)] = group[i]
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the one with the smallest id; null ids come last.
-
-    Rows are told apart by a key of their own in a written table, so that rows that repeat an id, or have none, are
-    judged each by its own text. A row with neither id nor text stays."""
-    key = "_strandsift_row"
-    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()))
-    usable = rows.where(F.col(id_column).isNotNull() | F.col(text_column).isNotNull())
-    groups = materialize(similar_groups(usable, words, similarity, key, text_column).withColumnRenamed("node", key))
-    # only groups of several rows need an order by id
-    several = groups.groupBy("component").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("component")
-    members = materialize(rows.select(key, F.col(id_column).alias("_id")).join(groups, key).join(several, "component").select(key, "component", F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col(key).alias("row")).alias("order")))
-    first = members.groupBy("component").agg(F.min("order").alias("first")).select(F.col("first.row").alias(key))
-    out = small(materialize(members.select(key).join(first, key, "left_anti")))
-    return rows.join(out, key, "left_anti").select(docs.columns)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from strandsift.llm import simhash
+from strandsift.llm import similar, simhash
 from strandsift.llm.bktree import Forest, Union
 from strandsift.llm.components import connected_components
 
@@ -119,7 +119,7 @@ def test_similar_groups_equal_brute_force(spark):
             rows.append((n, " ".join(own)))
             n += 1
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.node: r.component for r in simhash.similar_groups(df).collect()}
+    got = {r.node: r.component for r in similar.similar_groups(df).collect()}
     to = list(range(n))
     for a in range(n):
         for b in range(a):
@@ -127,7 +127,7 @@ def test_similar_groups_equal_brute_force(spark):
                 x, y = to[a], to[b]
                 to = [min(x, y) if t in (x, y) else t for t in to]
     assert [got.get(i, i) for i in range(n)] == to
-    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == {i for i in range(n) if to[i] == i}
+    assert {r.doc_id for r in similar.drop_near_duplicates(df).collect()} == {i for i in range(n) if to[i] == i}
 
 
 @pytest.mark.parametrize("shard_rows", [4096, 16])
@@ -139,13 +139,13 @@ def test_similar_groups_in_hot_shards(spark, shard_rows):
         own = list(base)
         own[draw.randrange(400)] = f"x{i}"
         rows.append((i, " ".join(own)))
-    got = {r.node: r.component for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), shard_rows=shard_rows).collect()}
+    got = {r.node: r.component for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), shard_rows=shard_rows).collect()}
     assert got == dict.fromkeys(range(120), 0)
 
 
 def test_drop_odd_rows(odd, empty):
-    kept = simhash.drop_near_duplicates(odd)
-    assert kept.columns == odd.columns and simhash.drop_near_duplicates(empty).count() == 0
+    kept = similar.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns and similar.drop_near_duplicates(empty).count() == 0
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 3, 6, 7, 8] and ids.count(None) == 2
 
@@ -173,7 +173,7 @@ def test_large_groups_lose_no_pair(spark, shard_rows):
         texts.append(" ".join(own))
     want = brute_similar(texts)
     assert 1 < len(set(want)) < 120
-    got = {r.node: r.component for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shard_rows=shard_rows).collect()}
+    got = {r.node: r.component for r in similar.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shard_rows=shard_rows).collect()}
     assert [got[i] for i in range(len(texts))] == want
 
 
@@ -184,7 +184,7 @@ def test_short_texts_lose_no_pair(spark):
     for _ in range(400):
         own = [f"w{draw.randrange(10**6)}" for _ in range(9)]
         texts += [" ".join(own[:8]), " ".join(own)]
-    got = {r.node: r.component for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.node: r.component for r in similar.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(800)] == [i // 2 * 2 for i in range(800)]
 
 
@@ -192,5 +192,5 @@ def test_drop_is_by_row(spark):
     """Rows that share an id, or have none, are judged each by its own text."""
     copy, other, third = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     rows = [(1, copy), (2, copy), (2, other), (3, third), (3, third), (None, copy), (None, "d e f g h i j"), (None, "d e f g h i j")]
-    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = similar.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(got, key=str) == sorted([(1, copy), (2, other), (3, third), (None, "d e f g h i j")], key=str)
