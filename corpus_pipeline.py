@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandsift.llm import decontaminate, packing, pii, simhash, toxicity
+from strandsift.llm import decontaminate, packing, pii, similar, toxicity
 from strandsift.llm.common import crc_remainder, stored, table
 
 
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id."""
-    return simhash.drop_near_duplicates(docs, words=5)
+    return similar.drop_near_duplicates(docs, words=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
