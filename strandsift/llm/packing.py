@@ -8,9 +8,10 @@ been served floor(w X_s) - floor(w X_(s-1)) tokens. The windows are full by cons
 number of windows and partitions, and each document finds its pieces from nothing but the place where it starts in its
 queue. So partitions need no hand-over but one prefix sum per queue.
 
-When the first queue runs out (at natural proportions: at the end) the mixture can no longer hold; what the queues
-still have then follows queue by queue, again in full windows, so that no token is dropped and only the last window is
-padded.
+A queue that cannot serve its next quantum in full retires, and round-robin goes on with the others, their proportions
+scaled up to full windows. So the closed form holds in phases, one for each time that queues retire, each of which starts
+with no deficits. What retired queues still had, less than a quantum each, and queues of no proportion follow at the end,
+queue by queue, again in full windows: no token is dropped, and only the last window is padded.
 
 Queues whose quantum would be under one token are pooled into one, document by document, which bounds the number of
 queues by ``length`` + 1 however many sources there are."""
@@ -86,7 +87,9 @@ class Encoder:
         if self._fast is not None:
             try:
                 return self._fast.encode_ordinary(text)
-            except Exception:  # noqa: BLE001  its regex engine gives up on some runs
+            except (KeyboardInterrupt, SystemExit, MemoryError):
+                raise
+            except BaseException:  # noqa: BLE001  its regex engine gives up on some runs, by an error or by a panic
                 pass
         return self._slowly(text)
 
@@ -122,48 +125,67 @@ class Plan:
 
     def __init__(self, totals: dict[str, int], weights: dict[str, float] | None, length: int):
         self.length = length
-        self.names = list(totals)
-        self.place = {n: s for s, n in enumerate(self.names)}
-        total = np.array([totals[n] for n in self.names], object)
-        share = np.array([(weights or totals)[n] for n in self.names], float)
-        share = share / share.sum() if share.sum() else np.full(len(share), 1 / max(len(share), 1))
-        edges = np.r_[0, np.round(np.cumsum(share) * length * 2**_POINT)].astype(np.int64)
-        if len(edges) > 1:
-            edges[-1] = length << _POINT
-        self.edges = edges
-        #: full windows that every queue can serve
-        self.full = min((self._last(s, int(total[s])) for s in range(len(self.names)) if edges[s + 1] > edges[s]), default=0)
-        left = np.array([int(total[s]) - int(self._served(s, np.array([self.full]))[0]) for s in range(len(self.names))], np.int64)
+        self.place = {n: s for s, n in enumerate(totals)}
+        left = np.array([int(x) for x in totals.values()], np.int64)
+        share = np.array([(weights or totals)[n] for n in totals], float)
+        #: of each phase: its first window, its windows, and where each queue's quantum starts and ends in fixed point
+        self.first: list[int] = []
+        self.windows: list[int] = []
+        self.edges: list[np.ndarray] = []
+        before = [np.zeros(len(left), np.int64)]
+        active = (share > 0) & (left > 0)
+        while active.any():
+            own = np.where(active, share, 0.0)
+            edges = np.r_[0, np.round(np.cumsum(own / own.sum()) * length * 2**_POINT)].astype(np.int64)
+            edges[np.flatnonzero(active)[-1] + 1 :] = length << _POINT
+            most = self._last(edges, left, active)
+            full = int(most[active].min())
+            if full:
+                self.first.append(sum(self.windows))
+                self.windows.append(full)
+                self.edges.append(edges)
+                served = _served(edges, full)
+                before.append(before[-1] + served)
+                left = left - served
+            active &= most > full
+        #: of each queue, its ids before each phase; the last row: before the end part
+        self.before = np.array(before)
+        self.full = sum(self.windows)
         self.tail = np.r_[0, np.cumsum(left)]
 
-    def _served(self, s: int, w: np.ndarray) -> np.ndarray:
-        return ((w * self.edges[s + 1]) >> _POINT) - ((w * self.edges[s]) >> _POINT)
-
-    def _last(self, s: int, tokens: int) -> int:
-        """The most windows for which queue ``s`` has its ids."""
-        low, high = 0, (tokens + 2 << _POINT) // int(self.edges[s + 1] - self.edges[s]) + 2
-        while low < high:
+    @staticmethod
+    def _last(edges: np.ndarray, left: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """The most windows for which each active queue has its quanta; 0 of others."""
+        rate = np.diff(edges)
+        low = np.zeros(len(left), np.int64)
+        high = np.array([(int(n) + 2 << _POINT) // int(r) + 2 if on and r else 0 for n, r, on in zip(left, rate, active, strict=True)], np.int64)
+        while (low < high).any():
             mid = (low + high + 1) // 2
-            low, high = (mid, high) if int(self._served(s, np.array([mid]))[0]) <= tokens else (low, mid - 1)
+            fits = ((mid * edges[1:]) >> _POINT) - ((mid * edges[:-1]) >> _POINT) <= left
+            low, high = np.where(fits, mid, low), np.where(fits, high, np.maximum(mid - 1, low))
         return low
 
     def pieces(self, queue: str, start: int, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start in the document, length, window, offset) of what lies at ``start`` to ``start + tokens`` of a queue."""
         s = self.place[queue]
-        rate = int(self.edges[s + 1] - self.edges[s])
-        mixed = int(self._served(s, np.array([self.full]))[0])
+        marks = self.before[:, s]
         at = []
-        if start < mixed:
-            stop = min(start + tokens, mixed)
-            low = max(0, (start << _POINT) // rate - 2)
-            high = min(self.full, ((stop << _POINT) // rate) + 3)
-            w = np.arange(low, high + 1)
-            cut = self._served(s, w)
-            begin, end = np.maximum(cut[:-1], start), np.minimum(cut[1:], stop)
-            some = end > begin
-            w, begin, end, first = w[:-1][some], begin[some], end[some], cut[:-1][some]
-            ahead = (((w + 1) * self.edges[s]) >> _POINT) - ((w * self.edges[s]) >> _POINT)
-            at.append((begin - start, end - begin, w, ahead + begin - first))
+        for k in range(max(0, int(np.searchsorted(marks, start, "right")) - 1), len(self.windows)):
+            if marks[k] >= start + tokens:
+                break
+            if marks[k + 1] <= start or marks[k + 1] == marks[k]:
+                continue
+            edges, base = self.edges[k], int(marks[k])
+            rate = int(edges[s + 1] - edges[s])
+            begin, end = max(start, base) - base, min(start + tokens, int(marks[k + 1])) - base
+            w = np.arange(max(0, (begin << _POINT) // rate - 2), min(self.windows[k], (end << _POINT) // rate + 3) + 1)
+            cut = ((w * edges[s + 1]) >> _POINT) - ((w * edges[s]) >> _POINT)
+            a, b = np.maximum(cut[:-1], begin), np.minimum(cut[1:], end)
+            some = b > a
+            w, a, b, first = w[:-1][some], a[some], b[some], cut[:-1][some]
+            ahead = (((w + 1) * edges[s]) >> _POINT) - ((w * edges[s]) >> _POINT)
+            at.append((a + base - start, b - a, w + self.first[k], ahead + a - first))
+        mixed = int(marks[-1])
         if start + tokens > mixed:
             begin = max(start, mixed)
             place, n = int(self.tail[s]) + begin - mixed, start + tokens - begin
@@ -173,6 +195,11 @@ class Plan:
         return tuple(np.concatenate(x) for x in zip(*at, strict=True))
 
 
+def _served(edges: np.ndarray, windows: int) -> np.ndarray:
+    """Ids of each queue in so many windows."""
+    return np.diff((windows * edges) >> _POINT)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, weights: dict[str, float] | None = None, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """(id column, start, length, ids_crc32, doc_tokens, sequence_id, offset, source): one row per piece.
 

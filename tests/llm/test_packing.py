@@ -1,5 +1,7 @@
+import random
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -98,3 +100,63 @@ def test_plan_for_a_huge_corpus():
     plan = packing.Plan({"a": 10**13, "b": 3 * 10**12, "c": 7}, {"a": 10, "b": 3, "c": 1e-9}, 1024)
     start, length, window, offset = plan.pieces("a", 5 * 10**12 + 3, 100_000)
     assert length.sum() == 100_000 and (np.diff(start) == length[:-1]).all() and (np.diff(window) >= 0).all() and (offset + length <= 1024).all()
+
+
+def plain_round_robin(totals, weights, length):
+    """Window by window: what each queue serves; then what retired queues still have. Quanta have 16 binary places."""
+    left, windows = dict(totals), []
+
+    def quanta(k):
+        return Fraction(round(Fraction(sum(weights[p] for p in active[: k + 1]) * length * 2**16, whole)), 2**16)
+
+    active = [q for q in totals if weights[q] > 0 and totals[q]]
+    while active:
+        whole = sum(weights[q] for q in active)
+        credit = dict.fromkeys(active, Fraction(0))  # of the queue and those before it, since the phase began
+        while True:
+            serve, before = {}, 0
+            for k, q in enumerate(active):
+                ahead = int(credit[q] + quanta(k)) - int(credit[q])
+                serve[q], before = ahead - before, ahead
+            if any(serve[q] > left[q] for q in active):
+                active = [q for q in active if serve[q] <= left[q]]
+                break
+            for k, q in enumerate(active):
+                credit[q] += quanta(k)
+                left[q] -= serve[q]
+            windows.append(serve)
+    return windows, left
+
+
+@pytest.mark.parametrize(
+    ("totals", "weights"),
+    [({"a": 1000, "b": 9000, "c": 9500}, {"a": 1, "b": 1, "c": 1}), ({"a": 77, "b": 0, "c": 5000, "d": 3}, {"a": 2, "b": 1, "c": 5, "d": 8}), ({"a": 640, "b": 1280, "c": 500}, {"a": 1, "b": 2, "c": 0}), ({"a": 63}, {"a": 1})],
+)
+def test_plan_equals_plain_round_robin(totals, weights):
+    length = 64
+    plan = packing.Plan(totals, weights, length)
+    windows, left = plain_round_robin(totals, weights, length)
+    got, taken = defaultdict(lambda: defaultdict(int)), defaultdict(set)
+    draw = random.Random(1)
+    for q, n in totals.items():
+        at = 0
+        while at < n:  # documents of any size
+            size = min(n - at, draw.choice((1, 5, 60, 900)))
+            start, part, window, offset = plan.pieces(q, at, size)
+            assert start.tolist() == [0, *np.cumsum(part).tolist()[:-1]] and part.sum() == size
+            for p, w, o in zip(part.tolist(), window.tolist(), offset.tolist(), strict=True):
+                got[w][q] += p
+                assert not taken[w] & set(range(o, o + p))
+                taken[w] |= set(range(o, o + p))
+            at += size
+    assert plan.full == len(windows)
+    for w, serve in enumerate(windows):
+        assert got[w] == {q: n for q, n in serve.items() if n}
+    assert sum(sum(got[w].values()) for w in got if w >= len(windows)) == sum(left.values())
+    assert all(taken[w] == set(range(length)) for w in range(sum(totals.values()) // length))
+
+
+def test_very_long_runs_of_spaces(spark, slow):
+    text = "a" + " " * 2_000_000 + "b"
+    got = packing.pack(spark.createDataFrame([(1, text, "s"), (2, "c", "s")], "doc_id long, text string, source string"), PATH).where("doc_id = 1").collect()
+    assert sum(r.length for r in got) == len(slow.encode(text, add_special_tokens=False).ids) + 1
