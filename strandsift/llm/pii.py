@@ -10,7 +10,9 @@ shape is then trained on those soft labels and decides which candidates become s
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,8 +37,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-_SECRET = re.compile(r"(?<![A-Za-z0-9_])([A-Za-z_]{2,24}(?:[_-][A-Za-z]{1,12}){0,2})\x20?[=:]\x20?[\"']?([A-Za-z0-9+/_\-]{12,256}={0,2})(?![A-Za-z0-9+/])")
-_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{2,64})\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?([A-Za-z0-9-]{2,63})\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?([A-Za-z]{2,10})(?![A-Za-z0-9])", re.I)
+# runs are possessive and have no upper bound; a name of more than three parts is found by its last three
+_SECRET = re.compile(r"(?<![A-Za-z0-9_])([A-Za-z_]{2,}+(?:-[A-Za-z_]++){0,2})\x20?[=:]\x20?[\"']?([A-Za-z0-9+/_\-]{12,}+={0,2})(?![A-Za-z0-9+/])")
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{2,}+)\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?([A-Za-z0-9-]{2,}+)\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?([A-Za-z]{2,}+)(?![0-9])", re.I)
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.\-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -126,20 +129,18 @@ def candidates(text: str) -> list[Candidate]:
         found += [Candidate("national_id", m.start(), m.end(), False) for m in _NATIONAL.finditer(text)]
         found += [Candidate("phone", m.start(), m.end(), False) for m in _LOCAL_PHONE.finditer(text)]
         found += [Candidate("iban", m.start(), m.end(), False) for m in _IBAN.finditer(text)]
-    whole = [(c.start, c.end) for c in out]
+    starts = [c.start for c in out]
+    reach = list(itertools.accumulate((c.end for c in out), max))
     taken = []
     for c in sorted(found, key=lambda c: (c.start, -c.end)):
         # a secret may hold what looks like a card number; anything else yields to the base
-        if c.kind != "secret" and _overlaps(whole, c) or taken and c.start < taken[-1].end:
+        k = bisect.bisect_left(starts, c.end)  # base spans that start before this one ends
+        if c.kind != "secret" and k and reach[k - 1] > c.start or taken and c.start < taken[-1].end:
             continue
         taken.append(c)
     return out + taken
 
 
-def _overlaps(spans: list[tuple[int, int]], c: Candidate) -> bool:
-    return any(a < c.end and c.start < b for a, b in spans)
-
-
 def _strict(text: str, c: Candidate) -> int:
     """The form, strictly: 1 yes, -1 no."""
     s = text[c.start : c.end]
