@@ -8,42 +8,36 @@ A SimHash tells similar texts only with some probability, while here no link may
 2. BK-trees over the fingerprints (``simhash.links``) give groups. The sets of a group meet in chunks of bounded size and
    are compared there; where a group has several chunks, one node for each part found meets again, until no chunk joins
    any more. So a ball of near copies, however large, shrinks to few parts, each node being sent once a round.
-3. Two similar sets share a shingle of both prefixes. Nodes of one part need no further look. For the others, shingles of
-   up to ``few`` nodes give pairs, less those that sizes and the number of shared shingles rule out, which are verified on
-   the sets. Shingles of more nodes are dealt to shards in which each node outside the largest part meets every other; the
-   sets are compared there and a forest of verified links comes out. Shingles of one and the same largest part share their
-   shards where that sends fewer sets.
+3. Two similar sets share shingles of both prefixes, the more the nearer their sizes. Shingles of up to ``few`` nodes give
+   pairs. A crowded shingle (up to ``shard_rows`` nodes) gives only the pairs that may share no others, as few of a text's
+   shingles are crowded and its sizes leave little choice. What sizes and the number of shared shingles rule out goes; the
+   rest is verified on the sets. Texts whose prefix is mostly crowded, and shingles of more nodes, are dealt to shards in
+   which each node outside the largest part meets every other; the sets are compared there and a forest of verified links
+   comes out. Shingles of one and the same largest part share their shards where that sends fewer sets.
 4. Components over all verified links.
 
 Steps 1, 3 and 4 find every link whatever step 2 did; step 2 decides what they cost."""
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandsift.llm import simhash
-from strandsift.llm.common import encoded, materialize, small, stored
+from strandsift.llm.common import encoded, keyed_rows, materialize, small, stored
 from strandsift.llm.components import connected_components
 
-_FILE, _INDEX = "_strandsift_file", "_strandsift_index"
 #: Shingles that a task holds at a time, about.
-_VALUES = 2_000_000
+_VALUES = 1_000_000
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with two columns that tell its rows apart: file and place of a Parquet scan, else of a written copy."""
-    if docs.inputFiles():
-        with contextlib.suppress(AnalysisException):  # no plain scan
-            return docs.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_INDEX))
-    return stored(docs.withColumns({_FILE: F.lit(""), _INDEX: F.monotonically_increasing_id()}))
+def _text(text_column: str) -> Column:
+    return F.col("row")[text_column].cast("string").alias("text")
 
 
 def _least_shared(size: int, similarity: float) -> int:
@@ -61,7 +55,7 @@ def _common_shingles(keyed: DataFrame, words: int, text_column: str, sample_docs
             for text in encoded(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(simhash.shingle_hashes(text, words)).view(np.int64))], names=["token"])
 
-    tokens = keyed.where(F.pmod(F.xxhash64(_FILE, _INDEX), F.lit(step)) == 0).select(F.col(text_column).cast("string")).mapInArrow(run, "token long")
+    tokens = keyed.where(F.pmod(F.xxhash64("file", "index"), F.lit(step)) == 0).select(_text(text_column)).mapInArrow(run, "token long")
     top = tokens.groupBy("token").count().where(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(most).toPandas()
     return top["token"].to_numpy(np.int64)[::-1].view(np.uint64)
 
@@ -94,8 +88,8 @@ def _sketches(keyed: DataFrame, words: int, similarity: float, id_column: str, t
                 columns = [pa.array(np.ascontiguousarray(pq[:, 0])), pa.array(np.ascontiguousarray(pq[:, 1])), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["file", "index", "doc", *names])
 
-    kind = keyed.schema[id_column].dataType.simpleString()
-    rows = keyed.select(F.col(_FILE).alias("file"), F.col(_INDEX).alias("index"), F.col(id_column).alias("doc"), F.col(text_column).cast("string").alias("text"))
+    kind = keyed.schema["row"].dataType[id_column].dataType.simpleString()
+    rows = keyed.select("file", "index", F.col("row")[id_column].alias("doc"), _text(text_column))
     out = rows.mapInArrow(run, f"file string, index long, doc {kind}, p long, q long, print long, n int, tokens array<long>")
     return stored(out.withColumn("id", F.monotonically_increasing_id()))
 
@@ -110,8 +104,8 @@ def _sets(keyed: DataFrame, sketches: DataFrame, wanted: DataFrame, words: int,
                 hashes = [np.unique(simhash.shingle_hashes(t, words)).view(np.int64) for t in encoded(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.list_(pa.int64())), pa.array(list(map(len, hashes)), pa.int64())], names=["id", "shingles", "n"])
 
-    keys = small(materialize(sketches.select("id", F.col("file").alias(_FILE), F.col("index").alias(_INDEX)).join(small(wanted), "id")))
-    return stored(keyed.select(_FILE, _INDEX, F.col(text_column).cast("string").alias("text")).join(keys, [_FILE, _INDEX]).select("id", "text").mapInArrow(run, "id long, shingles array<long>, n long"))
+    keys = small(materialize(sketches.select("id", "file", "index").join(small(wanted), "id")))
+    return stored(keyed.select("file", "index", _text(text_column)).join(keys, ["file", "index"]).select("id", "text").mapInArrow(run, "id long, shingles array<long>, n long"))
 
 
 def _forests(shards: DataFrame, similarity: float) -> DataFrame:
@@ -257,30 +251,53 @@ def _crowded(posts: DataFrame, known: DataFrame, parts: DataFrame, similarity: f
     return _forests(shards.join(known.select("id", "shingles"), "id"), similarity)
 
 
+def _candidates(sketches: DataFrame, shared: DataFrame, several: DataFrame, similarity: float, shard_rows: int, few: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to be verified, and (id, token) of the nodes that meet in shards. ``shared``: a token, its rows and its
+    first and last node; ``several``: id, n, token, rows of the tokens of more than two rows.
+
+    Of two prefixes' last shingles one comes first in the common order. What a pair shares up to it lies in both prefixes;
+    what it shares beyond it is no more than that text has beyond its prefix. So a similar pair shares at least ``needed``
+    shingles of the prefixes. If a text has fewer crowded ones (``h``) than that, the pair shares others too. A text with as
+    many as a pair of its own size needs is called heavy; two heavy texts meet in shards."""
+
+    def needed(an, bn):
+        beyond = F.greatest(*[F.ceil(F.col(n) * similarity - 1e-9) - 1 for n in (an, bn)])
+        return F.ceil((similarity * (F.col(an) + F.col(bn)) - 1e-6) / (1 + similarity)) - beyond
+
+    crowded = several.where((F.col("rows") > few) & (F.col("rows") <= shard_rows))
+    h = materialize(crowded.groupBy("id").agg(F.count(F.lit(1)).alias("h")))
+    crowded = materialize(crowded.join(h, "id").withColumn("heavy", F.col("h") >= needed("n", "n")))
+    side = lambda df, x, *more: df.select("token", *[F.col(c).alias(x + c) for c in ("id", "n", *more)])
+    rare = several.where(F.col("rows") <= few)
+    sizes = F.least("an", "bn") + 1e-9 >= similarity * F.greatest("an", "bn")
+    met = side(rare, "a").join(side(rare, "b"), "token").where(F.col("aid") < F.col("bid")).where(sizes).selectExpr("aid a", "bid b")
+    alone = ~(F.col("aheavy") & F.col("bheavy")) & (needed("an", "bn") <= F.least("ah", "bh"))
+    more = side(crowded, "a", "h", "heavy").join(side(crowded, "b", "h", "heavy"), "token").where(F.col("aid") < F.col("bid")).where(sizes & alone).selectExpr("aid a", "bid b")
+    met = materialize(shared.where("rows = 2").select("a", "b").unionByName(met).unionByName(more).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
+    hint = F.broadcast if met.count() <= 200_000 else (lambda x: x)
+    size = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(x + "n"))
+    met = size("b").join(hint(size("a").join(hint(met), "a")), "b").where(sizes)
+    for x in ("a", "b"):
+        met = met.join(small(h).withColumnsRenamed({"id": x, "h": x + "h"}), x, "left")
+    pairs = materialize(met.where(F.col("c") + F.coalesce(F.least("ah", "bh"), F.lit(0)) * (F.col("ah").isNotNull() & F.col("bh").isNotNull()).cast("int") >= needed("an", "bn")).select("a", "b"))
+    heavy = crowded.where("heavy").select("id", "token")
+    meeting = heavy.groupBy("token").agg(F.count(F.lit(1)).alias("together")).where("together > 1").select("token")
+    crowd = heavy.join(materialize(meeting), "token").select("id", "token").unionByName(several.where(F.col("rows") > shard_rows).select("id", "token"))
+    return pairs, materialize(crowd)
+
+
 def _groups(keyed: DataFrame, words: int, similarity: float, id_column: str, text_column: str, radius: int, shard_rows: int, few: int, sample_docs: int) -> tuple[DataFrame, DataFrame]:
     """The rows' sketches, and (p, q, component, rows) of the sets that belong to several rows."""
     sketches = _sketches(keyed, words, similarity, id_column, text_column, sample_docs)
     nodes = materialize(sketches.groupBy("p", "q").agg(F.min("id").alias("id"), F.min("print").alias("print"), F.count(F.lit(1)).alias("rows")))
     clusters = _fingerprint_groups(nodes, radius, shard_rows)
     copies = small(materialize(sketches.select("id", "p", "q").join(nodes.where("rows > 1").select("p", "q", F.col("id").alias("node")), ["p", "q"]).where("id <> node").select("id")), 1_000_000)
-    posts = sketches.select("id", "tokens").join(copies, "id", "left_anti").select("id", F.explode("tokens").alias("token"))
+    posts = sketches.select("id", "n", "tokens").join(copies, "id", "left_anti").select("id", "n", F.explode("tokens").alias("token"))
     shared = materialize(posts.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
     several = small(materialize(shared.where("rows > 2").select("token", "rows")), 1_000_000)
     several = materialize(posts.join(several, "token"))
-    side = lambda x: several.where(F.col("rows") <= few).select("token", F.col("id").alias(x))
-    met = shared.where("rows = 2").select("a", "b").unionByName(side("a").join(side("b"), "token").where("a < b").select("a", "b"))
-    met = materialize(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
-    hint = F.broadcast if met.count() <= 200_000 else (lambda x: x)
-    size = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(x + "n"))
-    met = size("b").join(hint(size("a").join(hint(met), "a")), "b")
-    # of the two prefixes' last shingles one comes first in the order; what the pair shares up to it lies in both prefixes
-    # and is counted, and what it shares beyond it is no more than that text has beyond its prefix. A pair that also shares
-    # a shingle of more than ``few`` nodes may count too little here and is looked at there
-    beyond = F.greatest(*[F.ceil(F.col(n) * similarity - 1e-9) - 1 for n in ("an", "bn")])
-    alike = (F.least("an", "bn") + 1e-9 >= similarity * F.greatest("an", "bn")) & ((F.col("c") + beyond) * (1 + similarity) + 1e-6 >= similarity * (F.col("an") + F.col("bn")))
-    pairs = materialize(met.where(alike).select("a", "b"))
-    many = several.where(F.col("rows") > few).select("id", "token")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(many.select("id")).unionByName(clusters.select("id"))
+    pairs, crowd = _candidates(sketches, shared, several, similarity, shard_rows, few)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowd.select("id")).unionByName(clusters.select("id"))
     known = _sets(keyed, sketches, materialize(wanted.distinct()), words, text_column)
     links = _contract(clusters, known, similarity, shard_rows)
     parts = materialize(connected_components(links))
@@ -289,7 +306,7 @@ def _groups(keyed: DataFrame, words: int, similarity: float, id_column: str, tex
     both = materialize(rest).join(held("a", "x"), "a").join(held("b", "y"), "b")
     size = F.size(F.array_intersect("x", "y"))
     verified = both.where(size + 1e-9 >= similarity * (F.size("x") + F.size("y") - size)).select("a", "b")
-    links = links.unionByName(verified).unionByName(_crowded(many, known, parts, similarity, shard_rows))
+    links = links.unionByName(verified).unionByName(_crowded(crowd, known, parts, similarity, shard_rows))
     component = connected_components(links).withColumnRenamed("node", "id")
     named = nodes.join(component, "id", "left").where("rows > 1 or component is not null")
     return sketches, materialize(named.select("p", "q", F.coalesce("component", "id").alias("component"), "rows"))
@@ -302,7 +319,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     is exact. ``radius`` and ``shard_rows`` are of the SimHash search, ``few`` and ``sample_docs`` of the join; none of
     them changes the result. Null and empty texts are one group; rows with a null id take part and get no row; an empty
     table gives an empty result; ids may be of any type that has an order; other columns may have any name."""
-    sketches, named = _groups(_keyed(docs), words, similarity, id_column, text_column, radius, shard_rows, few, sample_docs)
+    sketches, named = _groups(keyed_rows(docs), words, similarity, id_column, text_column, radius, shard_rows, few, sample_docs)
     members = sketches.select("doc", "p", "q").where("doc is not null").join(small(named), ["p", "q"], "left")
     least = members.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"))
     return members.join(materialize(least), "component", "left").select(F.col("doc").alias("node"), F.coalesce("least", "doc").alias("component"))
@@ -315,11 +332,11 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     are judged each by its own text. Null and empty texts are one group, of which one row stays; a row with neither id nor
     text always stays. An empty table stays empty. ``search``: see ``similar_groups``."""
     options = {"radius": 4, "shard_rows": 4096, "few": 32, "sample_docs": 8_000} | search
-    keyed = _keyed(docs)
-    usable = keyed.where(F.col(id_column).isNotNull() | F.col(text_column).isNotNull())
+    keyed = keyed_rows(docs)
+    usable = keyed.where(F.col("row")[id_column].isNotNull() | F.col("row")[text_column].isNotNull())
     sketches, named = _groups(usable, words, similarity, id_column, text_column, **options)
     order = F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("id").alias("id"))
     members = materialize(sketches.select("file", "index", "p", "q", "id", order.alias("order")).join(small(named), ["p", "q"]).select("file", "index", "id", "component", "order"))
     first = materialize(members.groupBy("component").agg(F.min("order").alias("first")).select(F.col("first.id").alias("id")))
-    out = small(materialize(members.join(first, "id", "left_anti").select(F.col("file").alias(_FILE), F.col("index").alias(_INDEX))))
-    return keyed.join(out, [_FILE, _INDEX], "left_anti").select(docs.columns)
+    out = small(materialize(members.join(first, "id", "left_anti").select("file", "index")))
+    return keyed.join(out, ["file", "index"], "left_anti").select("row.*")
