@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def ensure_shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The session's setting rules; only where it is unset (tests in
-    local mode) is a temporary folder made."""
+    """The folder that driver and executors share. The session's setting rules; only where it is unset in
+    local mode is a temporary folder made, and on a cluster that is an error."""
     context = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if known is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="strandsift-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(known)
@@ -47,6 +51,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(row, file, index): ``docs`` as structs, and what tells its rows apart: file and place in a Parquet scan, else in
+    a written copy."""
+    row = F.struct("*").alias("row")
+    if docs.inputFiles():
+        with contextlib.suppress(AnalysisException):  # no plain scan
+            return docs.select(row, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index"))
+    return stored(docs.select(row, F.lit("").alias("file"), F.monotonically_increasing_id().alias("index")))
+
+
+def first_by_hash(keys: DataFrame, column: str, rows: int) -> DataFrame:
+    """The first ``rows`` distinct keys in the order of their hash. A bound on the hash, from their approximate number,
+    leaves all but a few more of them where they are, so that no task sorts what grows with the table."""
+    place = F.xxhash64(F.col(column).cast("string"))
+    n = keys.agg(F.approx_count_distinct(column)).first()[0]
+    if n > 2 * rows:
+        keys = keys.where(place < F.lit(int(2**64 * 1.5 * rows / n) - 2**63))
+    return keys.select(column).distinct().orderBy(place, column).limit(rows)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be none of ``df``'s columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_remainder(column: str, divisor: int):
     """crc32 of the key as text, modulo ``divisor``: the folds that the queries hold out."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(divisor)

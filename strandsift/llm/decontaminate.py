@@ -11,8 +11,10 @@ shingle, and the rarest is the cheapest:
 3. A document's shingles probe the index; candidates that would overhang the document are dropped (the length bound);
    the rest are compared word by word.
 
-Windows go to the tasks in blocks of at most ``block_windows``, so what is broadcast has a fixed bound whatever the
-size of the benchmark: with more windows, documents pass through one such operator per block in the same scan."""
+Windows go to the tasks in blocks of at most about ``block_windows``. With one block, as usual, hits are found in the scan
+that goes on with the rows. With more, each block has a pass of its own that writes the rows with hits and gives its
+memory back before the next, so that driver and tasks hold one block whatever the size of the benchmark; what was found
+is then summed by row and joined to the rows."""
 
 from __future__ import annotations
 
@@ -23,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from strandsift.llm.common import encoded, materialize
+from strandsift.llm.common import encoded, free_name, keyed_rows, materialize, small
 
 #: ASCII letters are lower-cased; ASCII other than letters and digits separates words; bytes above 127 belong to them.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -136,12 +139,13 @@ def _shingle_counts(docs: DataFrame, wanted: set[tuple[bytes, ...]]) -> DataFram
     return docs.select("text").mapInArrow(run, "shingle binary, rows long").groupBy("shingle").agg(F.sum("rows").alias("rows"))
 
 
-_ADDED = "_contamination"
+_SPAN = StructType().add("first", "long").add("end", "long")
+_FOUND = StructType().add("items", ArrayType(StringType())).add("spans", ArrayType(_SPAN)).add("n_words", "long")
+_NOTHING = {"items": [], "spans": [], "n_words": 0}
 
 
-def mark(docs: DataFrame, items: DataFrame, window: int = 10, block_windows: int = 200_000, text_column: str = "text") -> DataFrame:
-    """``docs`` with a column _contamination: struct(items, spans, n_words), as contamination() describes. Rows stay
-    where they are; nothing of ``docs`` is shuffled."""
+def _windows(items: DataFrame, window: int) -> DataFrame:
+    """(window, items): each distinct window and the item ids, as text, that have it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,29 +153,60 @@ def mark(docs: DataFrame, items: DataFrame, window: int = 10, block_windows: int
             yield pa.RecordBatch.from_arrays([pa.array([i for i, ws in rows for _ in ws], pa.string()), pa.array([w for _, ws in rows for w in ws], pa.binary())], names=["item", "window"])
 
     cuts = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "item string, window binary")
-    windows = materialize(cuts.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    return materialize(cuts.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")))
+
+
+def mark(docs: DataFrame, items: DataFrame, window: int = 10, block_windows: int = 200_000, text_column: str = "text", output: str = "contamination") -> DataFrame:
+    """``docs`` with a struct column ``output``: items, spans and n_words, as contamination() describes, with the same
+    results for nulls, empty and long texts, repeats and empty tables. Every row stays, also where rows repeat. A column
+    that already has the output's name is replaced; others may have any name. Nothing of ``docs`` is shuffled while the
+    benchmark is one block."""
+    columns = [c for c in docs.columns if c != output]
+    docs = docs.select(columns)
+    windows = _windows(items, window)
     blocks = max(1, -(-windows.count() // block_windows))
-    texts = docs.select(F.col(text_column).cast("string").alias("text"))
-    columns = docs.columns
-    at = columns.index(text_column)
-    out = docs.withColumn(_ADDED, F.expr("named_struct('items', cast(array() as array<string>), 'spans', cast(array() as array<struct<first:bigint,end:bigint>>), 'n_words', 0L)"))
-    schema = out.schema
-    for block in range(blocks):
-        part = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).orderBy("window").collect()  # at most about block_windows rows
+    text = F.col(text_column).cast("string").alias("text")
+
+    def index_of(block: int):
+        part = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).orderBy("window").collect()  # about block_windows rows
         known = [(tuple(bytes(r.window).split(b" ")), list(r["items"])) for r in part]
         wanted = {ws[p : p + _SHINGLE] for ws, _ in known for p in range(max(1, len(ws) - _SHINGLE + 1))}
-        frequency = {tuple(bytes(r.shingle).split(b" ")): r.rows for r in _shingle_counts(texts, wanted).collect()} if wanted else {}
-        index = docs.sparkSession.sparkContext.broadcast(Index(known, window, frequency))
+        frequency = {tuple(bytes(r.shingle).split(b" ")): r.rows for r in _shingle_counts(docs.select(text), wanted).collect()} if wanted else {}
+        return docs.sparkSession.sparkContext.broadcast(Index(known, window, frequency))
+
+    def adding(index, at: int, names: list[str], before: int | None = None, only_hits: bool = False):
+        kind = pa.struct([("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("n_words", pa.int64())])
 
-        def probe(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = index.value
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(0, batch.num_rows, 256):
                     piece = batch.slice(k, 256)
-                    yield pa.RecordBatch.from_arrays([*piece.columns[:-1], _hits(piece.column(at), piece.column(len(columns)), own)], names=piece.schema.names)
-
-        out = out.mapInArrow(probe, schema)
-    return out
+                    known = [_NOTHING] * piece.num_rows if before is None else _merged(piece.column(before).to_pylist())
+                    found = _hits(piece.column(at), known, index.value if index else None)
+                    kept = [i for i, x in enumerate(found) if x["spans"] or not only_hits]
+                    own = [c for i, c in enumerate(piece.columns) if i != before]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(found, kind)], names=names).take(pa.array(kept, pa.int64()))
+
+        return run
+
+    if blocks == 1:
+        schema = StructType([*docs.schema.fields, StructField(output, _FOUND)])
+        return docs.mapInArrow(adding(index_of(0), columns.index(text_column), [*columns, output]), schema)
+    rows = keyed_rows(docs)
+    texts = rows.select("file", "index", F.col("row")[text_column].cast("string").alias("text"))
+    passes = []
+    for block in range(blocks):
+        index = index_of(block)
+        hits = texts.mapInArrow(adding(index, 2, ["file", "index", "text", "found"], only_hits=True), f"file string, index long, text string, found {_FOUND.simpleString()}")
+        passes.append(materialize(hits.select("file", "index", "found")))
+        index.destroy()
+    every = passes[0]
+    for one in passes[1:]:
+        every = every.unionByName(one)
+    by_row = small(materialize(every.groupBy("file", "index").agg(F.collect_list("found").alias("before"))))  # at most one for each block
+    joined = rows.join(by_row, ["file", "index"], "left").select("row", F.col("row")[text_column].cast("string").alias("text"), "before")
+    schema = StructType([*joined.select("row", "text").schema.fields, StructField("found", _FOUND)])
+    return joined.mapInArrow(adding(None, 1, ["row", "text", "found"], before=2), schema).select("row.*", F.col("found").alias(output))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_windows: int = 200_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -182,33 +217,36 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_win
     item id that occurs in several rows counts once, with the windows of all of them; a null item id is left out; an
     empty benchmark finds nothing; other columns are ignored."""
     base = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    out = mark(base, items, window, block_windows).select("id", f"{_ADDED}.*")
+    out = mark(base, items, window, block_windows).select("id", "contamination.*")
     return out.select(F.col("id").alias(id_column), "n_words", F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.first)").alias("n_hit"), "items", F.col("spans").alias("hit_spans"))
 
 
-def _hits(texts: pa.Array, known: pa.Array, index: Index) -> pa.Array:
-    """``known`` (items, spans, n_words) with the block's hits added."""
+def _merged(before: list) -> list[dict]:
+    """What several blocks have found in each text, as one."""
+    every = [[x for x in row or [] if x] for row in before]
+    return [{"items": [i for x in row for i in x["items"]], "spans": [s for x in row for s in x["spans"]], "n_words": 0} for row in every]
+
+
+def _hits(texts: pa.Array, known: list[dict], index: Index | None) -> list[dict]:
+    """``known`` (items, spans, n_words) with the hits of ``index`` added, spans merged and items sorted."""
     documents = [words(t) for t in encoded(texts)]
-    before = known.to_pylist()
-    document, window, start = index.find(documents)
-    order = np.lexsort((start, document))
-    by: dict[int, list[tuple[int, int]]] = {}
-    ids: dict[int, set[str]] = {}
-    for d, w, s, n in zip(document[order].tolist(), window[order].tolist(), start[order].tolist(), index.lengths[window[order]].tolist(), strict=True):
-        by.setdefault(d, []).append((s, s + n))
-        ids.setdefault(d, set()).update(index.items[w])
-    for d, found in by.items():
+    by: list[list[tuple[int, int]]] = [[(s["first"], s["end"]) for s in x["spans"]] for x in known]
+    ids: list[set[str]] = [set(x["items"]) for x in known]
+    if index is not None:
+        document, window, start = index.find(documents)
+        for d, w, s, n in zip(document.tolist(), window.tolist(), start.tolist(), index.lengths[window].tolist(), strict=True):
+            by[d].append((s, s + n))
+            ids[d].update(index.items[w])
+    out = []
+    for found, items, d in zip(by, ids, documents, strict=True):
         merged: list[list[int]] = []
-        for a, b in sorted([*found, *((x["first"], x["end"]) for x in before[d]["spans"])]):
+        for a, b in sorted(found):
             if merged and a <= merged[-1][1]:
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
-        before[d]["spans"] = [{"first": a, "end": b} for a, b in merged]
-        before[d]["items"] = sorted({*before[d]["items"], *ids[d]})
-    for own, d in zip(before, documents, strict=True):
-        own["n_words"] = len(d)
-    return pa.array(before, known.type)
+        out.append({"items": sorted(items), "spans": [{"first": a, "end": b} for a, b in merged], "n_words": len(d)})
+    return out
 
 
 def items_digest(items) -> str:
@@ -216,5 +254,7 @@ def items_digest(items) -> str:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` without the rows that hold a whole window of a benchmark item."""
-    return mark(docs, items, window).where(F.size(f"{_ADDED}.spans") == 0).drop(_ADDED)
+    """``docs`` without the rows that hold a whole window of a benchmark item. Null and empty texts, and all texts if the
+    benchmark is empty, stay; rows that repeat are judged each; columns may have any name."""
+    found = free_name(docs, "contamination")
+    return mark(docs, items, window, output=found).where(F.size(f"{found}.spans") == 0).drop(found)

@@ -11,6 +11,8 @@ The words come from at most ``sample_docs`` documents, and at most ``frequent``
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,9 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandsift.llm.common import materialize, strings
+from strandsift.llm.common import first_by_hash, materialize, strings
 
-_WORD = re.compile(r"[^\W\d_]+")
+
+def _ranges(kinds: str) -> str:
+    """The characters of these Unicode categories as ranges of a pattern's class."""
+    member = np.array([unicodedata.category(chr(c))[0] in kinds for c in range(sys.maxunicode + 1)])
+    edges = np.flatnonzero(np.diff(np.r_[False, member, False])).reshape(-1, 2)
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist())
+
+
+#: Letters and the marks that combine with them.
+_WORD = re.compile(f"[{_ranges('LM')}]+")
 _PIECE = 30
 UNKNOWN = "und"
 
@@ -218,7 +229,7 @@ def fit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", k
     are used, and of their (word, language) pairs the ``frequent`` most frequent and ``rare`` others in the order of a
     hash; the ``languages`` most frequent languages can be predicted."""
     usable = docs.where(F.col(text_column).isNotNull() & F.col(lang_column).isNotNull())
-    chosen = usable.select(F.col(key_column).alias("key")).distinct().orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(sample_docs)
+    chosen = first_by_hash(usable.select(F.col(key_column).alias("key")), "key", sample_docs)
     sample = usable.select(F.col(key_column).alias("key"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang")).join(F.broadcast(chosen), "key", "left_semi")  # at most sample_docs keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,3 +69,16 @@ def test_odd_rows(spark, odd, empty):
     assert decontaminate.contamination(empty, items).count() == 0
     assert decontaminate.contamination(odd, items.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.drop_contaminated(odd, items).count() == odd.count() - 3
+
+
+@pytest.mark.parametrize("block_windows", [200_000, 2])
+def test_clashing_names(spark, block_windows):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    for name in ("contamination", "_contamination", "file", "index", "row", "found"):
+        docs = docs.withColumn(name, F.lit(name))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    kept = decontaminate.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and {r._contamination for r in kept.collect()} == {"_contamination"}
+    marked = decontaminate.mark(docs, items, block_windows=block_windows, output="hits")
+    assert marked.columns == [*docs.columns, "hits"]
+    assert sorted((r.doc_id, len(r.hits["spans"]) > 0) for r in marked.collect()) == sorted((d, n > 0) for d, (_, n, _) in [(d, brute(DOCS, ITEMS)[d]) for d, _ in DOCS])
