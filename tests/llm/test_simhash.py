@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from strandsift.llm import similar, simhash
 from strandsift.llm.bktree import Forest, Union
@@ -194,3 +195,76 @@ def test_drop_is_by_row(spark):
     rows = [(1, copy), (2, copy), (2, other), (3, third), (3, third), (None, copy), (None, "d e f g h i j"), (None, "d e f g h i j")]
     got = similar.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(got, key=str) == sorted([(1, copy), (2, other), (3, third), (None, "d e f g h i j")], key=str)
+
+
+def matrix_components(texts, similarity=0.8, k=5):
+    """Components over all pairs, from counts of shared shingles as a product of matrices."""
+    sets = [{tuple(t.split()[i : i + k]) for i in range(max(1, len(t.split()) - k + 1))} for t in texts]
+    place = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(texts), len(place)), np.float32)
+    for i, own in enumerate(sets):
+        m[i, [place[s] for s in own]] = 1
+    shared, size = np.rint(m @ m.T), m.sum(1)
+    to = list(range(len(texts)))
+    for a, b in zip(*np.nonzero(shared + 1e-6 >= similarity * (size[:, None] + size - shared)), strict=True):
+        while to[a] != a:
+            a = to[a]
+        while to[b] != b:
+            b = to[b]
+        to[max(a, b)] = min(a, b)
+    for i in range(len(to)):
+        to[i] = to[to[i]]
+    return to
+
+
+def test_groups_near_the_threshold_equal_all_pairs(spark):
+    """Copies of a text of 300 words, four words of each changed at random: about one pair in twenty is similar."""
+    draw = random.Random(12)
+    texts, want = [], []
+    for group, copies in enumerate((60, 400, 1000)):
+        base, own = [f"g{group}w{i}" for i in range(300)], []
+        for i in range(copies):
+            words = list(base)
+            for p in draw.sample(range(300), 4):
+                words[p] = f"g{group}x{i}p{p}"
+            own.append(" ".join(words))
+        want += [x + len(texts) for x in matrix_components(own)]
+        texts += own
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.node: r.component for r in similar.similar_groups(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) < 40
+
+
+@pytest.mark.parametrize(("few", "shard_rows"), [(32, 4096), (4, 4096), (4, 24)])
+def test_shared_passages_lose_no_pair(spark, few, shard_rows):
+    """Texts made of passages that many others hold, so that most of what a pair shares is crowded."""
+    draw = random.Random(13)
+    passages = [[f"p{k}w{i}" for i in range(draw.randrange(20, 90))] for k in range(12)]
+    texts = []
+    for i in range(300):
+        words = [w for k in draw.sample(range(12), draw.choice((1, 2, 3))) for w in passages[k]]
+        texts.append(" ".join(words + [f"u{i}v{j}" for j in range(draw.choice((0, 1, 3, 10, 40)))]))
+    want = matrix_components(texts)
+    assert 20 < len(set(want)) < 280
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id string, text string").repartition(3)
+    got = {int(r.node): r.component for r in similar.similar_groups(df, few=few, shard_rows=shard_rows).collect()}
+    groups = {}
+    for i, c in got.items():
+        groups.setdefault(c, set()).add(i)
+    brute = {}
+    for i, c in enumerate(want):
+        brute.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
+    assert all(c == min(map(str, g)) for c, g in groups.items())
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Columns with the names that the operator uses, read from files and not."""
+    texts = [" ".join(f"w{i % 7}x{j}" for j in range(40)) for i in range(10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name in ("row", "file", "index", "id", "n", "tokens", "component", "p", "token"):
+        df = df.withColumn(name, F.lit(name))
+    df.write.parquet(f"{tmp_path}/t")
+    for docs in (df, spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/t").withColumn("_metadata", F.lit(1))):
+        kept = similar.drop_near_duplicates(docs)
+        assert kept.columns == docs.columns and {(r.doc_id, r.row, r.tokens) for r in kept.collect()} == {(i, "row", "tokens") for i in range(7)}
