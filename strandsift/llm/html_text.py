@@ -2,9 +2,10 @@
 
 Markup is stripped to lines, one for each block of text, with the length of the text that is no link. The lines'
 lengths are summed over sliding windows; where the sums rise over the limit is a surge, where they fall below it for
-good a dive, and the text between is the article. Containers whose role is known from the markup (navigation, footers,
-asides, forms, scripts, adverts, notices, comments) are never lines. Where the page itself marks an article that holds at least as
-much text as all outside it, this rule replaces the windows: its lines are the text, short paragraphs included."""
+good a dive, and the text between is the article, with the lines that share the container of its ends. Containers whose
+role is known from the markup (navigation, footers, asides, forms, scripts, adverts, notices, comments) are never lines.
+An article that the page itself marks is a prior on the lengths: if it holds at least as much text as all outside it, its
+lines weigh as much as a whole window needs, and the others nothing."""
 
 from __future__ import annotations
 
@@ -19,16 +20,19 @@ from pyspark.sql import functions as F
 from strandsift.llm.common import encoded
 
 #: Elements by what becomes of their content.
-RAW = frozenset("script style noscript template textarea title iframe object svg math select xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title iframe object select xmp noembed noframes".split())
 DROPPED = frozenset("nav header footer aside form head menu dialog button figure canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mspace mpadded semantics annotation svg g path rect circle ellipse line polyline polygon use defs text tspan""".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 dt dd".split())
 #: Parts of class, id and role names that name what is no article; whole names that do; and parts that
 #: turn a name into its opposite or into a mere frame of it.
 UNWANTED = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation navbox menu menubar breadcrumb breadcrumbs
 header masthead footer sidebar aside comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay
 newsletter subscribe subscription signup login share sharing social related recommended recommendations toolbar pagination pager contentinfo complementary search""".split())
+#: Of these, those that a single paragraph or heading can be.
+UNWANTED_PARAGRAPHS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices newsletter subscribe subscription comment comments hidden".split())
 UNWANTED_NAMES = frozenset("hidden widget rail skip".split())
 NEGATING = frozenset("has have with no not without is wrapper layout".split())
 
@@ -55,32 +59,37 @@ def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
     told = []
     for one in _names(attributes):
         parts = set(_PART.findall(one))
+        if name in CLOSED_BY_BLOCK:
+            told.append(bool(parts & UNWANTED_PARAGRAPHS) and not parts & NEGATING)
+            continue
         bad = parts & UNWANTED - ({"header"} if in_article else set())
         told.append(one in UNWANTED_NAMES or bool(bad) and not parts & NEGATING)
     return bool(told) and (all(told) if name in CLOSED_BY_BLOCK else any(told))
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article) of each block, in page order."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters outside links, inside an article, number of the container) of each block, in page order."""
+    out: list[tuple[str, int, bool, int]] = []
     buffer: list[str] = []
     plain = 0
-    stack: list[tuple[str, bool]] = []  # open elements that are not inline, and whether they are unwanted
-    unwanted = articles = links = 0
+    # open elements that are not inline, whether they are unwanted, and the container whose text theirs is
+    stack: list[tuple[str, bool, int]] = []
+    unwanted = articles = links = containers = 0
+    ends: dict[str, dict[int, int]] = {}
 
     def flush():
         nonlocal plain
         if buffer:
             text = _SPACE.sub(" ", "".join(buffer)).strip()
             if text:
-                out.append((text, plain, articles > 0))
+                out.append((text, plain, articles > 0, stack[-1][2] if stack else 0))
             buffer.clear()
         plain = 0
 
     def close(depth: int):
         nonlocal unwanted, articles
         while len(stack) > depth:
-            name, bad = stack.pop()
+            name, bad, _ = stack.pop()
             unwanted -= bad
             articles -= name in ("article", "main")
 
@@ -135,8 +144,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             elif name == "br":
                 say(" ")
             elif not closing and name not in VOID and _unwanted(name, attributes, articles > 0):
-                shut = _inline_end(page, name, at)
-                at = shut if shut is not None else at
+                if name not in ends:
+                    ends[name] = _inline_ends(page, name)
+                at = ends[name].get(lt, at)
             continue
         flush()
         links = 0
@@ -153,53 +163,58 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name in ("li", "option", "tr", "td", "th") and stack and stack[-1][0] == name:
             close(len(stack) - 1)
         if name in ("article", "main"):
-            for depth, (outer, _) in enumerate(stack):
+            for depth, (outer, _, _) in enumerate(stack):
                 if outer == "nav":  # never closed
                     close(depth)
                     break
         bad = _unwanted(name, attributes, articles > 0)
-        stack.append((name, bad))
+        containers += 1
+        stack.append((name, bad, stack[-1][2] if stack and name in CLOSED_BY_BLOCK else 0 if name in CLOSED_BY_BLOCK else containers))
         unwanted += bad
         articles += name in ("article", "main")
     flush()
     return out
 
 
-def _inline_end(page: str, name: str, at: int) -> int | None:
-    """Where the inline element opened before ``at`` ends, nesting counted; None if it never does."""
-    depth = 1
-    for m in re.compile(rf"<(/?){name}\b[^>]*>", re.I).finditer(page, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return None
+def _inline_ends(page: str, name: str) -> dict[int, int]:
+    """Where each inline element of that name that is closed begins and ends, nesting counted."""
+    opened: list[int] = []
+    out = {}
+    for m in re.compile(rf"<(/?){name}\b[^<>]*>", re.I).finditer(page):
+        if not m[1]:
+            opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
 
 
 def main_text(page: str, width: int = 3, limit: int = 120, marks: bool = True) -> str:
     """The article's blocks, joined by an empty line. ``width``: lines in a window; ``limit``: characters outside links
-    that a window needs for a surge, where the page marks no article or marks less text than it leaves unmarked.
-    ``marks``: whether marks count at all."""
+    that a window needs for a surge, or a quarter of the page's, if that is less. ``marks``: whether what the page marks
+    as its article counts as a prior. Between surge and dive, lines of the marked article stay, and of an unmarked one
+    those that are not almost all links."""
     found = lines(page)
-    inside = [x for x in found if x[2]]
-    if not marks or sum(x[1] for x in inside) < sum(x[1] for x in found if not x[2]):
-        inside = []  # a teaser or a frame is marked, and most of the text is not
-    if inside:
-        found, limit = inside, 1
-    lengths = [plain for _, plain, _ in found]
-    total = sum(lengths)
-    if not total:
-        return "\n\n".join(text for text, _, _ in found) if inside else ""
-    limit = min(limit, max(1, total // 4))
-    n = len(lengths)
+    n = len(found)
+    limit = min(limit, max(1, sum(plain for _, plain, _, _ in found) // 4))
+    inside = sum(plain for _, plain, own, _ in found if own)
+    marked = marks and any(own for _, _, own, _ in found) and 2 * inside >= sum(plain for _, plain, _, _ in found)
+    if marked:
+        weights = [limit + plain if own else 0 for _, plain, own, _ in found]
+    else:  # no mark, or a teaser or a frame is marked, and most of the text is not
+        weights = [plain for _, plain, _, _ in found]
+    kept = [w > 0 if marked else plain * 5 >= len(text) for w, (text, plain, _, _) in zip(weights, found, strict=True)]
     sums = [0] * (n + 1)
-    for i, x in enumerate(lengths):
+    for i, x in enumerate(weights):
         sums[i + 1] = sums[i] + x
-    surge = [i for i in range(n) if lengths[i] and sums[min(n, i + width)] - sums[i] >= limit]  # a line and those after it
-    dive = [i for i in range(n) if lengths[i] and sums[i + 1] - sums[max(0, i + 1 - width)] >= limit]  # a line and those before
-    if not surge or not dive or dive[-1] < surge[0]:
+    surge = next((i for i in range(n) if weights[i] and sums[min(n, i + width)] - sums[i] >= limit), n)  # a line and those after it
+    dive = next((i for i in range(n - 1, -1, -1) if weights[i] and sums[i + 1] - sums[max(0, i + 1 - width)] >= limit), -1)  # and those before
+    if dive < surge:
         return ""
-    first, last = (0, n - 1) if inside else (surge[0], dive[-1])
-    return "\n\n".join(text for text, plain, _ in found[first : last + 1] if inside or plain * 2 >= len(text))
+    while surge and kept[surge - 1] and found[surge - 1][3] == found[surge][3]:
+        surge -= 1
+    while dive + 1 < n and kept[dive + 1] and found[dive + 1][3] == found[dive][3]:
+        dive += 1
+    return "\n\n".join(found[i][0] for i in range(surge, dive + 1) if kept[i])
 
 
 def extract(pages: DataFrame, html_column: str = "html", output: str = "main_text") -> DataFrame:

@@ -50,7 +50,7 @@ def test_cases(name):
 
 
 def test_hard_input_takes_linear_time():
-    for page in ("<" * 200_000, "<!--" * 100_000, "<a b='" * 50_000, "<p>" * 100_000, "&" * 200_000, "<div class='x'>" * 20_000):
+    for page in ("<" * 200_000, "<!--" * 100_000, "<a b='" * 50_000, "<p>" * 100_000, "&" * 200_000, "<div class='x'>" * 20_000, "<span class='ad'>x" * 50_000, "<span class='ad' <b>" * 50_000):
         html_text.main_text(f"<article>{page}")
 
 
@@ -64,3 +64,18 @@ def test_odd_rows(spark):
 def test_a_marked_teaser_is_not_the_article():
     for mark in ("<article><p>Read also this.</p></article>", "<main><h1>Head</h1></main>"):
         assert f"{MAIN}\n\n{MAIN}" in html_text.main_text(f"<body>{mark}<div>{BODY}{BODY}</div></body>")
+
+
+def test_windows_find_what_marks_tell(spark):
+    """Pages whose marks are taken away have the same text, found by the windows alone."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    bare = [re.sub(r"</?(?:article|main)\b[^>]*>", lambda m: "</div>" if m[0][1] == "/" else "<div>", x) for x in pages]
+    assert all("<article" in x for x in pages) and not any("<article" in x or "<main" in x for x in bare)
+    same = [html_text.main_text(x) == html_text.main_text(y) == html_text.main_text(x, marks=False) for x, y in zip(pages, bare, strict=True)]
+    assert sum(same) >= 0.95 * len(same)
+
+
+def test_nothing_else_is_dropped():
+    page = f'<article><p>x <math><mi>y</mi><mo>+</mo><mn>1</mn></math> z</p><p class="search-results">kept?</p><p class="share rail">and this</p><p class="ad">no</p>{BODY}<p>now see <a href=a>one link</a> and then <a href=b>another link here</a></p></article>'
+    want = f"x y+1 z\n\nkept?\n\nand this\n\n{MAIN}\n\nnow see one link and then another link here"
+    assert html_text.main_text(page) == want and html_text.main_text(page.replace("article", "div")) == want
