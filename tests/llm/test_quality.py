@@ -62,3 +62,12 @@ def test_odd_rows_and_native_plan(odd, empty):
     assert got.count() == odd.count() and quality.judge(empty).count() == 0
     assert got.where("doc_id in (3, 4, 5) and kept").count() == 0 and got.where("doc_id = 1 and kept").count() == 1
     assert not re.search("Python|Arrow|Pandas", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_cheapest_first_is_conditional():
+    """The second rule rejects what the first one does, and the third little, but of the rest."""
+    patterns = {(True, True, False): 50, (False, False, True): 5, (False, True, False): 1, (False, False, False): 44}
+    assert quality.cheapest_first(patterns, [1.0, 1.0, 1.0]) == [1, 2, 0]
+    assert quality.cheapest_first(patterns, [1.0, 1.2, 1.1]) == [1, 2, 0]  # noise
+    assert quality.cheapest_first(patterns, [1.0, 100.0, 1.0]) == [0, 2, 1]
+    assert quality.cheapest_first({}, [4.0, 1.0]) == [1, 0]
