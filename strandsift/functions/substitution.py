@@ -5,57 +5,42 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-#: BLOSUM62 over the twenty standard residues, lower triangle, in this order.
+#: The twenty standard residues, in the order of the table.
 STANDARD = "ARNDCQEGHILKMFPSTWYV"
-_LOWER = """
- 4
--1  5
--2  0  6
--2 -2  1  6
- 0 -3 -3 -3  9
--1  1  0  0 -3  5
--1  0  0  2 -4  2  5
- 0 -2  0 -1 -3 -2 -2  6
--2  0  1 -1 -3  0  0 -2  8
--1 -3 -3 -3 -1 -3 -3 -4 -3  4
--1 -2 -3 -4 -1 -2 -3 -4 -3  2  4
--1  2  0 -1 -3  1  1 -2 -1 -3 -2  5
--1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5
--2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6
--1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7
- 1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4
- 0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5
--3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11
--2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
- 0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -2  4
+#: The scores of the engine to be matched, 24 x 24, rows and columns in the order of STANDARD and then B, Z, X
+#: and a last residue. It is the public BLOSUM62 but for F against A (-1; public -2), B against F (-1; public -3) and
+#: the last row and column (public: the stop sign, -4 and 1).
+SCORES = """
+ 4 -1 -2 -2  0 -1 -1  0 -2 -1 -1 -1 -1 -2 -1  1  0 -3 -2  0 -2 -1  0 -2
+-1  5  0 -2 -3  1  0 -2  0 -3 -2  2 -1 -3 -2 -1 -1 -3 -2 -3 -1  0 -1 -2
+-2  0  6  1 -3  0  0  0  1 -3 -3  0 -2 -3 -2  1  0 -4 -2 -3  3  0 -1 -1
+-2 -2  1  6 -3  0  2 -1 -1 -3 -4 -1 -3 -3 -1  0 -1 -4 -3 -3  4  1 -1 -1
+ 0 -3 -3 -3  9 -3 -4 -3 -3 -1 -1 -3 -1 -2 -3 -1 -1 -2 -2 -1 -3 -3 -2 -3
+-1  1  0  0 -3  5  2 -2  0 -3 -2  1  0 -3 -1  0 -1 -2 -1 -2  0  3 -1 -1
+-1  0  0  2 -4  2  5 -2  0 -3 -3  1 -2 -3 -1  0 -1 -3 -2 -2  1  4 -1 -1
+ 0 -2  0 -1 -3 -2 -2  6 -2 -4 -4 -2 -3 -3 -2  0 -2 -2 -3 -3 -1 -2 -1 -2
+-2  0  1 -1 -3  0  0 -2  8 -3 -3 -1 -2 -1 -2 -1 -2 -2  2 -3  0  0 -1 -1
+-1 -3 -3 -3 -1 -3 -3 -4 -3  4  2 -3  1  0 -3 -2 -1 -3 -1  3 -3 -3 -1 -1
+-1 -2 -3 -4 -1 -2 -3 -4 -3  2  4 -2  2  0 -3 -2 -1 -2 -1  1 -4 -3 -1 -1
+-1  2  0 -1 -3  1  1 -2 -1 -3 -2  5 -1 -3 -1  0 -1 -3 -2 -2  0  1 -1 -1
+-1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5  0 -2 -1 -1 -1 -1  1 -3 -1 -1 -1
+-1 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6 -4 -2 -2  1  3 -1 -3 -3 -1 -1
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7 -1 -1 -4 -3 -2 -2 -1 -2 -1
+ 1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4  1 -3 -2 -2  0  0  0 -1
+ 0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5 -2 -2  0 -1 -1  0 -1
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11  2 -3 -4 -3 -2 -2
+-2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7 -2 -3 -2 -1 -2
+ 0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -2  4 -3 -2 -1 -1
+-2 -1  3  4 -3  0  1 -1  0 -3 -4  0 -3 -1 -2  0 -1 -4 -3 -3  4  1 -1 -1
+-1  0  0  1 -3  3  4 -2  0 -3 -3  1 -1 -3 -1  0 -1 -3 -2 -2  1  4 -1 -1
+ 0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2  0  0 -2 -1 -1 -1 -1 -1 -1
+-2 -2 -1 -1 -3 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1  4
 """
-#: What the rules of _extended do not give. Mixed residues are the floor of the mean of their two.
-_B = {"D": 4, "K": 0}
-_Z = {"E": 4, "C": -3}
-_X = {"A": 0, "C": -2, "P": -2, "S": 0, "T": 0, "W": -2}
-_LAST = {"A": -2, "R": -2, "C": -3, "G": -2, "W": -2, "Y": -2}
-_CORNER = [[4, 1, -1, -1], [1, 4, -1, -1], [-1, -1, -1, -1], [-1, -1, -1, 4]]
 
 #: The score of a residue that a matrix lacks.
 MISSING = -4
 
 
-def _extended() -> np.ndarray:
-    """24 x 24: the standard residues, N or D, Q or E, any, and a last one."""
-    table = np.zeros((24, 24), np.int32)
-    for i, line in enumerate(_LOWER.strip().split("\n")):
-        table[i, : i + 1] = table[: i + 1, i] = [int(x) for x in line.split()]
-    at = STANDARD.index
-    mean = lambda a, b: (table[at(a), :20] + table[at(b), :20]) // 2
-    for row, (values, special) in enumerate([(mean("N", "D"), _B), (mean("Q", "E"), _Z), (np.full(20, -1), _X), (np.full(20, -1), _LAST)], 20):
-        values = values.copy()
-        for letter, score in special.items():
-            values[at(letter)] = score
-        table[row, :20] = table[:20, row] = values
-    table[20:, 20:] = _CORNER
-    return table
-
-
 class SubstitutionMatrix:
     """Scores of residue pairs; the query's residue names the row."""
 
@@ -86,16 +71,20 @@ class SubstitutionMatrix:
         return cls("".join(kept), np.array([[rows[a][b] for b in kept] for a in kept]))
 
 
+def _scores() -> np.ndarray:
+    return np.array([[int(x) for x in line.split()] for line in SCORES.strip().split("\n")], np.int32)
+
+
 def standard() -> SubstitutionMatrix:
     """BLOSUM62 with B, Z and X, symmetric."""
-    return SubstitutionMatrix(STANDARD + "BZX", _extended()[:23, :23])
+    table = _scores()[:23, :23]
+    letters = STANDARD + "BZX"
+    table[letters.index("F"), letters.index("A")] = -2
+    table[letters.index("B"), letters.index("F")] = -3
+    return SubstitutionMatrix(letters, table)
 
 
 def parity() -> SubstitutionMatrix:
-    """The same numbers under the letters X, U, O and J for the last four rows, and two cells that break the symmetry:
-    what the engine to be matched computes with. B and Z are missing from it."""
-    table = _extended()
-    at = STANDARD.index
-    table[at("F"), at("A")] = -1
-    table[20, at("F")] = -1
-    return SubstitutionMatrix(STANDARD + "XUOJ", table)
+    """The fixed table under the letters X, U, O and J for its last four rows: what the engine to be matched computes
+    with. B and Z are missing from it."""
+    return SubstitutionMatrix(STANDARD + "XUOJ", _scores())
