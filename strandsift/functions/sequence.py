@@ -43,7 +43,9 @@ def encode(seq: Column, max_len: int | None = None) -> Column:
     if max_len is not None:
         seq = F.rpad(F.substring(seq, 1, max_len), max_len, "X") if max_len else F.when(seq.isNotNull(), F.lit(""))
     letters = F.filter(F.split(seq, ""), lambda c: c != "")
-    return F.transform(letters, lambda c: F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c) - 1, F.lit(-1)), F.lit(UNKNOWN)).cast("tinyint"))
+    # a constant table by character code; what is beyond it is unknown too
+    table = F.array(*[F.lit(ALPHABET.index(chr(i)) if chr(i) in ALPHABET else UNKNOWN).cast("tinyint") for i in range(128)])
+    return F.transform(letters, lambda c: F.coalesce(F.get(table, F.ascii(c)), F.lit(UNKNOWN).cast("tinyint")))
 
 
 def decode(codes: Column) -> Column:

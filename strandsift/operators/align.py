@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandsift.functions.substitution import SubstitutionMatrix, parity
+from strandsift.sources.shared import one_by_one
 
 #: The score of a pair with a sequence longer than the limit.
 TOO_LONG = -1_000_000_000
@@ -106,12 +107,9 @@ def align_all(queries: DataFrame, database: DataFrame, block_rows: int = 2000, *
     # by id, so that a small table is not one task's; at any size the alignments cost far more than this shuffle
     database = database.select(F.col("id").alias("db_id"), F.col("seq").alias("db_seq")).repartition("db_id")
     blocks = max(1, -(-queries.count() // block_rows))
-    parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [queries]
-    out = None
-    for part in parts:
-        one = align_pairs(database.crossJoin(F.broadcast(part)).select("query_id", "db_id", "query_seq", "db_seq"), **options).select("query_id", "db_id", "sw_score")
-        out = one if out is None else out.unionByName(one)
-    return out
+    parts = (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries for b in range(blocks))
+    one = lambda part: align_pairs(database.crossJoin(F.broadcast(part)).select("query_id", "db_id", "query_seq", "db_seq"), **options).select("query_id", "db_id", "sw_score")
+    return one_by_one(map(one, parts), blocks > 1)
 
 
 def align_listed(pairs: DataFrame, queries: DataFrame, database: DataFrame, **options) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Protocol
+from typing import ClassVar, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +34,23 @@ class KmerEncoder:
 
     def __init__(self, dim: int = 64, k: int = 3, layers: int = 2):
         self.dim, self.k, self.layers = dim, k, layers
+        self.known: dict[str, np.ndarray] = {}  # token vectors of this process
 
     def info(self) -> dict:
         return {"name": f"kmer-{self.k}", "hidden_size": self.dim, "num_layers": self.layers, "num_attention_heads": 0, "vocab_size": 26**self.k, "max_position_embeddings": None}
 
+    def __getstate__(self):
+        return {"dim": self.dim, "k": self.k, "layers": self.layers, "known": {}}
+
     def _vector(self, token: str) -> np.ndarray:
+        found = self.known.get(token)
+        if found is None:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            found = self.known[token] = self._hashed(token)
+        return found
+
+    def _hashed(self, token: str) -> np.ndarray:
         raw = b"".join(xxhash.xxh64_digest(token.encode(), seed) for seed in range(-(-self.dim // 8)))
         return (np.frombuffer(raw, np.uint8)[: self.dim].astype(np.float32) - 127.5) / 127.5
 
@@ -56,6 +68,44 @@ class KmerEncoder:
         return table[index] * mask[:, :, None], mask
 
 
+class FolderEncoder:
+    """A learned encoder from a folder in the transformers layout, or a model name that library can resolve.
+
+    The model is loaded at the first batch of each worker process, so only the folder's name travels; the folder must be
+    readable by every executor. transformers and torch are needed there and nowhere else."""
+
+    _loaded: ClassVar[dict[tuple, tuple]] = {}
+
+    def __init__(self, folder: str, half_precision: bool = True, device: str = "cpu"):
+        self.folder, self.half_precision, self.device = folder, half_precision, device
+
+    def _model(self) -> tuple:
+        key = (self.folder, self.half_precision, self.device)
+        if key not in self._loaded:
+            import torch
+            from transformers import AutoModel, AutoTokenizer
+
+            model = AutoModel.from_pretrained(self.folder).eval().to(torch.device(self.device))
+            self._loaded[key] = (torch, AutoTokenizer.from_pretrained(self.folder), model.half() if self.half_precision else model)
+        return self._loaded[key]
+
+    @property
+    def dim(self) -> int:
+        return self._model()[2].config.hidden_size
+
+    def info(self) -> dict:
+        config = self._model()[2].config
+        return {"name": self.folder, "hidden_size": config.hidden_size, "num_layers": config.num_hidden_layers, "num_attention_heads": config.num_attention_heads, "vocab_size": config.vocab_size, "max_position_embeddings": config.max_position_embeddings}
+
+    def hidden(self, sequences: list[str], max_length: int | None = 1022, layer: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        torch, tokenizer, model = self._model()
+        cut = {"truncation": True, "max_length": max_length} if max_length is not None else {}
+        given = {k: v.to(torch.device(self.device)) for k, v in tokenizer(sequences, return_tensors="pt", padding=True, **cut).items()}
+        with torch.no_grad():
+            states = model(**given, output_hidden_states=True).hidden_states[layer]
+        return states.float().cpu().numpy(), given["attention_mask"].float().cpu().numpy()
+
+
 def pool(hidden: np.ndarray, mask: np.ndarray, how: str = "mean") -> np.ndarray:
     if how == "cls":
         return hidden[:, 0]
@@ -97,7 +147,7 @@ def encode_single(spark, seq: str, encoder: Encoder, max_length: int = 1022) ->
     return encode(spark.createDataFrame([(seq,)], "seq string"), encoder, max_length=max_length).select("embedding").first()[0]
 
 
-_REGISTRY = {"kmer": KmerEncoder}
+_REGISTRY = {"kmer": KmerEncoder, "folder": FolderEncoder}
 
 
 def register_encoder(name: str, make) -> None:

@@ -4,11 +4,12 @@ Two plans give the same rows. 'native' is one Catalyst plan: a broadcast block o
 functions, and a row_number that Spark turns into partial and final group limits. 'blocks' multiplies each Arrow batch
 of the database with a block of queries in numpy and keeps the k best of each batch, so that only k rows per query and
 batch reach the shuffle. 'auto' takes 'blocks' from a number of pairs on. Queries always come in blocks of bounded
-size; the database is never broadcast nor collected."""
+size, one after another where there are several; the database is never broadcast nor collected."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from strandsift.functions import vector
+from strandsift.sources.shared import one_by_one
 
 #: Scores are compared after rounding, so that the order of summation does not decide ties.
 DIGITS = 9
@@ -24,21 +26,38 @@ _BLOCK_VALUES = 16_000_000
 _NATIVE_PAIRS = 30_000
 
 
-def _pairs(queries: DataFrame, database: DataFrame, score) -> DataFrame:
-    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("_q"))
+def _parts(queries: DataFrame, blocks: int) -> Iterator[DataFrame]:
+    """``queries`` in so many blocks by the hash of the id."""
+    return (queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else queries for b in range(blocks))
+
+
+def _blocks(queries: DataFrame, values: int) -> int:
+    """Blocks of about ``values`` vector components at most."""
+    size, rows = queries.agg(F.max(F.size("embedding")), F.count(F.lit(1))).first()
+    return max(1, -(-max(size or 0, 1) * rows // values))
+
+
+def _pairs(queries: DataFrame, database: DataFrame, score, values: int) -> DataFrame:
+    blocks = _blocks(queries, values)
     d = database.select(F.col("id").alias("db_id"), F.col("embedding").alias("_d"))
-    return d.crossJoin(F.broadcast(q)).select("query_id", "db_id", score(F.col("_q"), F.col("_d")).alias("score"))
+
+    def one(part: DataFrame) -> DataFrame:
+        q = part.select(F.col("id").alias("query_id"), F.col("embedding").alias("_q"))
+        return d.crossJoin(F.broadcast(q)).select("query_id", "db_id", score(F.col("_q"), F.col("_d")).alias("score"))
+
+    return one_by_one((one(p) for p in _parts(queries, blocks)), blocks > 1)
 
 
-def dot_scores(queries: DataFrame, database: DataFrame) -> DataFrame:
-    """(query_id, db_id, score): plain dot products. Both inputs have columns id and embedding."""
-    return _pairs(queries, database, vector.dot)
+def dot_scores(queries: DataFrame, database: DataFrame, block_values: int = _BLOCK_VALUES) -> DataFrame:
+    """(query_id, db_id, score): plain dot products. Both inputs have columns id and embedding. Queries are broadcast in
+    blocks of about ``block_values`` components at most, one after another."""
+    return _pairs(queries, database, vector.dot, block_values)
 
 
-def cosine_scores(queries: DataFrame, database: DataFrame) -> DataFrame:
-    """(query_id, db_id, score): both sides are normalised once, below the join."""
+def cosine_scores(queries: DataFrame, database: DataFrame, block_values: int = _BLOCK_VALUES) -> DataFrame:
+    """(query_id, db_id, score): as dot_scores, both sides being normalised once, below the join."""
     unit = lambda df: df.select("id", F.explode(F.array(vector.l2_normalize(F.col("embedding")))).alias("embedding"))
-    return _pairs(unit(queries), unit(database), vector.dot)
+    return _pairs(unit(queries), unit(database), vector.dot, block_values)
 
 
 def top_k(scores: DataFrame, k: int, strict: bool = False, database_rows: int | None = None) -> DataFrame:
@@ -80,7 +99,7 @@ def _block_top_k(database: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: in
     return database.mapInArrow(run, f"query_id {kinds[0]}, db_id {kinds[1]}, score double")
 
 
-def search(queries: DataFrame, database: DataFrame, k: int = 10, strategy: str = "auto", exclude_self: bool = False, strict: bool = False) -> DataFrame:
+def search(queries: DataFrame, database: DataFrame, k: int = 10, strategy: str = "auto", exclude_self: bool = False, strict: bool = False, block_values: int = _BLOCK_VALUES) -> DataFrame:
     """(query_id, rank, db_id, score): the ``k`` nearest database rows of each query by cosine, ties by db_id.
 
     Both inputs have columns id and embedding. Null vectors, vectors of another length and NaN scores are never
@@ -95,27 +114,29 @@ def search(queries: DataFrame, database: DataFrame, k: int = 10, strategy: str =
         raise ValueError(f"k={k} exceeds the {rows} rows of the database")
     if strategy == "auto":
         strategy = "blocks" if rows * queries.count() > _NATIVE_PAIRS else "native"
+    known = queries.where("embedding is not null")
+    blocks = _blocks(known, block_values)
     if strategy == "native":
         # a small table is one file split; without this one core would do the whole product
         database = database.repartition("id")
-        scores = cosine_scores(queries, database)
-        if exclude_self:
-            scores = scores.where(~F.col("query_id").eqNullSafe(F.col("db_id")))
-        return top_k(scores, k)
-    first = queries.where("embedding is not null").select(F.size("embedding").alias("n")).agg(F.max("n"), F.count(F.lit(1))).first()
-    if not first[1]:
-        return top_k(cosine_scores(queries, database), k)
-    blocks = max(1, -(-first[0] * first[1] // _BLOCK_VALUES))
-    out = None
-    for b in range(blocks):
-        part = queries.where("embedding is not null")
-        part = part.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else part
-        for size, (ids, matrix) in _matrices(part).items():
-            one = _block_top_k(database, ids, matrix, k, exclude_self, kinds, to_arrow_type(queries.schema["id"].dataType))
-            out = one if out is None else out.unionByName(one)
-    if out is None:
-        return top_k(cosine_scores(queries, database), k)
-    return top_k(out, k)
+
+        def best(part: DataFrame) -> DataFrame:
+            scores = cosine_scores(part, database, 2**62)  # a block already
+            if exclude_self:
+                scores = scores.where(~F.col("query_id").eqNullSafe(F.col("db_id")))
+            return top_k(scores, k)
+
+    else:
+        kind = to_arrow_type(queries.schema["id"].dataType)
+
+        def best(part: DataFrame) -> DataFrame:
+            sizes = [_block_top_k(database, ids, matrix, k, exclude_self, kinds, kind) for ids, matrix in _matrices(part).values()]
+            if not sizes:
+                return top_k(cosine_scores(part, database, 2**62), k)
+            return top_k(reduce(DataFrame.unionByName, sizes), k)
+
+    # a query is in one block, so each block's best are final
+    return one_by_one((best(p) for p in _parts(known, blocks)), blocks > 1)
 
 
 def _matrices(queries: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:

@@ -65,10 +65,17 @@ def dense_label(df: DataFrame, family: str = "family", name: str = "label") -> D
     return df.join(names, F.col(family).eqNullSafe(F.col("_family"))).drop("_family")
 
 
-def batches(df: DataFrame, batch_size: int = 32, order: str = "seq_no", width: int = 4096) -> DataFrame:
+def batches(df: DataFrame, batch_size: int = 32, order: str = "seq_no", width: int | None = None, shuffle: bool = False, seed: int = 42, epoch: int = 0) -> DataFrame:
     """(batch, rows): arrays of ``batch_size`` rows as structs in the order of the whole-number column ``order``; the
-    last may be shorter."""
-    placed = ranked(df, F.floor(F.col(order) / F.lit(width)), [order], "_position")
+    last may be shorter. ``width``: the span of ``order`` that a task numbers at a time (default: a span such that there
+    are at most about 20,000 of them). ``shuffle``: in a seeded order instead, another one for each ``epoch``."""
+    if shuffle:
+        placed = shuffled(df, order, seed + epoch, "_position")
+    else:
+        if width is None:
+            low, high = df.agg(F.min(order), F.max(order)).first()
+            width = max(4096, -(-(high - low + 1) // 20_000)) if low is not None else 4096
+        placed = ranked(df, F.floor(F.col(order) / F.lit(width)), [order], "_position")
     row = F.struct(F.col("_position"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
     grouped = placed.groupBy(F.floor(F.col("_position") / F.lit(batch_size)).cast("long").alias("batch")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     return grouped.select("batch", F.transform("rows", lambda r: r["row"]).alias("rows"))

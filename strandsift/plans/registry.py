@@ -188,6 +188,22 @@ def evaluate_families(spark, sf_dir):
     return _rounded(metrics.evaluate_families(_hits(spark, sf_dir), q, d, (1, 5, 10, 50)), "value")
 
 
+def _noted(df):
+    """Vectors with two annotations each, the first of which few share and the second many."""
+    return df.select("id", "embedding", F.array(F.concat(F.lit("label:"), F.col("label").cast("string")), F.concat(F.lit("group:"), (F.col("id") % 3).cast("string"))).alias("annotations"))
+
+
+def evaluate_annotations(spark, sf_dir):
+    q, d = _noted(_queries(spark, sf_dir)), _noted(_vectors(spark, sf_dir))
+    return _rounded(metrics.evaluate_annotations(_hits(spark, sf_dir), q, d, (1, 5, 10, 50)), "value")
+
+
+def ranking_annotations(spark, sf_dir):
+    """All branches of the ranking evaluation at once."""
+    q, d = (_noted(x).join(_named(x).select("id", "label", "name"), "id") for x in (_queries(spark, sf_dir), _vectors(spark, sf_dir)))
+    return _rounded(metrics.ranking_metrics(q, d, (1, 5, 10, 50)).where("task = 'annotation'"), "value")
+
+
 def _named(df):
     return df.withColumn("name", F.concat(F.lit("label"), F.col("label").cast("string")))
 
@@ -227,6 +243,13 @@ def sw_pairs(spark, sf_dir):
     return align.align_listed(pairs, items, docs, max_length=None)
 
 
+def sw_items(spark, sf_dir):
+    """Each benchmark item aligned with the next one, whole."""
+    items = _sequences(spark, sf_dir, "benchmark", "item_id")
+    pairs = items.select(F.col("id").alias("query_id"), (F.col("id") + 1).alias("db_id"))
+    return align.align_listed(pairs, items, items, max_length=None)
+
+
 def _encoded(df):
     return encode.encode(df, encode.KmerEncoder(), max_length=None).select("id", "embedding")
 
@@ -256,7 +279,7 @@ def quantise_fp16(spark, sf_dir):
     return df.select("id", F.round(change, 9).alias("largest_change"))
 
 
-_FUNCTIONS = (l2_normalize, dot_scores, cosine_scores, topk_cosine, topk_cosine_native, topk_cosine_exclude_self, topk_dot, gather_candidates, seq_clean, seq_encode, seq_pad, seq_decode, seq_filter, seq_stats, split_train_val, split_three_way, train_difference, pair_product_capped, family_relevance, annotation_relevance, recall_at_k, precision_at_k, mean_reciprocal_rank, ndcg_at_k, average_precision, mean_average_precision, retrieval_metrics, evaluate_families, exact_match_recovery, ranking_metrics, family_dense_label, batch_collate, fasta_roundtrip, sw_scores, sw_pairs, sw_rerank, encode_kmer, substitution_scores, quantise_fp16)
+_FUNCTIONS = (l2_normalize, dot_scores, cosine_scores, topk_cosine, topk_cosine_native, topk_cosine_exclude_self, topk_dot, gather_candidates, seq_clean, seq_encode, seq_pad, seq_decode, seq_filter, seq_stats, split_train_val, split_three_way, train_difference, pair_product_capped, family_relevance, annotation_relevance, recall_at_k, precision_at_k, mean_reciprocal_rank, ndcg_at_k, average_precision, mean_average_precision, retrieval_metrics, evaluate_families, evaluate_annotations, ranking_annotations, exact_match_recovery, ranking_metrics, family_dense_label, batch_collate, fasta_roundtrip, sw_scores, sw_pairs, sw_items, sw_rerank, encode_kmer, substitution_scores, quantise_fp16)
 
 
 def queries() -> dict:
@@ -280,12 +303,16 @@ _CODE_DIGEST = "md5(array_to_string(codes, ','))"
 _SPLIT = "r AS (SELECT doc_id AS id, row_number() OVER (ORDER BY md5(concat('42:', doc_id)), doc_id) - 1 AS p, count(*) OVER () AS n FROM documents)"
 
 
-def _metrics_sql(where: str = "WHERE query_id <> db_id") -> str:
-    """CTEs up to m (one row per query): hits of the 50 best, relevance by label."""
+_BY_LABEL = "SELECT q.query_id, e.id AS db_id FROM q JOIN e USING (label)"
+_BY_NOTE = "SELECT q.query_id, e.id AS db_id FROM q, e WHERE q.label = e.label OR q.query_id % 3 = e.id % 3"
+
+
+def _metrics_sql(where: str = "WHERE query_id <> db_id", relevant: str = _BY_LABEL) -> str:
+    """CTEs up to m (one row per query): hits of the 50 best, relevance by label or as given."""
     per_k = ", ".join(f"count(*) FILTER (hit AND rank <= {k}) AS h{k}, coalesce(sum(1 / log2(rank + 1)) FILTER (hit AND rank <= {k}), 0) AS dcg{k}" for k in (1, 5, 10, 50))
     return f"""WITH {_SCORED}, {_top(50, where)},
     q AS (SELECT id AS query_id, label FROM e WHERE id % 50 = 0),
-    rel AS (SELECT q.query_id, e.id AS db_id FROM q JOIN e USING (label)),
+    rel AS ({relevant}),
     nr AS (SELECT query_id, count(*) AS nr FROM rel GROUP BY 1),
     x AS (SELECT h.query_id, rank, rel.db_id IS NOT NULL AS hit, sum(CASE WHEN rel.db_id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY h.query_id ORDER BY rank) AS so_far FROM h LEFT JOIN rel ON rel.query_id = h.query_id AND rel.db_id = h.db_id),
     g AS (SELECT query_id, {per_k}, min(rank) FILTER (hit) AS first, coalesce(sum(so_far / rank) FILTER (hit), 0) AS ap_sum FROM x GROUP BY 1),
@@ -299,6 +326,19 @@ def _r(expression: str, name: str) -> str:
 _ALL_METRICS = " UNION ALL ".join(f"SELECT '{n}' AS metric, {_r(e, 'value')} FROM m" for n, e in [*((f"{kind}@{k}", f"avg(h{k} / {by})") for k in (1, 5, 10, 50) for kind, by in (("recall", "nr"), ("precision", k))), ("mrr", "avg(mrr)"), ("map", "avg(ap)"), ("ndcg@10", "avg(ndcg10)"), ("ndcg@50", "avg(ndcg50)")])
 
 
+# Alignment as the textbook has it, a row of the table at a time: t without gaps along the row, then the best of those gaps
+_SW = f"""WITH RECURSIVE b AS (SELECT item_id AS id, regexp_replace({_TEXT}, '[^A-Z]', '', 'g') AS seq FROM benchmark),
+m AS (SELECT '{parity().letters}' AS letters, {parity().table.ravel().tolist()} AS scores),
+c AS (SELECT id, list_transform(string_split(seq, ''), lambda x: strpos(letters, x)) AS codes FROM b, m),
+p AS (SELECT q.id AS query_id, d.id AS db_id, q.codes AS qc, d.codes AS dc FROM c q JOIN c d ON d.id = q.id + 1),
+r AS (SELECT query_id, db_id, qc, dc, 0 AS i, list_transform(range(len(dc) + 1), lambda x: 0) AS h, list_transform(range(len(dc) + 1), lambda x: -1000000) AS e, 0 AS best FROM p
+  UNION ALL SELECT query_id, db_id, qc, dc, i, h, e, greatest(best, list_max(h)) FROM (
+    SELECT query_id, db_id, qc, dc, i, best, e, list_transform(t, lambda v, j: greatest(v, coalesce(list_max(list_transform(range(1, j), lambda k: t[k] - 11 - (j - 1 - k))), 0))) AS h FROM (
+      SELECT query_id, db_id, qc, dc, i, best, e, list_transform(range(1, len(dc) + 2), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest(0, e[j], h[j - 1] + CASE WHEN qc[i] = 0 OR dc[j - 1] = 0 THEN -4 ELSE scores[(qc[i] - 1) * 24 + dc[j - 1]] END) END) AS t FROM (
+        SELECT query_id, db_id, qc, dc, i + 1 AS i, best, h, list_transform(h, lambda v, j: greatest(v - 11, e[j] - 1)) AS e FROM r WHERE i < len(qc)), m)))
+SELECT query_id, db_id, best::INTEGER AS sw_score FROM r WHERE i = len(qc)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "l2_normalize": f"WITH {_EMB}, u AS (SELECT id, unnest(list_transform(v, lambda x: x / n)) AS value, unnest(range(len(v))) AS position FROM e) SELECT id, position, round(value, 6) + 0.0 AS value FROM u",
@@ -329,6 +369,10 @@ def oracle_sql() -> dict[str, str]:
         "mean_average_precision": f'{_metrics_sql()} SELECT {_r("avg(ap)", chr(34) + "map" + chr(34))} FROM m',
         "retrieval_metrics": f"{_metrics_sql()} {_ALL_METRICS}",
         "evaluate_families": f"{_metrics_sql('')} {_ALL_METRICS}",
+        "evaluate_annotations": f"{_metrics_sql('', _BY_NOTE)} {_ALL_METRICS}",
+        "ranking_annotations": f"{_metrics_sql('', _BY_NOTE)} SELECT 'annotation' AS task, metric, value FROM ({_ALL_METRICS})",
+        "sw_items": _SW,
+        "substitution_scores": f"WITH s AS (SELECT '{parity().letters}' AS letters, {parity().table.ravel().tolist()} AS scores), n AS (SELECT unnest(range(24)) AS i) SELECT letters[a.i + 1] AS a, letters[b.i + 1] AS b, scores[a.i * 24 + b.i + 1]::INTEGER AS score FROM s, n a, n b",
         "ranking_metrics": f"{_metrics_sql('')} SELECT 'family' AS task, metric, value FROM ({_ALL_METRICS}) UNION ALL SELECT 'exact_match', 'exact_match', {_r('avg(CASE WHEN q.label = e.label THEN 1.0 ELSE 0.0 END)', 'value')} FROM q JOIN h ON h.query_id = q.query_id AND h.rank = 1 JOIN e ON e.id = h.db_id",
         "exact_match_recovery": f"WITH {_SCORED}, {_top(1, 'WHERE query_id <> db_id')} SELECT {_r('avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END)', 'exact_match')} FROM h JOIN e a ON a.id = h.query_id JOIN e b ON b.id = h.db_id",
         "family_dense_label": "SELECT doc_id AS id, source AS family, dense_rank() OVER (ORDER BY source) - 1 AS label FROM documents",

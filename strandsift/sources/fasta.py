@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandsift.functions import sequence
+from strandsift.sources.shared import scratch
 
 _STRIP = r"(?U)^\s+|\s+$"
 
@@ -84,7 +85,9 @@ def split_fasta(df: DataFrame, train: str, val: str, test: str, train_ratio: flo
     """Writes the three parts of a seeded split as FASTA."""
     from strandsift.operators.split import three_way_split
 
-    parts = three_way_split(df, train_ratio, val_ratio, seed).persist()
+    parts = three_way_split(df, train_ratio, val_ratio, seed)
+    held = scratch(df.sparkSession, "split")  # in the shared folder, where a lost executor takes nothing with it
+    parts.write.parquet(held)
+    parts = df.sparkSession.read.schema(parts.schema).parquet(held)
     for name, path in (("train", train), ("val", val), ("test", test)):
         write_fasta(parts.where(F.col("split") == name), path)
-    parts.unpersist()

@@ -74,3 +74,9 @@ def test_score_expression(spark):
     assert got.count() == 0
     odd = spark.createDataFrame([("B", "A"), ("", "A"), ("AR", "A")], "a string, b string").select(align.substitution_score(F.col("a"), F.col("b")).alias("x")).collect()
     assert [r.x for r in odd] == [-4, -4, -4]
+
+
+def test_blocks_of_queries_give_the_same_scores(spark):
+    df = spark.createDataFrame([(i, "ACDEFGHIKLMNPQRSTVWY"[i % 7 : 8 + i]) for i in range(9)], "id long, seq string")
+    rows = lambda out: sorted(map(tuple, out.collect()))
+    assert rows(align.align_all(df, df, block_rows=2)) == rows(align.align_all(df, df))

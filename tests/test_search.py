@@ -106,3 +106,14 @@ def test_stream_search(spark, database, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "q"))
     stream_search(stream, database, lambda df, n: got.extend(rows(df)), k=3, checkpoint=str(tmp_path / "c")).awaitTermination()
     assert sorted(got) == brute(database, range(5), 3)
+
+
+@pytest.mark.parametrize("strategy", ["native", "blocks"])
+def test_blocks_of_queries_give_the_same_rows(spark, strategy):
+    draw = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, draw.normal(size=8).tolist()) for i in range(60)], "id long, embedding array<double>")
+    queries = df.where("id % 3 = 0")
+    rows = lambda out: sorted((r.query_id, r.db_id, getattr(r, "rank", 0), round(r.score, 9)) for r in out.collect())
+    assert rows(search.search(queries, df, 5, strategy, block_values=40)) == rows(search.search(queries, df, 5, strategy))
+    for f in (search.dot_scores, search.cosine_scores):
+        assert rows(f(queries, df, 40)) == rows(f(queries, df))

@@ -1,4 +1,7 @@
+import contextlib
 import gzip
+import sys
+import types
 
 import numpy as np
 import pytest
@@ -180,3 +183,57 @@ def test_synthetic_and_timing(spark):
     assert len(grid) == 7 and not any("error" in r for r in grid)
     got = timing.benchmark_topk(spark, 2, 50, 3, 4, warmup=0, iterations=1)
     assert got["seconds"] > 0 and got["benchmark"] == "topk"
+
+
+def test_shuffled_batches(spark):
+    df = spark.range(100).select(F.col("id").alias("seq_no"))
+    rows = lambda **o: [[x.seq_no for x in r.rows] for r in split.batches(df, 8, **o).orderBy("batch").collect()]
+    plain, first, again, second = rows(), rows(shuffle=True), rows(shuffle=True), rows(shuffle=True, epoch=1)
+    assert plain == rows(width=10) == [list(range(k, min(k + 8, 100))) for k in range(0, 100, 8)]
+    assert first == again and first != second and first != plain
+    assert sorted(sum(first, [])) == sorted(sum(second, [])) == list(range(100)) and split.batches(df.limit(0)).count() == 0
+
+
+def test_folder_encoder(monkeypatch):
+    """The adapter against stand-ins of the two libraries: loaded once, options passed on, mask and layer respected."""
+    seen = {"loads": 0}
+
+    class Tensor:
+        def __init__(self, value):
+            self.value = np.asarray(value)
+
+        to = lambda self, device: self
+        float = cpu = lambda self: self
+        numpy = lambda self: self.value
+
+    class Model:
+        config = types.SimpleNamespace(hidden_size=4, num_hidden_layers=2, num_attention_heads=2, vocab_size=30, max_position_embeddings=1026)
+        eval = lambda self: self
+        to = lambda self, device: self
+
+        def half(self):
+            seen["half"] = True
+            return self
+
+        def __call__(self, input_ids, attention_mask, output_hidden_states):
+            states = [Tensor(np.ones((*input_ids.value.shape, 4)) * k * input_ids.value[:, :, None]) for k in (1, 2, 3)]
+            return types.SimpleNamespace(hidden_states=states)
+
+    def tokenize(sequences, return_tensors, padding, truncation=False, max_length=None):
+        cut = [s[: max_length - 2] if truncation else s for s in sequences]
+        longest = max(map(len, cut)) + 2
+        ids = [[1, *(ord(c) - 64 for c in s), 2] + [0] * (longest - len(s) - 2) for s in cut]
+        return {"input_ids": Tensor(ids), "attention_mask": Tensor([[float(x > 0) for x in row] for row in ids])}
+
+    def load(folder):
+        seen["loads"] += 1
+        return Model()
+
+    monkeypatch.setitem(sys.modules, "torch", types.SimpleNamespace(device=str, no_grad=contextlib.nullcontext))
+    monkeypatch.setitem(sys.modules, "transformers", types.SimpleNamespace(AutoModel=types.SimpleNamespace(from_pretrained=load), AutoTokenizer=types.SimpleNamespace(from_pretrained=lambda folder: tokenize)))
+    e = encode.load_encoder("folder", folder="/models/some")
+    hidden, mask = e.hidden(["AB", "ABCD"], 5, -1)
+    assert hidden.shape == (2, 5, 4) and mask.tolist() == [[1, 1, 1, 1, 0], [1, 1, 1, 1, 1]]
+    assert encode.pool(hidden, mask)[0].tolist() == [3 * (1 + 1 + 2 + 2) / 4] * 4
+    assert e.hidden(["ABCDEFGH"], None, 0)[0].shape == (1, 10, 4)
+    assert e.dim == 4 and e.info()["num_layers"] == 2 and seen == {"loads": 1, "half": True}
