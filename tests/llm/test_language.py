@@ -112,3 +112,44 @@ def test_rows_of_one_id_take_one_place(spark):
     rows = [(1, "one two three", "en")] * 5 + [(2, "eins zwei drei", "de")] * 5
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=2, epochs=1)
     assert model.languages == ["de", "en"]
+
+
+def plain_states(net, way, data):
+    """One direction's states, a byte and a unit at a time."""
+    k = net.hidden
+    wx, wh, c = net.p[f"x{way}"].astype(float), net.p[f"h{way}"].astype(float), net.p[f"c{way}"].astype(float)
+    h, out = np.zeros(k), []
+    for byte in data:
+        z, r, n = np.zeros(k), np.zeros(k), np.zeros(k)
+        for u in range(k):
+            z[u] = 1 / (1 + np.exp(-(wx[byte, u] + c[u] + h @ wh[:, u])))
+            r[u] = 1 / (1 + np.exp(-(wx[byte, k + u] + c[k + u] + h @ wh[:, k + u])))
+        for u in range(k):
+            n[u] = np.tanh(wx[byte, 2 * k + u] + c[2 * k + u] + (r * h) @ wh[:, 2 * k + u])
+        h = (1 - z) * h + z * n
+        out.append(h)
+    return out
+
+
+def test_predictions_equal_a_plain_network(spark, documents, model):
+    """Whole documents, word by word and byte by byte, without batches, padding or caches."""
+    rows = documents.select("doc_id", "text").orderBy("doc_id").limit(6).collect()
+    got = {r.doc_id: r for r in language.identify(documents.where(F.col("doc_id").isin([r.doc_id for r in rows])), model).collect()}
+    net = model.network
+    for row in rows:
+        total, known = np.zeros(net.labels), {}
+        for word in language.letters(row.text):
+            if word not in known:
+                known[word] = np.zeros(net.labels)
+                for data in language.pieces(word):
+                    forward, backward = plain_states(net, "f", data), plain_states(net, "b", data[::-1])[::-1]
+                    for a, b in zip(forward, backward, strict=True):
+                        s = np.exp(np.concatenate([a, b]) @ net.p["o"].astype(float) + net.p["b"])
+                        known[word] += s / s.sum()
+            total += known[word]
+        assert got[row.doc_id].lang_pred == model.languages[int(total.argmax())]
+        assert got[row.doc_id].lang_score == pytest.approx(total.max() / total.sum(), abs=1e-4)
+
+
+def test_marks_belong_to_their_words():
+    assert language.letters("नमस्ते दुनिया, é é 12 _a1b") == ["नमस्ते", "दुनिया", "é", "é", "a", "b"] and language.letters("́ 1") == []

@@ -1,7 +1,11 @@
+import math
 import re
+import struct
 import zlib
 from collections import Counter
 
+import xxhash
+
 from strandsift.llm import queries, sharding
 
 
@@ -53,3 +57,26 @@ def test_odd_rows(odd, empty):
         own = [r.slot for r in got if r.shard == shard]
         assert sorted(own) == list(range(len(own)))
     assert len({r.shard for r in got if r.doc_id == 2}) == 1
+
+
+def stated_shard(key, tree, path=""):
+    """The descent by draws, written out: XXH64 of the key's eight bytes, then of the child's path, seeded by the former."""
+    best = None
+    for name, child in tree.items():
+        leaf = not isinstance(child, dict)
+        weight = child[1] if leaf else sum(w for _, w in sharding.leaves(child))
+        h = xxhash.xxh64_intdigest(f"{path}/{name}".encode(), xxhash.xxh64_intdigest(struct.pack("<q", key), 42))
+        draw = -math.log(((h >> 11) + 0.5) / 2**53) / weight
+        if best is None or draw < best[0]:
+            best = (draw, name, child)
+    _, name, child = best
+    return stated_shard(key, child, f"{path}/{name}") if isinstance(child, dict) else child[0]
+
+
+def test_draws_equal_the_stated_descent(spark):
+    uneven = {"a": {"x": {"s": (0, 1.0), "t": (1, 2.5)}, "y": {"s": (2, 0.5), "t": (3, 1.0)}}, "b": {"x": {"s": (4, 4.0), "t": (5, 1.0)}, "y": {"s": (6, 1.0), "t": (7, 3.0)}}}
+    keys = [*range(2000), -1, 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(k,) for k in keys], "doc_id long").selectExpr("doc_id", "'' AS text")
+    for tree in (sharding.regular_tree(), uneven):
+        got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.assign(df, tree).collect()}
+        assert got == {k: (stated_shard(k, tree), stated_shard(k, sharding.grown(tree))) for k in keys}
