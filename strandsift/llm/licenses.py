@@ -9,6 +9,7 @@ the template is covered and the span of the text in code points."""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -37,6 +38,17 @@ TEMPLATES = {
     "GPL-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,
         either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
         MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "LGPL-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;
+        either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "AGPL-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation,
+        either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
+        notice appear in all copies.""",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "BSD-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
         Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.""",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
@@ -114,6 +126,25 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
     return matched, first, end
 
 
+def _regions(hits: list[tuple[int, int]], size: int, band: int, words: int) -> Iterator[tuple[int, int, int]]:
+    """(first word, end, diagonal) of where a template of ``size`` words may lie: hits (place, diagonal) within ``band``
+    diagonals of each other and not too far apart, so that a phrase that the template repeats makes one region for each
+    of its diagonals and not one for each hit."""
+    strips: list[list[tuple[int, int]]] = []
+    for diagonal, place in sorted((d, p) for p, d in hits):
+        if not strips or diagonal - strips[-1][0][1] > band:
+            strips.append([])
+        strips[-1].append((place, diagonal))
+    for strip in strips:
+        group: list[tuple[int, int]] = []
+        for place, diagonal in [*sorted(strip), (1 << 60, 0)]:
+            if group and place - group[-1][0] > size + band:
+                middle = sorted(d for _, d in group)[len(group) // 2]
+                yield max(0, middle - band), min(words, middle + size + band), middle
+                group = []
+            group.append((place, diagonal))
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] | None = None, coverage: float = 0.8):
         self.coverage = coverage
@@ -149,26 +180,20 @@ class Scanner:
         for t, own in hits.items():
             template = self.templates[t]
             band = min(BAND, max(1, len(template) // 3))
-            group: list[tuple[int, int]] = []
-            for place, diagonal in [*sorted(own), (1 << 60, 0)]:
-                if group and place - group[-1][0] > len(template) + band or group and abs(diagonal - group[-1][1]) > band:
-                    middle = sorted(d for _, d in group)[len(group) // 2]
-                    begin = max(0, middle - band)
-                    end = min(len(codes), middle + len(template) + band)
-                    matched, a, b = align(template, codes[begin:end], middle - begin, band)
-                    if matched >= self.coverage * len(template):
-                        found.append((matched, begin + a, begin + b, t, matched / len(template)))
-                    group = []
-                group.append((place, diagonal))
+            for begin, end, middle in _regions(own, len(template), band, len(codes)):
+                matched, a, b = align(template, codes[begin:end], middle - begin, band)
+                if matched >= self.coverage * len(template):
+                    found.append((matched, begin + a, begin + b, t, matched / len(template)))
         if not found:
             return []
         found.sort(key=lambda f: (-f[0], -f[4], f[1], f[3]))
-        taken: list[tuple] = []
+        taken: list[tuple] = []  # (first, end) and the match, by place
         for f in found:
-            if all(f[2] <= g[1] or g[2] <= f[1] for g in taken):
-                taken.append(f)
+            k = bisect.bisect_left(taken, (f[1],))
+            if (k == 0 or taken[k - 1][1] <= f[1]) and (k == len(taken) or f[2] <= taken[k][0]):
+                taken.insert(k, (f[1], f[2], f))
         spans = [m.span() for m in _WORD.finditer(text.decode("utf-8", "replace"))]
-        return [(self.names[t], spans[a][0], spans[b - 1][1], share) for _, a, b, t, share in sorted(taken, key=lambda f: f[1])]
+        return [(self.names[t], spans[a][0], spans[b - 1][1], share) for _, _, (_, a, b, t, share) in taken]
 
 
 def scan(docs: DataFrame, scanner: Scanner | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

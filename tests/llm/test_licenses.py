@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -57,17 +59,55 @@ def test_winnowing_guarantee():
 
 def test_alignment_equals_whole_table():
     """A band as wide as the table gives the unbanded optimum."""
-    draw = np.random.default_rng(3)
-    for _ in range(60):
-        a, b = draw.integers(1, 5, draw.integers(1, 9)).astype(np.uint64), draw.integers(1, 5, draw.integers(1, 12)).astype(np.uint64)
+    def table(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1), int)
         for i in range(1, len(a) + 1):
             for j in range(1, len(b) + 1):
                 h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+        return h
+
+    def of_matches(a, b):
+        """Of alignments of all of ``b`` with a run of ``a``: the score of the best, and how many words each such best matches."""
+        best = {(i, 0): {0: {0}} for i in range(len(a) + 1)}
+        for j in range(len(b) + 1):
+            for i in range(len(a) + 1):
+                if j == 0:
+                    continue
+                ways: dict = {}
+                for key, gain, hit in (((i - 1, j - 1), 2 if i and a[i - 1] == b[j - 1] else -1, int(i > 0 and a[i - 1] == b[j - 1])), ((i - 1, j), -1, 0), ((i, j - 1), -1, 0)):
+                    for score, counts in best.get(key, {}).items():
+                        ways.setdefault(score + gain, set()).update(c + hit for c in counts)
+                best[i, j] = {max(ways): ways[max(ways)]} if ways else {}
+        ends = [x for i in range(len(a) + 1) for x in best[i, len(b)].items()]
+        top = max(s for s, _ in ends)
+        return top, set().union(*(c for s, c in ends if s == top))
+
+    draw = np.random.default_rng(3)
+    for _ in range(60):
+        a, b = draw.integers(1, 5, draw.integers(1, 9)).astype(np.uint64), draw.integers(1, 5, draw.integers(1, 12)).astype(np.uint64)
+        h = table(a, b)
         matched, first, end = licenses.align(a, b, 0, 99)
-        assert 2 * matched >= h.max() and (matched == 0) == (h.max() == 0) and first <= end
+        if not h.max():
+            assert matched == 0
+            continue
+        score, counts = of_matches(a, b[first:end])
+        assert h[:, end].max() == h.max() == score and matched in counts
 
 
 def test_odd_rows(odd, empty):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).count() == 0
     assert licenses.scan(odd).where("size(matches) > 0").count() == 0
+
+
+def test_repeated_phrases_make_few_regions():
+    """A template that repeats a phrase, in a text that repeats the template."""
+    scanner = licenses.Scanner({"chorus": "one two three four and one two three four and one two three four end"})
+    text = " then ".join(["one two three four and one two three four and one two three four end"] * 50)
+    found = scanner.scan(text.encode())
+    assert len(found) == 50 and all(n == "chorus" and c == 1.0 for n, _, _, c in found)
+
+
+def test_many_matches_take_little_time():
+    begun = time.perf_counter()
+    assert len(licenses.Scanner().scan(b"All rights reserved. " * 20_000)) == 20_000
+    assert time.perf_counter() - begun < 30
