@@ -1,3 +1,6 @@
+import itertools
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +88,47 @@ def test_rows_of_one_id_teach_once(spark):
     docs = spark.createDataFrame([(1, "a b")] * 10 + [(2, "c"), (3, "d")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, label int")
     assert toxicity.fit(docs, labels).rate == pytest.approx(1 / 3)
+
+
+def plain_features(text, lexicon):
+    """Each figure by its own plain count over the text."""
+    words = re.findall(r"\w+", text)
+    n, chars = max(len(words), 1), max(len(text), 1)
+
+    def forms(word):
+        out = {""}
+        for letter, run in itertools.groupby(word):
+            k = len(list(run))
+            out = {o + letter * m for o in out for m in ((1, 2) if k > 2 and letter.isalpha() else (k,))}
+        return out if max((len(list(g)) for c, g in itertools.groupby(word) if c.isalpha()), default=0) > 2 else {word}
+
+    def look(word):
+        every = {word} | forms(word)
+        hits = {g: lexicon[g] for f in every for g in [f"={f}", *(f"{f[:k]}*" for k in range(4, 9) if len(f) > k)] if g in lexicon}
+        best = max(((v, g) for g, v in hits.items()), default=(0.0, ""))
+        return bool(every & toxicity.SEED_LEXICON), *best
+
+    lower = [w.lower() for w in words]
+    told = [look(w) for w in lower]
+    hit = [i for i, (seed, _, gram) in enumerate(told) if seed or gram]
+    named = [told[i][2] or lower[i] for i in hit]
+    you = [w in toxicity.SECOND_PERSON for w in lower]
+    shown = re.findall(r"[^\W\d_]+(?:[@*$!0-9]+[^\W\d_]+)+", text)
+    plain = [look(x.lower().translate(toxicity.LOOKALIKES)) for x in shown]
+    count = lambda signs: sum(text.count(c) for c in signs)
+    values = [told[i][1] for i in hit]
+    seeds, strong, weak = sum(told[i][0] for i in hit), sum(v >= 2.0 for v in values), sum(v > 0 for v in values)
+    return [
+        np.log1p(len(words)), np.log1p(len(text)), seeds, 100 * seeds / n, strong, 100 * strong / n, weak, 100 * weak / n, sum(values), 100 * sum(values) / n, max(values, default=0.0),
+        max((named.count(g) for g in named if g.endswith("*")), default=0), len(set(named)), sum(any(you[max(0, i - 4) : i + 5]) for i in hit), 100 * sum(you) / n,
+        sum(w.isupper() and len(w) > 1 for w in words) / n, sum(c.isupper() for c in text) / chars, 100 * count("!") / n, 100 * count("?") / n, count("!?.,;:\"'()-") / n, count("#*$%&|<>") / n,
+        100 * len(shown) / n, sum(bool(s or g) for s, _, g in plain), 100 * len(re.findall(r"([^\W\d_])\1\1", text)) / n, sum(w.isdigit() for w in words) / n, (len(text.encode()) - len(text)) / chars, sum(map(len, words)) / n,
+    ]
+
+
+def test_features_equal_plain_counts(texts):
+    lexicon = {"=badword": 3.0, "vile*": 2.5, "=idiot": 1.5, "stupi*": 2.1, "=the": 0.8}
+    made = ["", "!!!", "YOU absolute badword, you vilest b4dword!!! sooo id!ot", "stuuupid viiile vileness stupidity, toi ÉTÉ 12 #1 $$ <b> idiot idiots"]
+    f = toxicity.Features(lexicon)
+    for text in [*made, *list(texts.values())[:60]]:
+        assert f.row(text) == pytest.approx(plain_features(text, lexicon)), text[:80]
