@@ -6,8 +6,8 @@ A SimHash tells similar texts only with some probability, while here no link may
    n - ceil(similarity * n) + 1 of its n shingles in a common order, rare before common. Rows of equal sets fold to one
    node.
 2. BK-trees over the fingerprints (``simhash.links``) give groups. The sets of a group meet in chunks of bounded size and
-   are compared there; where a group has several chunks, one node for each part found meets again, until no chunk joins
-   any more. So a ball of near copies, however large, shrinks to few parts, each node being sent once a round.
+   are compared there; where a group has several chunks, some nodes of each part found meet again, until no chunk joins
+   any more. So a ball of near copies, however large, shrinks to few parts, each node being sent once and few again.
 3. Two similar sets share shingles of both prefixes, the more the nearer their sizes. Shingles of up to ``few`` nodes give
    pairs. A crowded shingle (up to ``shard_rows`` nodes) gives only the pairs that may share no others, as few of a text's
    shingles are crowded and its sizes leave little choice. What sizes and the number of shared shingles rule out goes; the
@@ -32,6 +32,8 @@ from strandsift.llm import simhash
 from strandsift.llm.common import encoded, keyed_rows, materialize, small, stored
 from strandsift.llm.components import connected_components
 
+#: Nodes of a SimHash group that are compared in one task, about.
+_CHUNK = 256
 #: Shingles that a task holds at a time, about.
 _VALUES = 1_000_000
 
@@ -184,25 +186,28 @@ def _fingerprint_groups(nodes: DataFrame, radius: int, shard_rows: int) -> DataF
     return materialize(placed.join(several, "cluster").select("id", "cluster"))
 
 
-def _contract(members: DataFrame, known: DataFrame, similarity: float, shard_rows: int) -> DataFrame:
+def _contract(members: DataFrame, known: DataFrame, similarity: float, chunk_rows: int) -> DataFrame:
     """(a, b): verified links within clusters (``members``: id, cluster). Each round deals a cluster's nodes to chunks of
-    about ``shard_rows``; the next round has one node for each part that is left, until nothing joins."""
+    about ``chunk_rows``. After it, a cluster that had several chunks has as many nodes of each part that is left as fill
+    half a chunk, or one of each, until nothing joins."""
     sizes = known.select("id", "n")
-    links, now, turn = None, members, 0
+    links, now, turn = None, members.withColumn("part", F.col("id")), 0
     while True:
         weighed = materialize(now.join(sizes, "id"))
-        large = weighed.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)), F.ceil(F.sum("n") / F.lit(_VALUES))).alias("chunks")).where("chunks > 1")
-        large = materialize(large)
+        chunks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(chunk_rows)), F.ceil(F.sum("n") / F.lit(_VALUES))).alias("chunks")
+        large = materialize(weighed.groupBy("cluster").agg(chunks).where("chunks > 1"))
         chunk = F.pmod(F.xxhash64(F.col("id"), F.lit(turn)), F.coalesce("chunks", F.lit(1)))
-        dealt = weighed.join(large, "cluster", "left").select("id", F.xxhash64("cluster", chunk).alias("shard"), F.col("id").alias("part"))
+        dealt = weighed.join(large, "cluster", "left").select("id", "part", F.xxhash64("cluster", chunk).alias("shard"))
         found = materialize(_forests(dealt.join(known.select("id", "shingles"), "id"), similarity))
         links = found if links is None else links.unionByName(found)
         if large.isEmpty() or found.isEmpty():
             return links
-        parts = materialize(connected_components(links))
-        again = members.join(large.select("cluster"), "cluster", "left_semi")
-        now = _named(again, parts).groupBy("cluster", "part").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("one")).select("cluster", "one.id")
         turn += 1
+        again = materialize(_named(members.join(large.select("cluster"), "cluster", "left_semi"), connected_components(links)))
+        parts = materialize(again.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("rows")))
+        share = materialize(parts.groupBy("cluster").agg(F.greatest(F.lit(1), F.floor(F.lit(chunk_rows) / (2 * F.count(F.lit(1))))).alias("share"), F.count(F.lit(1)).alias("parts")).where("parts > 1"))
+        step = F.ceil(F.col("rows") / F.col("share"))
+        now = again.join(materialize(parts.join(share, "cluster").select("cluster", "part", step.alias("step"))), ["cluster", "part"]).where(F.pmod(F.xxhash64("id", F.lit(turn)), F.col("step")) == 0).select("id", "cluster", "part")
 
 
 def _stripes(rows: Column, values: Column, shard_rows: int) -> Column:
@@ -299,7 +304,7 @@ def _groups(keyed: DataFrame, words: int, similarity: float, id_column: str, tex
     pairs, crowd = _candidates(sketches, shared, several, similarity, shard_rows, few)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowd.select("id")).unionByName(clusters.select("id"))
     known = _sets(keyed, sketches, materialize(wanted.distinct()), words, text_column)
-    links = _contract(clusters, known, similarity, shard_rows)
+    links = _contract(clusters, known, similarity, min(_CHUNK, shard_rows))
     parts = materialize(connected_components(links))
     rest = _named(_named(pairs.withColumnRenamed("a", "id"), parts).selectExpr("id a", "part ap", "b id"), parts).where("ap <> part").selectExpr("a", "id b")
     held = lambda x, y: known.select(F.col("id").alias(x), F.col("shingles").alias(y))
