@@ -61,6 +61,14 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
     return stored(docs.select(row, F.lit("").alias("file"), F.monotonically_increasing_id().alias("index")))
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows from now on, unless the session has a setting of its own: whole texts in
+    batches of Spark's usual 10,000 rows take memory on both sides of each Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def first_by_hash(keys: DataFrame, column: str, rows: int) -> DataFrame:
     """The first ``rows`` distinct keys in the order of their hash. A bound on the hash, from their approximate number,
     leaves all but a few more of them where they are, so that no task sorts what grows with the table."""
