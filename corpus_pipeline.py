@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandsift.llm import decontaminate, packing, pii, similar, toxicity
-from strandsift.llm.common import crc_remainder, free_name, stored, table
+from strandsift.llm.common import crc_remainder, free_name, short_batches, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has the score of a text without words; rows that repeat are scored each, and a long text whole;
     with an empty table, or labels of one kind only, the score is the labels' share of toxic rows; columns may have any
     name."""
+    short_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(crc_remainder("doc_id", 5) != 0)
     score = free_name(docs, "toxicity")
     return toxicity.score(docs, toxicity.fit(docs, labels), output=score).where(F.col(score) < 0.5).drop(score)
@@ -29,12 +30,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null and empty texts are one group, of which one row stays, besides rows with neither id nor text, which all stay;
     rows that repeat are near-duplicates; ties go to the first row read; an empty table stays empty; columns may have any
     name."""
+    short_batches(spark)
     return similar.drop_near_duplicates(docs, words=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a whole window of a benchmark item. Null and empty texts stay, as does everything if the
     benchmark is empty; rows that repeat are judged each; columns may have any name."""
+    short_batches(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -42,6 +45,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Every document, its personal data replaced by the kind in brackets; n_chars follows the new text. Null texts stay
     null, with a null n_chars, and empty ones empty; rows that repeat are masked each; an empty table stays empty; columns
     may have any name."""
+    short_batches(spark)
     out = pii.redact(docs, pii.fit(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
@@ -52,6 +56,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     no piece; columns may have any name."""
     import public_tokenizers  # needed by nothing else
 
+    short_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
