@@ -1,5 +1,6 @@
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strandsift.llm import common
 
@@ -22,3 +23,28 @@ def test_the_sessions_folder_is_used(spark):
     assert common.materialize(spark.range(5)).count() == 5
     assert "broadcast" in common.small(spark.range(5))._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in common.small(spark.range(5), rows=4)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_first_by_hash_is_the_plain_order(spark):
+    keys = spark.range(20_000).withColumnRenamed("id", "key").union(spark.createDataFrame([(7,)] * 3000, "key long"))
+    plain = keys.distinct().orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(50)
+    got = common.first_by_hash(keys, "key", 50)
+    assert [r.key for r in got.collect()] == [r.key for r in plain.collect()]
+    assert common.first_by_hash(keys.limit(0), "key", 5).count() == 0 and common.first_by_hash(spark.range(3).withColumnRenamed("id", "key"), "key", 5).count() == 3
+
+
+def test_free_names(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, _A int, b int")
+    assert common.free_name(df, "c") == "c" and common.free_name(df, "a") == "__a" and common.free_name(df, "B") == "_B"
+
+
+def test_short_batches_leave_a_setting_alone(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for own, want in (("10000", "1000"), ("77", "77")):
+            spark.conf.set(key, own)
+            common.short_batches(spark)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
