@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandsift.llm import decontaminate, html_text, language, licenses, packing, pii, quality, sharding, simhash, toxicity
+from strandsift.llm import decontaminate, html_text, language, lexical, licenses, packing, pii, quality, repair, sharding, simhash, toxicity, urls
 from strandsift.llm.common import crc_remainder, table
 
 
@@ -71,8 +71,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+#: The rules of the query on URLs.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, urls.fit(urls.default_table(spark)))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_packing, op4_decontamination, op5_quality, op6_licenses, op7_sharding, op8_html, op9_pii, op10_language)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_packing, op4_decontamination, op5_quality, op6_licenses, op7_sharding, op8_html, op9_pii, op10_language, op11_urls, op12_lexical, op13_repair)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -108,6 +124,18 @@ g AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM g"""
 
 
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_OP12 = f"""WITH d AS (SELECT doc_id, len(w) AS n, w, row_number() OVER () AS r FROM (SELECT doc_id, {_TERMS} AS w FROM documents) WHERE len(w) > 0),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+v AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, s GROUP BY term, docs),
+p AS (SELECT r, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS impact FROM t JOIN d USING (r) JOIN v USING (term), s),
+c AS (SELECT item_id, r, sum(times * impact)::BIGINT AS score FROM i JOIN p USING (term) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM c JOIN d USING (r) WHERE score > 0 QUALIFY rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Of the two operators that SQL can express in full."""
-    return {"op4_decontamination": _OP4, "op5_quality": _OP5}
+    """Of the operators that SQL can express in full."""
+    return {"op4_decontamination": _OP4, "op5_quality": _OP5, "op12_lexical": _OP12}
