@@ -68,6 +68,7 @@ def test_training_fits_its_table_and_needs_both_labels(spark, model):
     from pyspark.sql import functions as F
 
     table = urls.default_table(spark)
+    table = spark.createDataFrame(table.collect(), table.schema)  # a plan over local rows is evaluated while it is planned
     scored = table.select("label", model.margin(urls.host_of(F.col("url")), urls.path_of(F.col("url"))).alias("m"))
     assert scored.select(F.avg(((F.col("m") > 0) == (F.col("label") == 1)).cast("int"))).first()[0] > 0.97
     assert urls.fit(table.where("label = 0")).bias == -1.0
