@@ -210,74 +210,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     return ToxicityModel(lexicons[-1], Boosted().fit(x[:, -1], y), Isotonic().fit(margins, y), toxic / total)
 
 
-def score(self, texts: list[str], features: Features) -> np.ndarray:
-        if self.trees is None or not texts:
-            return np.full(len(texts), self.rate)
-        return np.clip(self.calibration(self.trees.margin(features(texts))), 0.0, 1.0)
-
-
-def _gram_counts(texts: DataFrame, kept: frozenset[str] | None) -> DataFrame:
-    """(gram, toxic, rows): in how many toxic and in how many texts each gram occurs; of all grams or of ``kept``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter[str] = Counter()
-            toxic: Counter[str] = Counter()
-            for text, label in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                own = {g for w in set(_WORD.findall(text.lower())) for g in grams(w)}
-                own = own if kept is None else own & kept
-                counts.update(own)
-                if label:
-                    toxic.update(own)
-            yield pa.RecordBatch.from_pydict({"gram": list(counts), "toxic": [toxic[g] for g in counts], "rows": list(counts.values())}, schema=pa.schema([("gram", pa.string()), ("toxic", pa.int64()), ("rows", pa.int64())]))
-
-    return texts.select("text", "label").mapInArrow(run, "gram string, toxic long, rows long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_rows: int = 12_000, lexicon_size: int = 600) -> ToxicityModel:
-    """Learns from ``docs`` that ``labels`` (id column, label 0/1) marks. At most ``sample_rows`` labels are used, the
-    first in the order of the id's hash, so that the labels, and not the texts, travel to the join, and one row of each
-    id, that with the smallest hash of its text; the lexicon keeps
-    at most ``lexicon_size`` grams. Other labels, null ids and null labels teach nothing; a null text is an empty one.
-    Without both labels the score is the share of toxic rows (0.0 of none)."""
-    spark = docs.sparkSession
-    labels = labels.where(F.col("label").isin(0, 1)).select(F.col(id_column).alias("key"), F.col("label").cast("int").alias("label"))
-    chosen = labels.groupBy("key").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(sample_rows)
-    texts = docs.select(F.col(id_column).alias("key"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    # at most sample_rows rows: of an id on several rows one text, chosen before rows of one id come together
-    one = texts.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
-    sample = one.select("key", F.col("least.text").alias("text"), "label")
-    sample = materialize(sample.repartition(max(4, spark.sparkContext.defaultParallelism), "key"))
-    total, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    if toxic < 3 or total - toxic < 3:
-        return ToxicityModel({}, None, None, toxic / total if total else 0.0)
-    clean = total - toxic
-    least = max(3, round(0.004 * toxic))
-    first = _gram_counts(sample.where("label = 1"), None).where(F.col("rows") >= least).orderBy(F.desc("rows"), "gram").limit(20 * lexicon_size)
-    candidates = frozenset(r.gram for r in first.select("gram").collect())
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("rows") - F.col("toxic") + 0.5) / (clean + 1))
-    # a gram must stand out by more than what its count alone would give
-    kept = _gram_counts(sample, candidates).withColumn("odds", odds - 1.0 / F.sqrt("toxic")).where("odds > 0.7 and toxic > 0").orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "gram").limit(lexicon_size)
-    lexicon = {r.gram: r.odds for r in kept.select("gram", "odds").collect()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Features(lexicon)
-        for batch in batches:
-            x = make(strings(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "label", "fold"])
-
-    seen = sample.select("text", "label", F.pmod(F.xxhash64(F.concat(F.lit("fold"), F.col("key").cast("string"))), F.lit(4)).cast("int").alias("fold")).mapInArrow(run, "x array<double>, label int, fold int").toPandas()
-    x, y, fold = np.array(seen["x"].tolist(), np.float64), seen["label"].to_numpy(np.float64), seen["fold"].to_numpy()
-    order = np.lexsort(np.column_stack([fold, y, x]).T)  # tasks return rows in any order
-    x, y, fold = x[order], y[order], fold[order]
-    margins = np.zeros(len(y))
-    for k in range(4):
-        train = fold != k
-        if 0 < y[train].sum() < train.sum():
-            margins[~train] = Boosted().fit(x[train], y[train]).margin(x[~train])
-    return ToxicityModel(lexicon, Boosted().fit(x, y), Isotonic().fit(margins, y), toxic / total)
-
-
 def score(docs: DataFrame, model: ToxicityModel, text_column: str = "text", output: str = "toxicity") -> DataFrame:
     """``docs`` with a double column ``output``, the calibrated probability of toxicity of each whole text; null and
     empty texts get the score of a text without words; rows that repeat are scored each; an empty table gives an empty

@@ -132,3 +132,52 @@ def test_features_equal_plain_counts(texts):
     f = toxicity.Features(lexicon)
     for text in [*made, *list(texts.values())[:60]]:
         assert f.row(text) == pytest.approx(plain_features(text, lexicon)), text[:80]
+
+
+def test_margins_come_from_rows_that_the_lexicon_has_not_seen(spark, monkeypatch):
+    """A word that is in the toxic texts of one fold alone is in no feature of that fold's own rows."""
+    fold = lambda key: F.pmod(F.xxhash64(F.concat(F.lit("fold"), F.col(key).cast("string"))), F.lit(toxicity._FOLDS))
+    ids = spark.range(400).select("id", fold("id").alias("fold"), (F.col("id") % 2).cast("int").alias("label"))
+    text = F.concat(F.lit("some plain words here "), F.when((F.col("label") == 1) & (F.col("fold") == 0), "plantedword").when(F.col("label") == 1, "nastyterm").otherwise("calm"))
+    docs = ids.select(F.col("id").alias("doc_id"), text.alias("text"))
+    made = []
+
+    class Kept(toxicity.Features):
+        def __init__(self, lexicon):
+            made.append(lexicon)
+            super().__init__(lexicon)
+
+    rows = []
+
+    class Trees:
+        def fit(self, x, y):
+            rows.append((x, y))
+            return self
+
+        def margin(self, x):
+            rows.append((x, None))
+            return x[:, 0] * 0
+
+    monkeypatch.setattr(toxicity, "Boosted", Trees)
+    model = toxicity.fit(docs, ids.select(F.col("id").alias("doc_id"), "label"))
+    assert "=plantedword" in model.lexicon and "=nastyterm" in model.lexicon
+    at = toxicity.FEATURES.index("weight_most")
+    unseen = [x for x, y in rows if y is None]
+    assert len(unseen) == toxicity._FOLDS
+    assert unseen[0][:, at].max() == 0  # planted words of fold 0 weigh nothing there
+    assert all(x[:, at].max() > 0 for x in unseen[1:])
+
+
+def test_null_ids_teach_nothing(spark):
+    docs = spark.createDataFrame([(None, "x"), (1, "y")] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(None, 1)] * 5 + [(1, 0)], "doc_id long, label int")
+    assert toxicity.fit(docs, labels).rate == 0.0
+
+
+def test_no_module_defines_a_name_twice():
+    import ast
+    import pathlib
+
+    for path in pathlib.Path(toxicity.__file__).parent.glob("*.py"):
+        names = [x.name for x in ast.parse(path.read_text()).body if isinstance(x, (ast.FunctionDef, ast.ClassDef))]
+        assert len(names) == len(set(names)), path.name
