@@ -3,15 +3,16 @@
 Markup is stripped to lines, one for each block of text, with the length of the text that is no link. The lines'
 lengths are summed over sliding windows; where the sums rise over the limit is a surge, where they fall below it for
 good a dive, and the text between is the article, with the lines that share the container of its ends. Containers whose
-role is known from the markup (navigation, footers, asides, forms, scripts, adverts, notices, comments) are never lines.
-An article that the page itself marks is a prior on the lengths: if it holds at least as much text as all outside it, its
-lines weigh as much as a whole window needs, and the others nothing."""
+role is known from the markup (navigation, footers, asides, forms, scripts, adverts, notices, comments) are never lines;
+a form is one of them unless it holds most of the page. A line of what the page marks as its article counts as a little
+longer; the windows decide."""
 
 from __future__ import annotations
 
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from strandsift.llm.common import encoded
 
 #: Elements by what becomes of their content.
 RAW = frozenset("script style noscript template textarea title iframe object select xmp noembed noframes".split())
-DROPPED = frozenset("nav header footer aside form head menu dialog button figure canvas audio video".split())
+DROPPED = frozenset("nav header footer aside head menu dialog button figure canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
 math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mspace mpadded semantics annotation svg g path rect circle ellipse line polyline polygon use defs text tspan""".split())
@@ -34,6 +35,10 @@ newsletter subscribe subscription signup login share sharing social related reco
 #: Of these, those that a single paragraph or heading can be.
 UNWANTED_PARAGRAPHS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices newsletter subscribe subscription comment comments hidden".split())
 UNWANTED_NAMES = frozenset("hidden widget rail skip".split())
+#: Of a name inside an article, what may stand beside such a part; a section on related work is text.
+GENERIC = frozenset("posts post articles article links link list box block section container bar area content form widget inner outer top bottom left right main site page items item buttons button group".split())
+#: Inside an article these may be its subject.
+SUBJECTS = frozenset("header search social share sharing signup notice notices".split())
 NEGATING = frozenset("has have with no not without is wrapper layout".split())
 
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|!--|[!?/])")
@@ -62,19 +67,33 @@ def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
         if name in CLOSED_BY_BLOCK:
             told.append(bool(parts & UNWANTED_PARAGRAPHS) and not parts & NEGATING)
             continue
-        bad = parts & UNWANTED - ({"header"} if in_article else set())
+        bad = parts & UNWANTED
+        if in_article and (parts - UNWANTED - GENERIC or parts <= SUBJECTS):
+            bad = set()
         told.append(one in UNWANTED_NAMES or bool(bad) and not parts & NEGATING)
     return bool(told) and (all(told) if name in CLOSED_BY_BLOCK else any(told))
 
 
-def lines(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters outside links, inside an article, number of the container) of each block, in page order."""
-    out: list[tuple[str, int, bool, int]] = []
+class Line(NamedTuple):
+    """A block: its text, how many characters of it are outside links, whether it is inside a marked article, the number
+    of its container, whether it is the page's title, whether it is inside a form."""
+
+    text: str
+    plain: int
+    marked: bool
+    container: int
+    title: bool
+    formed: bool
+
+
+def lines(page: str) -> list[Line]:
+    """The blocks in page order. Those of forms are left out, unless they hold more text than all others."""
+    out: list[Line] = []
     buffer: list[str] = []
     plain = 0
     # open elements that are not inline, whether they are unwanted, and the container whose text theirs is
     stack: list[tuple[str, bool, int]] = []
-    unwanted = articles = links = containers = 0
+    unwanted = articles = links = containers = forms = 0
     ends: dict[str, dict[int, int]] = {}
 
     def flush():
@@ -82,16 +101,17 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
         if buffer:
             text = _SPACE.sub(" ", "".join(buffer)).strip()
             if text:
-                out.append((text, plain, articles > 0, stack[-1][2] if stack else 0))
+                out.append(Line(text, plain, articles > 0, stack[-1][2] if stack else 0, bool(stack) and stack[-1][0] == "h1", forms > 0))
             buffer.clear()
         plain = 0
 
     def close(depth: int):
-        nonlocal unwanted, articles
+        nonlocal unwanted, articles, forms
         while len(stack) > depth:
             name, bad, _ = stack.pop()
             unwanted -= bad
             articles -= name in ("article", "main")
+            forms -= name == "form"
 
     def say(raw: str):
         nonlocal plain
@@ -172,7 +192,11 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
         stack.append((name, bad, stack[-1][2] if stack and name in CLOSED_BY_BLOCK else 0 if name in CLOSED_BY_BLOCK else containers))
         unwanted += bad
         articles += name in ("article", "main")
+        forms += name == "form"
     flush()
+    inside = sum(x.plain for x in out if x.formed)
+    if inside <= sum(x.plain for x in out) - inside:
+        return [x for x in out if not x.formed]
     return out
 
 
@@ -188,21 +212,16 @@ def _inline_ends(page: str, name: str) -> dict[int, int]:
     return out
 
 
-def main_text(page: str, width: int = 3, limit: int = 120, marks: bool = True) -> str:
+def main_text(page: str, width: int = 3, limit: int = 120, mark: int = 30) -> str:
     """The article's blocks, joined by an empty line. ``width``: lines in a window; ``limit``: characters outside links
-    that a window needs for a surge, or a quarter of the page's, if that is less. ``marks``: whether what the page marks
-    as its article counts as a prior. Between surge and dive, lines of the marked article stay, and of an unmarked one
-    those that are not almost all links."""
+    that a window needs for a surge, or a quarter of the page's, if that is less. ``mark``: characters by which a line
+    counts as longer if the page marks it as its article's, half a line as it were; a mark alone makes no surge and
+    takes nothing from other lines. Between surge and dive, lines stay that are not almost all links."""
     found = lines(page)
     n = len(found)
-    limit = min(limit, max(1, sum(plain for _, plain, _, _ in found) // 4))
-    inside = sum(plain for _, plain, own, _ in found if own)
-    marked = marks and any(own for _, _, own, _ in found) and 2 * inside >= sum(plain for _, plain, _, _ in found)
-    if marked:
-        weights = [limit + plain if own else 0 for _, plain, own, _ in found]
-    else:  # no mark, or a teaser or a frame is marked, and most of the text is not
-        weights = [plain for _, plain, _, _ in found]
-    kept = [w > 0 if marked else plain * 5 >= len(text) for w, (text, plain, _, _) in zip(weights, found, strict=True)]
+    limit = min(limit, max(1, sum(x.plain for x in found) // 4))
+    weights = [x.plain + mark * x.marked if x.plain else 0 for x in found]
+    kept = [x.marked or x.plain * 5 >= len(x.text) for x in found]
     sums = [0] * (n + 1)
     for i, x in enumerate(weights):
         sums[i + 1] = sums[i] + x
@@ -210,11 +229,11 @@ def main_text(page: str, width: int = 3, limit: int = 120, marks: bool = True) -
     dive = next((i for i in range(n - 1, -1, -1) if weights[i] and sums[i + 1] - sums[max(0, i + 1 - width)] >= limit), -1)  # and those before
     if dive < surge:
         return ""
-    while surge and kept[surge - 1] and found[surge - 1][3] == found[surge][3]:
+    while surge and kept[surge - 1] and (found[surge - 1].container == found[surge].container or found[surge - 1].title):
         surge -= 1
-    while dive + 1 < n and kept[dive + 1] and found[dive + 1][3] == found[dive][3]:
+    while dive + 1 < n and kept[dive + 1] and found[dive + 1].container == found[dive].container:
         dive += 1
-    return "\n\n".join(found[i][0] for i in range(surge, dive + 1) if kept[i])
+    return "\n\n".join(found[i].text for i in range(surge, dive + 1) if kept[i])
 
 
 def extract(pages: DataFrame, html_column: str = "html", output: str = "main_text") -> DataFrame:

@@ -66,15 +66,32 @@ def test_a_marked_teaser_is_not_the_article():
         assert f"{MAIN}\n\n{MAIN}" in html_text.main_text(f"<body>{mark}<div>{BODY}{BODY}</div></body>")
 
 
-def test_windows_find_what_marks_tell(spark):
-    """Pages whose marks are taken away have the same text, found by the windows alone."""
-    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+def test_windows_find_what_marks_tell():
+    """Pages whose marks are taken away, or count for nothing, have the same text, found by the windows alone."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
     bare = [re.sub(r"</?(?:article|main)\b[^>]*>", lambda m: "</div>" if m[0][1] == "/" else "<div>", x) for x in pages]
     assert all("<article" in x for x in pages) and not any("<article" in x or "<main" in x for x in bare)
-    same = [html_text.main_text(x) == html_text.main_text(y) == html_text.main_text(x, marks=False) for x, y in zip(pages, bare, strict=True)]
+    same = [html_text.main_text(x) == html_text.main_text(y) == html_text.main_text(x, mark=0) for x, y in zip(pages, bare, strict=True)]
     assert sum(same) >= 0.95 * len(same)
 
 
+def test_windows_overrule_a_mark():
+    """What is marked is neither all nor only what is taken: text as long beside it stays, and marked lines that are too
+    short for a surge, and away from it, go."""
+    assert html_text.main_text(f"<body><article>{BODY}</article><div>{BODY}<p>End.</p></div></body>") == f"{MAIN}\n\n{MAIN}\n\nEnd."
+    far = "<article><p>Read me.</p></article>" + "<div><p><a href=x>a link</a></p></div>" * 9
+    assert html_text.main_text(f"<body>{far}<div>{BODY}{BODY}</div></body>") == f"{MAIN}\n\n{MAIN}"
+
+
+def test_forms_titles_and_names_inside_articles():
+    assert html_text.main_text(f"<form action=x><input name=q><article><h1>T</h1>{BODY}</article></form>") == f"T\n\n{MAIN}"
+    assert html_text.main_text(f"<form><p>Your name</p></form><div>{BODY}</div>") == MAIN
+    assert html_text.main_text(f'<article>{BODY}<div class="related-work"><p>Others did this.</p></div><section id="search"><p>We search.</p></section><div class="related-posts"><p>More</p></div></article>') == f"{MAIN}\n\nOthers did this.\n\nWe search."
+    assert html_text.main_text(f"<div><h1>Title</h1></div><div>{BODY}{BODY}</div>") == f"Title\n\n{MAIN}\n\n{MAIN}"
+
+
 def test_nothing_else_is_dropped():
     page = f'<article><p>x <math><mi>y</mi><mo>+</mo><mn>1</mn></math> z</p><p class="search-results">kept?</p><p class="share rail">and this</p><p class="ad">no</p>{BODY}<p>now see <a href=a>one link</a> and then <a href=b>another link here</a></p></article>'
     want = f"x y+1 z\n\nkept?\n\nand this\n\n{MAIN}\n\nnow see one link and then another link here"
