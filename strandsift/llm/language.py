@@ -35,6 +35,8 @@ def _ranges(kinds: str) -> str:
 _WORD = re.compile(f"[{_ranges('LM')}]+")
 _PIECE = 30
 UNKNOWN = "und"
+#: Of a worker's cache: cells (words x languages) and words.
+_CELLS, _WORDS = 4_000_000, 400_000
 
 
 def letters(text: str) -> list[str]:
@@ -183,54 +185,58 @@ class LanguageModel:
     def __getstate__(self):
         return {"languages": self.languages, "network": self.network, "cache": {}}
 
-    def _rows(self, words: set[str]) -> None:
+    def _rows(self, words: list[str], limit: int) -> None:
+        """The summed labels of ``words``, of which there are at most ``limit``, come into the cache, which is emptied
+        before it would hold more."""
         new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > 400_000 or not self.cache:
-            self.cache, new = {}, list(words)
+        if len(self.cache) + len(new) > limit or not self.cache:
+            self.cache, new = {}, words
             self.table = np.zeros((0, len(self.languages)), np.float32)
-            self.lengths = np.zeros(0, np.float32)
         if not new:
             return
         cut = [pieces(w) for w in new]
         _, sums = self.network.labels_of([p for c in cut for p in c])
         starts = np.cumsum([0, *map(len, cut)])[:-1]
-        own = np.add.reduceat(sums, starts, axis=0)
-        n = len(self.lengths)
-        self.table = np.concatenate([self.table, own])
-        self.lengths = np.concatenate([self.lengths, own.sum(1)])
+        n = len(self.table)
+        self.table = np.concatenate([self.table, np.add.reduceat(sums, starts, axis=0)])
         self.cache.update(zip(new, range(n, n + len(new)), strict=True))
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The most probable language of each text and its share of the pooled probability; ``und`` and 0.0 for a text
-        without letters or a model without languages."""
+        without letters or a model without languages. The texts' words are looked up in parts that the cache can hold."""
         counts = [Counter(letters(t)) for t in texts]
-        words = set().union(*counts) if counts else set()
+        words = list(dict.fromkeys(w for c in counts for w in c))
         if self.network is None or not words:
             only = self.languages[0] if len(self.languages) == 1 else UNKNOWN
             return [only if c else UNKNOWN for c in counts], [1.0 if c and only != UNKNOWN else 0.0 for c in counts]
-        self._rows(words)
+        limit = min(_WORDS, max(1, _CELLS // len(self.languages)))
+        totals = np.zeros((len(texts), len(self.languages)))
+        for begin in range(0, len(words), limit):
+            part = words[begin : begin + limit]
+            self._rows(part, limit)
+            look, own = self.cache, set(part) if len(part) < len(words) else None
+            for i, c in enumerate(counts):
+                c = c if own is None else {w: n for w, n in c.items() if w in own}
+                if c:
+                    at = np.fromiter((look[w] for w in c), np.int64, len(c))
+                    totals[i] += np.fromiter(c.values(), np.float64, len(c)) @ self.table[at].astype(np.float64)
         names, scores = [], []
-        look = self.cache
-        for c in counts:
-            if not c:
-                names.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            at = np.fromiter((look[w] for w in c), np.int64, len(c))
-            total = np.fromiter(c.values(), np.float64, len(c)) @ self.table[at].astype(np.float64)
+        for c, total in zip(counts, totals, strict=True):
             best = int(total.argmax())
-            names.append(self.languages[best])
-            scores.append(float(min(1.0, total[best] / total.sum())))
+            names.append(self.languages[best] if c else UNKNOWN)
+            scores.append(float(min(1.0, total[best] / total.sum())) if c else 0.0)
         return names, scores
 
 
 def fit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", key_column: str = "doc_id", sample_docs: int = 6000, frequent: int = 12_000, rare: int = 48_000, languages: int = 300, hidden: int = 16, epochs: int = 6) -> LanguageModel:
-    """Learns from rows with a text and a language. Of these, the first ``sample_docs`` in the order of the key's hash
-    are used, and of their (word, language) pairs the ``frequent`` most frequent and ``rare`` others in the order of a
+    """Learns from rows with a key, a text and a language. Of these, one row of each of the first ``sample_docs`` keys in
+    the order of the key's hash is used, that with the least hash of its text, and of their (word, language) pairs the ``frequent`` most frequent and ``rare`` others in the order of a
     hash; the ``languages`` most frequent languages can be predicted."""
     usable = docs.where(F.col(text_column).isNotNull() & F.col(lang_column).isNotNull())
     chosen = first_by_hash(usable.select(F.col(key_column).alias("key")), "key", sample_docs)
-    sample = usable.select(F.col(key_column).alias("key"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang")).join(F.broadcast(chosen), "key", "left_semi")  # at most sample_docs keys
+    sample = usable.select(F.col(key_column).alias("key"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang")).join(F.broadcast(chosen), "key", "left_semi")
+    # a key on many rows is one row before its rows come together, so that rows are bounded as keys are
+    sample = sample.groupBy("key").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "lang", "text")).alias("least")).select("least.text", "least.lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -153,3 +153,41 @@ def test_predictions_equal_a_plain_network(spark, documents, model):
 
 def test_marks_belong_to_their_words():
     assert language.letters("नमस्ते दुनिया, é é 12 _a1b") == ["नमस्ते", "दुनिया", "é", "é", "a", "b"] and language.letters("́ 1") == []
+
+
+def test_rows_are_bounded_as_keys_are(spark):
+    """An id on 500 rows teaches one of them: that with the least hash of its text."""
+    rows = [(7, f"hotword{i} other", "xx") for i in range(500)] + [(i, f"plain{i} words", "yy") for i in range(100, 118)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    least = df.where("doc_id = 7").orderBy(F.xxhash64("text")).first().text
+    seen = []
+
+    class Seen:
+        def __init__(self, *a): ...
+        def fit(self, words, *a):
+            seen.extend(words)
+            return self
+
+    before, language.BiGRU = language.BiGRU, Seen
+    try:
+        language.fit(df, sample_docs=20)
+    finally:
+        language.BiGRU = before
+    hot = {w for w in seen if b"hotword" in w or b"hot" in w}
+    assert hot == {b" " + w.encode() + b" " for w in language.letters(least) if w != "other"}
+
+
+def test_small_caches_change_nothing(model, texts):
+    some = [t or "" for t in list(texts.values())[:40]]
+    want = model.predict(some)
+    before = language._WORDS
+    try:
+        language._WORDS = 7
+        model.cache = {}
+        got = model.predict(some)
+        assert len(model.cache) <= 7
+    finally:
+        language._WORDS = before
+        model.cache = {}
+    assert got[0] == want[0]
+    assert got[1] == pytest.approx(want[1], abs=1e-6)
