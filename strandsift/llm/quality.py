@@ -2,22 +2,17 @@
 
 Every figure is an expression over the row's own text, so nothing is shuffled: lines and words live in arrays, and
 repeated 5-word windows are found by sorting the windows' hashes within the row. The rules beyond the base run as one
-nested CASE, whose order is chosen by what a small sample shows: the rule that rejects most rows per second of
-its own cost comes first, and a row that a rule rejects is not looked at by later rules. The order changes the cost
+nested CASE, whose order is chosen by what a small sample shows: the rule that rejects most rows for its cost comes first, and a row that a rule rejects is not looked at by later rules. The order changes the cost
 and the name of the first failing rule, never the verdict."""
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandsift.llm.common import materialize
-
 _SPACE = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -56,27 +51,31 @@ def repeated_words(words: Column, width: int = 5) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: from the columns text, words, lines, n_words, n_lines and the base figures to a boolean."""
+    """``rejects``: from the columns text, words, lines, n_words, n_lines and the base figures to a boolean. ``passes``: how
+    dear it is a character of the text, in steps of a plain scan for single characters; 0 if it only compares figures that
+    the base has made."""
 
     name: str
     rejects: Callable[[dict[str, Column]], Column]
+    passes: float = 0.0
 
 
 def _adjacent(words: Column) -> Column:
     return F.size(F.filter(words, lambda w, i: (i > 0) & (w == F.get(words, i - 1))))
 
 
-#: The rules beyond the base, with their limits.
+#: The rules beyond the base, with their limits and steps. The seconds that each took over sf0.1 on one core
+#: by those of one translate() (0.92 s), rounded; rules that only compare figures took none that could be told from noise.
 RULES = (
     Rule("symbols", lambda c: c["n_symbols"] * 10 > c["n_words"]),
     Rule("duplicate_lines", lambda c: (c["n_dup_lines"] >= 2) & (c["n_dup_lines"] * 100 > c["n_lines"] * 35)),
     Rule("word_length", lambda c: (c["word_chars"] < c["n_words"] * 2) | (c["word_chars"] > c["n_words"] * 15)),
-    Rule("exclamation", lambda c: chars_in(c["text"], "!") * 2 > c["n_words"]),
-    Rule("capitals", lambda c: F.length(F.regexp_replace(c["text"], r"\P{Lu}+", "")) * 10 > F.length(c["text"]) * 4),
-    Rule("letters", lambda c: F.length(F.regexp_replace(c["text"], r"[^\p{L}]+", "")) * 2 < c["word_chars"]),
-    Rule("stuttering", lambda c: _adjacent(c["words"]) * 5 > c["n_words"]),
-    Rule("ellipsis_lines", lambda c: F.size(F.filter(c["lines"], lambda x: x.rlike(r"(\.\.\.|…)\s*$"))) * 10 > c["n_lines"] * 4),
-    Rule("bullet_lines", lambda c: (c["n_lines"] >= 5) & (F.size(F.filter(c["lines"], lambda x: x.rlike(r"^\s*[-*•‣]"))) * 10 > c["n_lines"] * 9)),
+    Rule("exclamation", lambda c: chars_in(c["text"], "!") * 2 > c["n_words"], 1.0),
+    Rule("capitals", lambda c: F.length(F.regexp_replace(c["text"], r"\P{Lu}+", "")) * 10 > F.length(c["text"]) * 4, 0.3),
+    Rule("letters", lambda c: F.length(F.regexp_replace(c["text"], r"[^\p{L}]+", "")) * 2 < c["word_chars"], 0.7),
+    Rule("stuttering", lambda c: _adjacent(c["words"]) * 5 > c["n_words"], 1.0),
+    Rule("ellipsis_lines", lambda c: F.size(F.filter(c["lines"], lambda x: x.rlike(r"(\.\.\.|…)\s*$"))) * 10 > c["n_lines"] * 4, 1.0),
+    Rule("bullet_lines", lambda c: (c["n_lines"] >= 5) & (F.size(F.filter(c["lines"], lambda x: x.rlike(r"^\s*[-*•‣]"))) * 10 > c["n_lines"] * 9), 0.2),
 )
 
 
@@ -108,42 +107,33 @@ def base_failed(base: Column) -> Column:
     return (base["n_words"] < 10) | (base["n_repeat_words"] * 100 > base["n_words"] * 20)
 
 
-def cheapest_first(patterns: dict[tuple[bool, ...], int], costs: list[float]) -> list[int]:
-    """An order of rules: each next one rejects most per cost of the rows that those before it let pass. ``patterns``:
-    rows by the verdicts of all rules. Costs count in powers of four, so that noise in their measurement decides little."""
-    steps = [2 * round(float(np.log2(max(x, 1e-9))) / 2) for x in costs]
+def cheapest_first(patterns: dict[tuple[bool, ...], tuple[int, list[float]]]) -> list[int]:
+    """An order of rules: each next one rejects most per cost, both of the rows that those before it let pass, ties going
+    to the rule stated first. ``patterns``: for the verdicts of all rules, how many rows have them and what each rule
+    costs on these."""
     left, order = dict(patterns), []
-    while len(order) < len(costs):
-        gain = {r: (sum(n for verdicts, n in left.items() if verdicts[r]) + 0.5) / 2.0 ** steps[r] for r in range(len(costs)) if r not in order}
+    rules = len(next(iter(patterns))) if patterns else 0
+    while len(order) < rules:
+        gain = {r: (sum(n for verdicts, (n, _) in left.items() if verdicts[r]) + 0.5) / (sum(costs[r] for _, costs in left.values()) + 1.0) for r in range(rules) if r not in order}
         order.append(min(gain, key=lambda r: (-gain[r], r)))
-        left = {verdicts: n for verdicts, n in left.items() if not verdicts[order[-1]]}
+        left = {verdicts: x for verdicts, x in left.items() if not verdicts[order[-1]]}
     return order
 
 
-def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, text_column: str = "text", repeats: int = 10) -> list[Rule]:
-    """``rules`` ordered by rejection per cost, given the rules before, both measured on at most ``sample_rows`` rows that
+def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, text_column: str = "text") -> list[Rule]:
+    """``rules`` ordered by rejection per cost, given the rules before, both estimated on at most ``sample_rows`` rows that
     pass the base. They are taken from the first partitions that yield them, so the sample's cost does not grow with the
-    table. A rule's cost is the lesser time of two runs over ``repeats`` copies of the sample, less what the copies alone
-    take. The order decides what the cascade costs, never a verdict."""
+    table. A rule's cost on a row is one step, and its steps a character on the sample's text: timing it would have the
+    machine's noise in the order. The order decides what the cascade costs, never a verdict; without rows it is as stated."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     found = docs.select(text.alias("text")).sample(0.2, 7).where(~base_failed(figures(F.col("text")))).take(sample_rows)
-    sample = materialize(spark.createDataFrame([(r.text,) for r in found], "text string").select("text", figures(F.col("text")).alias("base")))
-    verdicts = [_rejects(r, F.col("text"), F.col("base")) for r in rules]
-    seen = sample.select(F.array(*verdicts).alias("verdicts")).groupBy("verdicts").agg(F.count(F.lit(1)).alias("rows")).collect()  # at most sample_rows
-    copies = sample.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-
-    def seconds(*columns: Column) -> float:
-        took = []
-        for _ in range(3):  # the first compiles
-            begun = time.perf_counter()
-            copies.agg(F.max("copy"), *columns).collect()
-            took.append(time.perf_counter() - begun)
-        return min(took[1:])
-
-    idle = seconds()
-    order = cheapest_first({tuple(bool(v) for v in r.verdicts): r.rows for r in seen}, [max(seconds(F.count_if(v)) - idle, 0.02) for v in verdicts])
-    return [rules[i] for i in order]
+    sample = spark.createDataFrame([(r.text,) for r in found], "text string").select("text", F.explode(F.array(figures(F.col("text")))).alias("base"))
+    verdicts = F.array(*[_rejects(r, F.col("text"), F.col("base")) for r in rules])
+    size = F.length("text").cast("double")
+    seen = sample.groupBy(verdicts.alias("verdicts")).agg(F.count(F.lit(1)).alias("rows"), F.array(*[F.sum(1.0 + size * r.passes) for r in rules]).alias("costs")).collect()  # at most sample_rows
+    order = cheapest_first({tuple(bool(v) for v in r.verdicts): (r.rows, r.costs) for r in seen})
+    return [rules[i] for i in order] or list(rules)
 
 
 def judge(docs: DataFrame, order: list[Rule] | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -66,8 +66,19 @@ def test_odd_rows_and_native_plan(odd, empty):
 
 def test_cheapest_first_is_conditional():
     """The second rule rejects what the first one does, and the third little, but of the rest."""
-    patterns = {(True, True, False): 50, (False, False, True): 5, (False, True, False): 1, (False, False, False): 44}
-    assert quality.cheapest_first(patterns, [1.0, 1.0, 1.0]) == [1, 2, 0]
-    assert quality.cheapest_first(patterns, [1.0, 1.2, 1.1]) == [1, 2, 0]  # noise
-    assert quality.cheapest_first(patterns, [1.0, 100.0, 1.0]) == [0, 2, 1]
-    assert quality.cheapest_first({}, [4.0, 1.0]) == [1, 0]
+    rows = {(True, True, False): 50, (False, False, True): 5, (False, True, False): 1, (False, False, False): 44}
+    patterns = lambda *costs: {v: (n, [n * c for c in costs]) for v, n in rows.items()}
+    assert quality.cheapest_first(patterns(1.0, 1.0, 1.0)) == [1, 2, 0]
+    assert quality.cheapest_first(patterns(1.0, 100.0, 1.0)) == [0, 2, 1]
+    assert quality.cheapest_first({(False, False): (3, [4.0, 4.0])}) == [0, 1]  # a tie
+    assert quality.cheapest_first({}) == []
+
+
+def test_two_plans_agree(spark, documents, empty):
+    """On the same sample, however its rows are dealt."""
+    first, second = quality.plan(documents), quality.plan(documents)
+    assert [r.name for r in first] == [r.name for r in second]
+    assert [r.name for r in quality.plan(empty)] == [r.name for r in quality.RULES]
+    dear = tuple(quality.Rule(r.name, r.rejects, 0.0 if r.name == "stuttering" else 1e6) for r in quality.RULES)
+    rejecting = spark.createDataFrame([(i, " ".join(f"{w}{i} {w}{i}" for w in "ab cd ef gh ij kl".split())) for i in range(60)], "doc_id long, text string")
+    assert quality.plan(rejecting, dear)[0].name == "stuttering"
