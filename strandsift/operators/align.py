@@ -3,7 +3,8 @@
 For one query and a block of database sequences, each residue of the query updates a whole row of the dynamic programme
 for all sequences at once. Gaps along the row are a prefix maximum: with T the best score without such a gap,
 F[j] = max over k < j of T[k] - open - (j - k - 1) * extend. A gap of length L costs open + (L - 1) * extend; if
-extending costs more than opening, opening again is cheaper, so the smaller of the two extends."""
+extending costs more than opening, opening again is cheaper, so the smaller of the two extends. Long sequences are cut
+into tiles (operators/tiles.py)."""
 
 from __future__ import annotations
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandsift.functions.substitution import SubstitutionMatrix, parity
+from strandsift.operators.tiles import align_tiled
 from strandsift.sources.shared import one_by_one
 
 #: The score of a pair with a sequence longer than the limit.
@@ -99,10 +101,39 @@ def align_pairs(pairs: DataFrame, query: str = "query_seq", target: str = "db_se
     return pairs.select(columns).mapInArrow(run, schema)
 
 
-def align_all(queries: DataFrame, database: DataFrame, block_rows: int = 2000, **options) -> DataFrame:
+#: Letters of a sequence beyond which its pairs are aligned in tiles.
+LONG = 1 << 17
+
+
+def _is_long(long: int) -> Column:
+    return F.coalesce(F.length("seq") > long, F.lit(False))
+
+
+def _any_long(long: int, *sides: DataFrame) -> bool:
+    return any((s.agg(F.max(F.length("seq"))).first()[0] or 0) > long for s in sides)
+
+
+def _in_tiles(pairs: DataFrame, queries: DataFrame, database: DataFrame, options: dict) -> DataFrame:
+    """(query_id, db_id, sw_score) of pairs with a long sequence. The other one may be null or empty."""
+    chosen = {k: options[k] for k in ("matrix", "gap_open", "gap_extend") if k in options}
+    scored = align_tiled(pairs, queries, database, **chosen).select("query_id", "db_id", "sw_score")
+    known = lambda df, key: df.select(F.col("id").alias(key), F.col("seq").isNull().alias(f"_{key}"))
+    met = pairs.join(known(queries, "query_id"), "query_id").join(known(database, "db_id"), "db_id").join(scored, ["query_id", "db_id"], "left")
+    return met.select("query_id", "db_id", F.when(F.col("_query_id") | F.col("_db_id"), F.lit(None)).otherwise(F.coalesce("sw_score", F.lit(0))).cast("int").alias("sw_score"))
+
+
+def align_all(queries: DataFrame, database: DataFrame, block_rows: int = 2000, long: int = LONG, **options) -> DataFrame:
     """(query_id, db_id, sw_score) of every query with every database row. Both have columns id and seq.
 
-    The queries come in blocks of at most ``block_rows``, broadcast one block after another."""
+    The queries come in blocks of at most ``block_rows``, broadcast one block after another. Without a limit of length,
+    sequences of more than ``long`` letters, whose ids must be unique, are aligned in tiles instead."""
+    if options.get("max_length", MAX_LENGTH) is None and _any_long(long, queries, database):
+        ids = lambda df, key: df.where(_is_long(long)).select(F.col("id").alias(key))
+        every = lambda df, key: df.select(F.col("id").alias(key))
+        # long sequences are few; pairs of ids alone
+        pairs = ids(queries, "query_id").crossJoin(every(database, "db_id")).unionByName(every(queries.where(~_is_long(long)), "query_id").crossJoin(ids(database, "db_id")))
+        rest = align_all(queries.where(~_is_long(long)), database.where(~_is_long(long)), block_rows, long, **options)
+        return rest.unionByName(_in_tiles(pairs, queries, database, options))
     queries = queries.select(F.col("id").alias("query_id"), F.col("seq").alias("query_seq"))
     # by id, so that a small table is not one task's; at any size the alignments cost far more than this shuffle
     database = database.select(F.col("id").alias("db_id"), F.col("seq").alias("db_seq")).repartition("db_id")
@@ -112,9 +143,16 @@ def align_all(queries: DataFrame, database: DataFrame, block_rows: int = 2000, *
     return one_by_one(map(one, parts), blocks > 1)
 
 
-def align_listed(pairs: DataFrame, queries: DataFrame, database: DataFrame, **options) -> DataFrame:
-    """(query_id, db_id, sw_score) of an explicit list of pairs (query_id, db_id): two equi-joins, then the aligner."""
-    met = pairs.select("query_id", "db_id").join(queries.select(F.col("id").alias("query_id"), F.col("seq").alias("query_seq")), "query_id").join(database.select(F.col("id").alias("db_id"), F.col("seq").alias("db_seq")), "db_id")
+def align_listed(pairs: DataFrame, queries: DataFrame, database: DataFrame, long: int = LONG, **options) -> DataFrame:
+    """(query_id, db_id, sw_score) of an explicit list of pairs (query_id, db_id): two equi-joins, then the aligner. Without
+    a limit of length, pairs with a sequence of more than ``long`` letters, whose ids must be unique, are aligned in tiles."""
+    side = lambda df, key, name: df.select(F.col("id").alias(key), F.col("seq").alias(name))
+    pairs = pairs.select("query_id", "db_id")
+    met = pairs.join(side(queries, "query_id", "query_seq"), "query_id").join(side(database, "db_id", "db_seq"), "db_id")
+    if options.get("max_length", MAX_LENGTH) is None and _any_long(long, queries, database):
+        beyond = F.coalesce(F.greatest(F.length("query_seq"), F.length("db_seq")) > long, F.lit(False))
+        rest = align_pairs(met.where(~beyond), **options).select("query_id", "db_id", "sw_score")
+        return rest.unionByName(_in_tiles(met.where(beyond).select("query_id", "db_id"), queries, database, options))
     return align_pairs(met, **options).select("query_id", "db_id", "sw_score")
 
 
