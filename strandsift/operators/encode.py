@@ -138,8 +138,10 @@ def encode(df: DataFrame, encoder: Encoder, sequence: str = "seq", output: str =
                 vectors += [None if s is None else v.tolist() for s, v in zip(part, pool(hidden, mask, pooling), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*columns, output])
 
-    # the work per byte is far above a shuffle's; a small table would otherwise be encoded in one task
-    return df.select(columns).repartition(sequence).mapInArrow(run, schema)
+    # the work per byte is far above a shuffle's; a small table would otherwise be encoded in one task. Rows are dealt in
+    # turn, whatever they hold, to a stated number of tasks, which Spark does not merge
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.select(columns).repartition(tasks).mapInArrow(run, schema)
 
 
 def encode_single(spark, seq: str, encoder: Encoder, max_length: int = 1022) -> list[float]:

@@ -104,12 +104,14 @@ def search(queries: DataFrame, database: DataFrame, k: int = 10, strategy: str =
 
     Both inputs have columns id and embedding. Null vectors, vectors of another length and NaN scores are never
     hits; ``exclude_self`` leaves out the row whose id equals the query's; ``strict`` raises if the database has fewer
-    than k rows. Repeated query ids are answered once per row."""
+    than k rows. Query ids should be unique: rows that share one share its k places."""
     queries, database = queries.select("id", "embedding"), database.select("id", "embedding")
     kinds = (queries.schema["id"].dataType.simpleString(), database.schema["id"].dataType.simpleString())
     if strategy not in ("auto", "native", "blocks"):
         raise ValueError(f"no strategy {strategy!r}")
-    rows = database.count() if strict or strategy == "auto" else None
+    # rows of each partition that has some
+    held = [r[1] for r in database.groupBy(F.spark_partition_id()).count().collect()] if strict or strategy != "blocks" else []
+    rows = sum(held)
     if strict and k > rows:
         raise ValueError(f"k={k} exceeds the {rows} rows of the database")
     if strategy == "auto":
@@ -117,8 +119,10 @@ def search(queries: DataFrame, database: DataFrame, k: int = 10, strategy: str =
     known = queries.where("embedding is not null")
     blocks = _blocks(known, block_values)
     if strategy == "native":
-        # a small table is one file split; without this one core would do the whole product
-        database = database.repartition("id")
+        # a small table is one file split; without this one core would do the whole product. A large one stays where it is
+        cores = database.sparkSession.sparkContext.defaultParallelism
+        if len(held) < cores:
+            database = database.repartition(cores)
 
         def best(part: DataFrame) -> DataFrame:
             scores = cosine_scores(part, database, 2**62)  # a block already

@@ -65,17 +65,39 @@ def dense_label(df: DataFrame, family: str = "family", name: str = "label") -> D
     return df.join(names, F.col(family).eqNullSafe(F.col("_family"))).drop("_family")
 
 
+def _quantile_bucket(df: DataFrame, order: str, rows: int = 50_000, most: int = 10_000) -> Column:
+    """The bucket of ``order`` between its quantiles, about ``rows`` rows each, at most ``most`` buckets. Rows of one value are
+    in one bucket."""
+    n = max(2, min(most, -(-df.count() // rows)))
+    found = df.agg(F.percentile_approx(order, [k / n for k in range(1, n)], 10 * n)).first()[0]
+    borders = F.array(*[F.lit(x) for x in sorted(set(found))]) if found else None
+    return F.lit(0) if borders is None else F.when(F.col(order).isNull(), F.lit(-1)).otherwise(_below(borders, F.col(order)))
+
+
+def _below(borders: Column, value: Column) -> Column:
+    """How many of the sorted ``borders`` are below ``value``, by halving."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(borders) + 1)).cast("int") + 1)
+    zero = F.struct(F.lit(0).alias("low"), F.size(borders).alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        right = (at["low"] < at["high"]) & (F.get(borders, middle) < value)
+        return F.struct(F.when(right, middle + 1).otherwise(at["low"]).alias("low"), F.when(right | (at["low"] >= at["high"]), at["high"]).otherwise(middle).alias("high"))
+
+    return F.aggregate(steps, zero, halve, lambda at: at["low"])
+
+
 def batches(df: DataFrame, batch_size: int = 32, order: str = "seq_no", width: int | None = None, shuffle: bool = False, seed: int = 42, epoch: int = 0) -> DataFrame:
     """(batch, rows): arrays of ``batch_size`` rows as structs in the order of the whole-number column ``order``; the
-    last may be shorter. ``width``: the span of ``order`` that a task numbers at a time (default: a span such that there
-    are at most about 20,000 of them). ``shuffle``: in a seeded order instead, another one for each ``epoch``."""
+    last may be shorter. ``width``: the span of ``order`` that a task numbers at a time (default: spans between quantiles, so
+    that they hold about equally many rows, however the values lie). ``shuffle``: in a seeded order instead, another one for each ``epoch``."""
     if shuffle:
         placed = shuffled(df, order, seed + epoch, "_position")
     else:
         if width is None:
-            low, high = df.agg(F.min(order), F.max(order)).first()
-            width = max(4096, -(-(high - low + 1) // 20_000)) if low is not None else 4096
-        placed = ranked(df, F.floor(F.col(order) / F.lit(width)), [order], "_position")
+            placed = ranked(df, _quantile_bucket(df, order), [order], "_position")
+        else:
+            placed = ranked(df, F.floor(F.col(order) / F.lit(width)), [order], "_position")
     row = F.struct(F.col("_position"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
     grouped = placed.groupBy(F.floor(F.col("_position") / F.lit(batch_size)).cast("long").alias("batch")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     return grouped.select("batch", F.transform("rows", lambda r: r["row"]).alias("rows"))

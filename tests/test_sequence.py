@@ -237,3 +237,27 @@ def test_folder_encoder(monkeypatch):
     assert encode.pool(hidden, mask)[0].tolist() == [3 * (1 + 1 + 2 + 2) / 4] * 4
     assert e.hidden(["ABCDEFGH"], None, 0)[0].shape == (1, 10, 4)
     assert e.dim == 4 and e.info()["num_layers"] == 2 and seen == {"loads": 1, "half": True}
+
+
+def test_batches_deal_evenly_however_the_order_lies(spark):
+    """Far outliers, negative values and ties: gapless batches, and no bucket of them all."""
+    values = [*range(6000), 10**15, -(10**12), *([77] * 50), 5.0]
+    df = spark.createDataFrame([(int(v),) for v in values], "seq_no long").repartition(3)
+    got = split.batches(df, 32).orderBy("batch").collect()
+    assert [r.batch for r in got] == list(range(-(-len(values) // 32)))
+    assert [x.seq_no for r in got for x in r.rows] == sorted(int(v) for v in values)
+    sizes = [r["count"] for r in df.groupBy(split._quantile_bucket(df, "seq_no", rows=300).alias("b")).count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 700
+
+
+def test_borders_are_found_by_halving(spark):
+    borders = [3, 5, 9, 9, 20]
+    df = spark.createDataFrame([(v,) for v in range(25)], "v long")
+    got = df.select("v", split._below(F.array(*map(F.lit, borders)), F.col("v")).alias("n")).collect()
+    assert all(r.n == sum(b < r.v for b in borders) for r in got)
+
+
+def test_equal_sequences_are_dealt_to_all_tasks(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 2 == 0, "ACDE").alias("seq"))
+    tasks = encode.encode(df, encode.KmerEncoder(4)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 4 and max(r["count"] for r in tasks) < 1500
