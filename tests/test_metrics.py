@@ -84,3 +84,17 @@ def test_ranking_metrics(spark):
     db = spark.createDataFrame(rows, "id long, embedding array<float>, label int, annotations array<string>, name string")
     got = {(r.task, r.metric): r.value for r in metrics.ranking_metrics(db, db, (1, 5)).collect()}
     assert got["exact_match", "exact_match"] == 1.0 and got["family", "recall@1"] == pytest.approx(0.25) and ("annotation", "map") in got
+
+
+def test_annotation_pairs_come_once_without_a_distinct(spark):
+    """Many shared annotations, one of them on all rows; repeated ids and notes; null notes and arrays."""
+    rows = [(i, ["all", f"n{i % 3}", f"m{i % 4}", None, "all"]) for i in range(40)] + [(3, ["own"]), (50, ["own"]), (51, None), (52, [None]), (53, [])]
+    df = spark.createDataFrame(rows, "id long, annotations array<string>")
+    got = metrics.annotation_relevance(df.where("id % 5 = 3 or id > 49"), df)
+    by = {}
+    for i, notes in rows:
+        by.setdefault(i, set()).update(x for x in notes or () if x is not None)
+    want = sorted((a, b) for a in by for b in by if (a % 5 == 3 or a > 49) and by[a] & by[b])
+    assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # nothing is aggregated above the join
