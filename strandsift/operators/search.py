@@ -37,6 +37,12 @@ def _blocks(queries: DataFrame, values: int) -> int:
     return max(1, -(-max(size or 0, 1) * rows // values))
 
 
+def _slices(n: int, width: int, cells: int = 4_000_000) -> Iterator[slice]:
+    """``n`` queries in slices whose scores against ``width`` rows have about ``cells`` cells at most."""
+    step = max(1, cells // max(width, 1))
+    return (slice(i, i + step) for i in range(0, n, step))
+
+
 def _pairs(queries: DataFrame, database: DataFrame, score, values: int) -> DataFrame:
     blocks = _blocks(queries, values)
     d = database.select(F.col("id").alias("db_id"), F.col("embedding").alias("_d"))
@@ -87,14 +93,16 @@ def _block_top_k(database: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: in
             values = values / (np.sqrt(np.einsum("ij,ij->i", values, values)) + vector.EPSILON)[:, None]
             db = kept.column(0)
             names = np.array(db.to_pylist(), object)
-            s = np.round(q @ values.T, DIGITS)
-            s[np.isnan(s)] = -np.inf
-            if exclude_self:
-                s[own_ids[:, None] == names[None, :]] = -np.inf
-            n = min(k, s.shape[1])
-            limit = -np.partition(-s, n - 1, axis=1)[:, n - 1]
-            row, at = np.nonzero((s >= limit[:, None]) & (s > -np.inf))  # all that tie with the last; the final cut decides
-            yield pa.RecordBatch.from_arrays([pa.array(own_ids[row].tolist(), pa_query), db.take(pa.array(at)), pa.array(s[row, at])], names=["query_id", "db_id", "score"])
+            for part in _slices(len(q), len(values)):
+                own = own_ids[part]
+                s = np.round(q[part] @ values.T, DIGITS)
+                s[np.isnan(s)] = -np.inf
+                if exclude_self:
+                    s[own[:, None] == names[None, :]] = -np.inf
+                n = min(k, s.shape[1])
+                limit = -np.partition(-s, n - 1, axis=1)[:, n - 1]
+                row, at = np.nonzero((s >= limit[:, None]) & (s > -np.inf))  # all that tie with the last; the final cut decides
+                yield pa.RecordBatch.from_arrays([pa.array(own[row].tolist(), pa_query), db.take(pa.array(at)), pa.array(s[row, at])], names=["query_id", "db_id", "score"])
 
     return database.mapInArrow(run, f"query_id {kinds[0]}, db_id {kinds[1]}, score double")
 

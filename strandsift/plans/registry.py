@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandsift.functions import sequence, vector
 from strandsift.functions.substitution import parity
-from strandsift.operators import align, encode, ivf, metrics, search, seeds, split, tiles, trace
+from strandsift.operators import align, encode, ivf, metrics, pq, search, seeds, split, tiles, trace
 from strandsift.sources import fasta
 from strandsift.sources.shared import scratch
 
@@ -280,6 +280,16 @@ def topk_ivf(spark, sf_dir):
     return _shown(ivf.search_index(index, _queries(spark, sf_dir), k=10))
 
 
+def topk_pq(spark, sf_dir):
+    """As topk_cosine, from a scan over codes whose bounds leave out what cannot be a hit."""
+    return _shown(pq.search_pq(pq.build_pq(_vectors(spark, sf_dir)), _queries(spark, sf_dir), k=10))
+
+
+def topk_pq_short(spark, sf_dir):
+    """The ten nearest among the hundred rows of the best look-up scores."""
+    return _shown(pq.search_pq(pq.build_pq(_vectors(spark, sf_dir)), _queries(spark, sf_dir), k=10, shortlist=100))
+
+
 def _encoded(df):
     return encode.encode(df, encode.KmerEncoder(), max_length=None).select("id", "embedding")
 
@@ -313,7 +323,7 @@ def quantise_fp16(spark, sf_dir):
     return df.select("id", F.round(change, 9).alias("largest_change"))
 
 
-_FUNCTIONS = (l2_normalize, dot_scores, cosine_scores, topk_cosine, topk_cosine_native, topk_cosine_exclude_self, topk_dot, gather_candidates, seq_clean, seq_encode, seq_pad, seq_decode, seq_filter, seq_stats, split_train_val, split_three_way, train_difference, pair_product_capped, family_relevance, annotation_relevance, recall_at_k, precision_at_k, mean_reciprocal_rank, ndcg_at_k, average_precision, mean_average_precision, retrieval_metrics, evaluate_families, evaluate_annotations, ranking_annotations, exact_match_recovery, ranking_metrics, family_dense_label, batch_collate, fasta_roundtrip, sw_scores, sw_pairs, sw_items, sw_tiled, sw_trace, sw_seeded, topk_ivf, sw_rerank, encode_kmer, substitution_scores, quantise_fp16)
+_FUNCTIONS = (l2_normalize, dot_scores, cosine_scores, topk_cosine, topk_cosine_native, topk_cosine_exclude_self, topk_dot, gather_candidates, seq_clean, seq_encode, seq_pad, seq_decode, seq_filter, seq_stats, split_train_val, split_three_way, train_difference, pair_product_capped, family_relevance, annotation_relevance, recall_at_k, precision_at_k, mean_reciprocal_rank, ndcg_at_k, average_precision, mean_average_precision, retrieval_metrics, evaluate_families, evaluate_annotations, ranking_annotations, exact_match_recovery, ranking_metrics, family_dense_label, batch_collate, fasta_roundtrip, sw_scores, sw_pairs, sw_items, sw_tiled, sw_trace, sw_seeded, topk_ivf, topk_pq, topk_pq_short, sw_rerank, encode_kmer, substitution_scores, quantise_fp16)
 
 
 def queries() -> dict:
@@ -408,6 +418,7 @@ def oracle_sql() -> dict[str, str]:
         "sw_items": _SW,
         "sw_tiled": _SW,
         "sw_trace": _SW,
+        "topk_pq": f"WITH {_SCORED}, {_top(10)} SELECT {_SHOW} FROM h",
         "topk_ivf": f"WITH {_SCORED}, {_top(10)} SELECT {_SHOW} FROM h",
         "substitution_scores": f"WITH s AS (SELECT '{parity().letters}' AS letters, {parity().table.ravel().tolist()} AS scores), i AS (SELECT regexp_replace({_TEXT}, '[^A-Z]', '', 'g') AS seq FROM benchmark), p AS (SELECT seq[k] AS a, seq[k + 1] AS b FROM (SELECT seq, unnest(range(1, length(seq))) AS k FROM i)), c AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL) SELECT a, b, n, (CASE WHEN strpos(letters, a) = 0 OR strpos(letters, b) = 0 THEN -4 ELSE scores[(strpos(letters, a) - 1) * 24 + strpos(letters, b)] END)::INTEGER AS score FROM c, s",
         "ranking_metrics": f"{_metrics_sql('')} SELECT 'family' AS task, metric, value FROM ({_ALL_METRICS}) UNION ALL SELECT 'exact_match', 'exact_match', {_r('avg(CASE WHEN q.label = e.label THEN 1.0 ELSE 0.0 END)', 'value')} FROM q JOIN h ON h.query_id = q.query_id AND h.rank = 1 JOIN e ON e.id = h.db_id",
