@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandsift.functions import sequence, vector
 from strandsift.functions.substitution import parity
 from strandsift.operators import align, encode, ivf, metrics, pq, search, seeds, split, tiles, trace
-from strandsift.sources import fasta
+from strandsift.sources import fasta, ranges
 from strandsift.sources.shared import scratch
 
 K = 50
@@ -233,6 +233,13 @@ def fasta_roundtrip(spark, sf_dir):
     return fasta.read_fasta(spark, path).select(F.col("id").cast("long").alias("id"), _long(F.length("seq")).alias("n"), F.md5(F.col("seq").cast("binary")).alias("digest"))
 
 
+def fasta_ranges(spark, sf_dir):
+    """The same by byte ranges, each read by one task."""
+    path = scratch(spark, "fasta")
+    fasta.write_fasta(_sequences(spark, sf_dir), path)
+    return ranges.read_ranges(spark, path, range_bytes=1 << 22).select(F.col("id").cast("long").alias("id"), _long(F.length("seq")).alias("n"), F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
 def sw_scores(spark, sf_dir):
     return align.align_all(_sequences(spark, sf_dir, "benchmark", "item_id").where("id % 50 = 0"), _sequences(spark, sf_dir), max_length=None)
 
@@ -323,7 +330,7 @@ def quantise_fp16(spark, sf_dir):
     return df.select("id", F.round(change, 9).alias("largest_change"))
 
 
-_FUNCTIONS = (l2_normalize, dot_scores, cosine_scores, topk_cosine, topk_cosine_native, topk_cosine_exclude_self, topk_dot, gather_candidates, seq_clean, seq_encode, seq_pad, seq_decode, seq_filter, seq_stats, split_train_val, split_three_way, train_difference, pair_product_capped, family_relevance, annotation_relevance, recall_at_k, precision_at_k, mean_reciprocal_rank, ndcg_at_k, average_precision, mean_average_precision, retrieval_metrics, evaluate_families, evaluate_annotations, ranking_annotations, exact_match_recovery, ranking_metrics, family_dense_label, batch_collate, fasta_roundtrip, sw_scores, sw_pairs, sw_items, sw_tiled, sw_trace, sw_seeded, topk_ivf, topk_pq, topk_pq_short, sw_rerank, encode_kmer, substitution_scores, quantise_fp16)
+_FUNCTIONS = (l2_normalize, dot_scores, cosine_scores, topk_cosine, topk_cosine_native, topk_cosine_exclude_self, topk_dot, gather_candidates, seq_clean, seq_encode, seq_pad, seq_decode, seq_filter, seq_stats, split_train_val, split_three_way, train_difference, pair_product_capped, family_relevance, annotation_relevance, recall_at_k, precision_at_k, mean_reciprocal_rank, ndcg_at_k, average_precision, mean_average_precision, retrieval_metrics, evaluate_families, evaluate_annotations, ranking_annotations, exact_match_recovery, ranking_metrics, family_dense_label, batch_collate, fasta_roundtrip, fasta_ranges, sw_scores, sw_pairs, sw_items, sw_tiled, sw_trace, sw_seeded, topk_ivf, topk_pq, topk_pq_short, sw_rerank, encode_kmer, substitution_scores, quantise_fp16)
 
 
 def queries() -> dict:
@@ -425,5 +432,6 @@ def oracle_sql() -> dict[str, str]:
         "exact_match_recovery": f"WITH {_SCORED}, {_top(1, 'WHERE query_id <> db_id')} SELECT {_r('avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END)', 'exact_match')} FROM h JOIN e a ON a.id = h.query_id JOIN e b ON b.id = h.db_id",
         "family_dense_label": "SELECT doc_id AS id, source AS family, dense_rank() OVER (ORDER BY source) - 1 AS label FROM documents",
         "batch_collate": "WITH r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents) SELECT p // 32 AS batch, count(*) AS n, string_agg(doc_id || ':' || lang, ',' ORDER BY p) AS items FROM r GROUP BY 1",
+        "fasta_ranges": f"WITH {_DOCS} SELECT id, length(seq)::BIGINT AS n, md5(seq) AS digest FROM d",
         "fasta_roundtrip": f"WITH {_DOCS} SELECT id, length(seq)::BIGINT AS n, md5(seq) AS digest FROM d",
     }
