@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from math import gcd
+from random import Random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +106,57 @@ def batches(df: DataFrame, batch_size: int = 32, order: str = "seq_no", width: i
     return grouped.select("batch", F.transform("rows", lambda r: r["row"]).alias("rows"))
 
 
+def padded_width(length: Column, step: int = 64) -> Column:
+    """What a row of ``length`` is padded to: a multiple of ``step``, or of a sixteenth of the next power of two where that is
+    more, so that there are at most 16 widths between two powers of two and padding beyond a step is below an eighth."""
+    n = F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(1)).cast("long")
+    bits = F.length(F.bin(n - 1))
+    unit = F.greatest(F.lit(step).cast("long"), F.pow(F.lit(2.0), F.greatest(bits - 4, F.lit(0))).cast("long"))
+    return (F.ceil(n / unit) * unit).cast("long")
+
+
+def budget_batches(df: DataFrame, budget: int, length: str = "length", key: str = "id", step: int = 64, seed: int = 42, epoch: int = 0, mix: bool = True, start: int = 0) -> DataFrame:
+    """``df`` with columns batch (gapless from 0), slot (gapless from 0 in it) and width: rows of one width share a batch, as
+    many as ``budget`` // width, or one where the width alone exceeds the budget; the last of each width may have fewer.
+
+    Rows come in a seeded order, another one for each ``epoch``. ``mix`` deals the batches of all widths over the epoch;
+    without it they come by width. What is in a batch depends on rows and seed alone, so its number is a cursor: with
+    ``start`` an epoch goes on from that batch. A null length counts as 0; keys should be unique."""
+    if budget < 1 or step < 1:
+        raise ValueError("budget and step must be positive")
+    names = [*df.columns, "width"]
+    wide = df.withColumn("width", padded_width(F.col(length), step)).withColumn("_hash", F.md5(F.concat_ws(":", F.lit(str(seed + epoch)), F.col(key).cast("string")).cast("binary")))
+    per = F.greatest(F.floor(F.lit(budget) / F.col("width")), F.lit(1)).cast("long")
+    # one row a width, at most 16 for each doubling of the length
+    counts = wide.groupBy("width").agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.ceil(F.col("n") / per).cast("long"))
+    sums = Window.orderBy("width").rowsBetween(Window.unboundedPreceding, 0)
+    firsts = counts.select(F.col("width").alias("_width"), (F.sum("n").over(sums) - F.col("n")).alias("_rows"), (F.sum("b").over(sums) - F.col("b")).alias("_batches"))
+    placed = ranked(wide, F.struct("width", F.substring("_hash", 1, 3)), ["_hash", key], "_position").join(F.broadcast(firsts), F.col("width") == F.col("_width"))
+    own = F.col("_position") - F.col("_rows")
+    batch = F.col("_batches") + F.floor(own / per).cast("long")
+    if mix:
+        total = int(counts.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0])
+        stride, offset = _stride(total, seed + epoch)
+        batch = (batch * F.lit(stride) + F.lit(offset)) % F.lit(max(total, 1))
+    out = placed.select(*names, batch.cast("long").alias("batch"), (own % per).cast("long").alias("slot"))
+    return out.where(F.col("batch") >= start) if start else out
+
+
+def _stride(n: int, seed: int) -> tuple[int, int]:
+    """(stride, offset): x -> (x * stride + offset) mod n deals 0..n-1 to other places, each once; below 2**63 for n below 3e9."""
+    if n < 3:
+        return 1, 0
+    draw = Random(seed)
+    while gcd(stride := draw.randrange(1, n), n) > 1:
+        pass
+    return stride, draw.randrange(n)
+
+
+def padding_share(placed: DataFrame, length: str = "length") -> DataFrame:
+    """One row: which share of all positions in the batches of ``placed`` is padding; null without a row."""
+    return placed.agg((1 - F.sum(F.coalesce(F.col(length), F.lit(0))) / F.sum("width")).alias("padding"))
+
+
 def difference(df: DataFrame, other: DataFrame, key: str = "id") -> DataFrame:
     """Rows of ``df`` whose key ``other`` lacks."""
     return df.join(other.select(key).distinct(), key, "left_anti")

@@ -227,6 +227,12 @@ def batch_collate(spark, sf_dir):
     return out.select("batch", _long(F.size("rows")).alias("n"), F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["seq_no"].cast("string"), r["lang"])), ",").alias("items"))
 
 
+def batch_budget(spark, sf_dir):
+    """Each document's place in batches of at most 16,384 padded letters."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("length"))
+    return split.budget_batches(docs, 16_384, mix=False).select("id", "batch", "slot", "width")
+
+
 def fasta_roundtrip(spark, sf_dir):
     path = scratch(spark, "fasta")
     fasta.write_fasta(_sequences(spark, sf_dir), path)
@@ -330,7 +336,7 @@ def quantise_fp16(spark, sf_dir):
     return df.select("id", F.round(change, 9).alias("largest_change"))
 
 
-_FUNCTIONS = (l2_normalize, dot_scores, cosine_scores, topk_cosine, topk_cosine_native, topk_cosine_exclude_self, topk_dot, gather_candidates, seq_clean, seq_encode, seq_pad, seq_decode, seq_filter, seq_stats, split_train_val, split_three_way, train_difference, pair_product_capped, family_relevance, annotation_relevance, recall_at_k, precision_at_k, mean_reciprocal_rank, ndcg_at_k, average_precision, mean_average_precision, retrieval_metrics, evaluate_families, evaluate_annotations, ranking_annotations, exact_match_recovery, ranking_metrics, family_dense_label, batch_collate, fasta_roundtrip, fasta_ranges, sw_scores, sw_pairs, sw_items, sw_tiled, sw_trace, sw_seeded, topk_ivf, topk_pq, topk_pq_short, sw_rerank, encode_kmer, substitution_scores, quantise_fp16)
+_FUNCTIONS = (l2_normalize, dot_scores, cosine_scores, topk_cosine, topk_cosine_native, topk_cosine_exclude_self, topk_dot, gather_candidates, seq_clean, seq_encode, seq_pad, seq_decode, seq_filter, seq_stats, split_train_val, split_three_way, train_difference, pair_product_capped, family_relevance, annotation_relevance, recall_at_k, precision_at_k, mean_reciprocal_rank, ndcg_at_k, average_precision, mean_average_precision, retrieval_metrics, evaluate_families, evaluate_annotations, ranking_annotations, exact_match_recovery, ranking_metrics, family_dense_label, batch_collate, batch_budget, fasta_roundtrip, fasta_ranges, sw_scores, sw_pairs, sw_items, sw_tiled, sw_trace, sw_seeded, topk_ivf, topk_pq, topk_pq_short, sw_rerank, encode_kmer, substitution_scores, quantise_fp16)
 
 
 def queries() -> dict:
@@ -354,6 +360,10 @@ _CODE_DIGEST = "md5(array_to_string(codes, ','))"
 _SPLIT = "r AS (SELECT doc_id AS id, row_number() OVER (ORDER BY md5(concat('42:', doc_id)), doc_id) - 1 AS p, count(*) OVER () AS n FROM documents)"
 
 
+_WIDTHS = """u AS (SELECT *, greatest(64, (2 ** greatest(length(bin(n - 1)) - 4, 0))::BIGINT) AS unit FROM d),
+w AS (SELECT id, h, (n + unit - 1) // unit * unit AS width FROM u),
+r AS (SELECT id, width, greatest(16384 // width, 1) AS per, row_number() OVER (PARTITION BY width ORDER BY h, id) - 1 AS p FROM w),
+b AS (SELECT width, sum(batches) OVER (ORDER BY width) - batches AS first FROM (SELECT width, max(p // per) + 1 AS batches FROM r GROUP BY width))"""
 _BY_LABEL = "SELECT q.query_id, e.id AS db_id FROM q JOIN e USING (label)"
 _BY_NOTE = "SELECT q.query_id, e.id AS db_id FROM q, e WHERE q.label = e.label OR q.query_id % 3 = e.id % 3"
 
@@ -432,6 +442,7 @@ def oracle_sql() -> dict[str, str]:
         "exact_match_recovery": f"WITH {_SCORED}, {_top(1, 'WHERE query_id <> db_id')} SELECT {_r('avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END)', 'exact_match')} FROM h JOIN e a ON a.id = h.query_id JOIN e b ON b.id = h.db_id",
         "family_dense_label": "SELECT doc_id AS id, source AS family, dense_rank() OVER (ORDER BY source) - 1 AS label FROM documents",
         "batch_collate": "WITH r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents) SELECT p // 32 AS batch, count(*) AS n, string_agg(doc_id || ':' || lang, ',' ORDER BY p) AS items FROM r GROUP BY 1",
+        "batch_budget": f"WITH d AS (SELECT doc_id AS id, greatest(coalesce(length(text), 0), 1) AS n, md5(concat('42:', doc_id)) AS h FROM documents), {_WIDTHS} SELECT id, (first + p // per)::BIGINT AS batch, (p % per)::BIGINT AS slot, width::BIGINT AS width FROM r JOIN b USING (width)",
         "fasta_ranges": f"WITH {_DOCS} SELECT id, length(seq)::BIGINT AS n, md5(seq) AS digest FROM d",
         "fasta_roundtrip": f"WITH {_DOCS} SELECT id, length(seq)::BIGINT AS n, md5(seq) AS digest FROM d",
     }

@@ -1,3 +1,4 @@
+import random
 import contextlib
 import gzip
 import sys
@@ -261,3 +262,35 @@ def test_equal_sequences_are_dealt_to_all_tasks(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 2 == 0, "ACDE").alias("seq"))
     tasks = encode.encode(df, encode.KmerEncoder(4)).groupBy(F.spark_partition_id()).count().collect()
     assert len(tasks) >= 4 and max(r["count"] for r in tasks) < 1500
+
+
+def test_batches_under_a_budget(spark):
+    """Gapless, within the budget, each row once, padding bounded; a cursor gives the rest of the same epoch."""
+    draw = random.Random(4)
+    lengths = [100] * 400 + [draw.randint(0, 6000) for _ in range(600)] + [None, 0, 64, 65, 50_000]
+    df = spark.createDataFrame(list(enumerate(lengths)), "id long, length int").repartition(6)
+    placed = lambda **o: sorted((r.batch, r.slot, r.width, r.id) for r in split.budget_batches(df, 8192, **o).collect())
+    for mix in (False, True):
+        got = placed(mix=mix)
+        assert sorted(x[3] for x in got) == list(range(len(lengths)))
+        by = {}
+        for batch, slot, width, i in got:
+            assert (lengths[i] or 0) <= width <= max(64 + (lengths[i] or 0), 1.126 * (lengths[i] or 0))
+            by.setdefault(batch, []).append((slot, width))
+        assert sorted(by) == list(range(len(by)))
+        full = 0
+        for rows in by.values():
+            width = rows[0][1]
+            assert [s for s, _ in rows] == list(range(len(rows))) and {w for _, w in rows} == {width}
+            assert len(rows) * width <= 8192 or len(rows) == 1
+            full += len(rows) == max(1, 8192 // width)
+        assert full >= len(by) - len({rows[0][1] for rows in by.values()})
+        assert placed(mix=mix, start=7) == [x for x in got if x[0] >= 7]
+    assert placed() == placed() != placed(epoch=1)
+    assert [x[2] for x in placed()[:12]] != sorted(x[2] for x in placed()[:12])
+    share = split.padding_share(split.budget_batches(df, 8192)).first().padding
+    assert share == pytest.approx(1 - sum(x or 0 for x in lengths) / sum(x[2] for x in placed()))
+    assert split.budget_batches(df.limit(0), 8192).count() == 0
+    for n in (1, 2, 3, 10, 97, 1000):
+        stride, offset = split._stride(n, 3)
+        assert sorted((x * stride + offset) % n for x in range(n)) == list(range(n))
