@@ -131,7 +131,7 @@ def _scan(spark: SparkSession, index: PqIndex, ids: np.ndarray, tables: np.ndarr
             error = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
             row = batch.column(0).to_numpy(zero_copy_only=False)
             named = np.array(batch.column(3).to_pylist(), object) if exclude_self else None
-            for part in _slices(len(own_ids), len(row)):
+            for part in _slices(len(own_ids), len(row), 2_000_000):
                 s = _look_up(tables[:, part], codes)
                 if exclude_self:
                     s[own_ids[part][:, None] == named[None, :]] = -np.inf
@@ -186,8 +186,18 @@ def _short(scan, n_best: int) -> DataFrame:
     return best.groupBy("row").agg(F.collect_list("place").alias("places"))  # at most one block of queries
 
 
-def _rescored(index: PqIndex, found: DataFrame, pairs: int, q: np.ndarray) -> DataFrame:
-    """(query_id, db_id, score) of the candidates, from their vectors; queries by place."""
+def _best_of(place: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Which of the pairs are among the ``k`` best of their place, with all that tie with the last."""
+    order = np.lexsort((-score, place))
+    p, s = place[order], score[order]
+    first = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(p)))
+    last = s[first + np.minimum(sizes, k) - 1]
+    return order[s >= np.repeat(last, sizes)]
+
+
+def _rescored(index: PqIndex, found: DataFrame, pairs: int, q: np.ndarray, k: int) -> DataFrame:
+    """(query_id, db_id, score) of the candidates, from their vectors, the k best of each Arrow batch; queries by place."""
     spark = found.sparkSession
     sent = spark.sparkContext.broadcast(q)
     vectors = index.table(spark).select("row", "id", "embedding")
@@ -200,10 +210,11 @@ def _rescored(index: PqIndex, found: DataFrame, pairs: int, q: np.ndarray) -> Da
             places = batch.column(2)
             of = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
             asked = places.flatten().to_numpy(zero_copy_only=False)
+            s = np.zeros(len(of))
             for i in range(0, len(of), _PAIRS):
-                a, b = asked[i : i + _PAIRS], of[i : i + _PAIRS]
-                s = np.round(np.einsum("ij,ij->i", q[a], x[b]), DIGITS)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), batch.column(0).take(pa.array(b)), pa.array(s)], names=["query_id", "db_id", "score"])
+                s[i : i + _PAIRS] = np.round(np.einsum("ij,ij->i", q[asked[i : i + _PAIRS]], x[of[i : i + _PAIRS]]), DIGITS)
+            best = _best_of(asked, s, k)  # the final cut decides between ties
+            yield pa.RecordBatch.from_arrays([pa.array(asked[best], pa.int32()), batch.column(0).take(pa.array(of[best])), pa.array(s[best])], names=["query_id", "db_id", "score"])
 
     return met.mapInArrow(run, f"query_id int, db_id {index.id_type}, score double")
 
@@ -236,7 +247,7 @@ def search_pq(index: PqIndex, queries: DataFrame, k: int = 10, shortlist: int |
         index.pairs += len(q) * index.rows
         index.rescored += pairs
         names = spark.createDataFrame([(i, x) for i, x in enumerate(ids.tolist())], f"place int, id {kind}")
-        hits = top_k(_rescored(index, found, pairs, q), k).withColumnRenamed("query_id", "place")
+        hits = top_k(_rescored(index, found, pairs, q, k), k).withColumnRenamed("query_id", "place")
         return hits.join(F.broadcast(names), "place").select(F.col("id").alias("query_id"), "rank", "db_id", "score")  # one block of queries
 
     return one_by_one((best(p) for p in _parts(queries, blocks)), blocks > 1)

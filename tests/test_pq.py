@@ -57,3 +57,10 @@ def test_codes_alone_are_scanned(spark, clustered):  # noqa: F811
     index = pq.build_pq(clustered)
     plan = index.table(spark).select("row", "codes", "error")._jdf.queryExecution().toString()
     assert "embedding" not in plan.split("ReadSchema")[1]
+
+
+def test_best_of_each_place_with_ties():
+    place, score = np.array([2, 1, 2, 2, 1, 2]), np.array([0.5, 0.1, 0.9, 0.5, 0.2, 0.4])
+    assert sorted(pq._best_of(place, score, 2).tolist()) == [0, 1, 2, 3, 4]
+    assert sorted(pq._best_of(place, score, 1).tolist()) == [2, 4]
+    assert not len(pq._best_of(place[:0], score[:0], 3))
