@@ -13,7 +13,8 @@ A SimHash tells similar texts only with some probability, while here no link may
    shingles are crowded and its sizes leave little choice. What sizes and the number of shared shingles rule out goes; the
    rest is verified on the sets. Texts whose prefix is mostly crowded, and shingles of more nodes, are dealt to shards in
    which each node outside the largest part meets every other; the sets are compared there and a forest of verified links
-   comes out. Shingles of one and the same largest part share their shards where that sends fewer sets.
+   comes out. Shingles of one and the same largest part share their shards where that sends fewer sets, and sets of sizes
+   too far apart never meet where that does.
 4. Components over all verified links.
 
 Steps 1, 3 and 4 find every link whatever step 2 did; step 2 decides what they cost."""
@@ -210,6 +211,12 @@ def _stripes(rows: Column, values: Column, shard_rows: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(rows * 2 / F.lit(shard_rows)), F.ceil(values * 2 / F.lit(_VALUES))).cast("long")
 
 
+def _size_band(n: Column, similarity: float, parts: int = 1) -> Column:
+    """Bands of set sizes, ``parts`` of them from a size to the largest that can be similar to it; similar sets are in the
+    same or, of one part, in neighbouring bands."""
+    return F.floor(F.log(n) * parts / (max(np.log(1 / similarity), 0.01) + 1e-8)).cast("int")
+
+
 def _cost(name: str, shard_rows: int) -> tuple[list[Column], Column]:
     """Aggregates of a group's rows outside (l) and inside (m) its largest part, and the sets that its shards get."""
     outside = F.col("outside")
@@ -236,6 +243,15 @@ def _crowded(posts: DataFrame, known: DataFrame, parts: DataFrame, similarity: f
     merged = materialize(each.join(whole, "largest").where("together <= apart").select("largest", F.lit(True).alias("merged")))
     rows = posts.join(merged, "largest", "left").withColumn("group", F.when(F.col("merged"), F.xxhash64(F.lit(1), "largest")).otherwise(F.xxhash64(F.lit(0), "token")))
     rows = materialize(rows.select("group", "id", "n", "part", "outside").distinct())
+    # groups of many sizes meet by bands of size, each set in its own and the next smaller one, where that sends fewer sets
+    band = _size_band(F.col("n"), similarity)
+    banded = rows.select("group", "n", "outside", F.explode(F.array(band, band - 1)).alias("band"))
+    sums, apart = _cost("apart", shard_rows)
+    apart = banded.groupBy("group", "band").agg(*sums).select("group", apart).groupBy("group").agg(F.sum("apart").alias("apart"))
+    sums, together = _cost("together", shard_rows)
+    by_size = materialize(rows.groupBy("group").agg(*sums).select("group", together).join(apart, "group").where("apart < together").select("group", F.lit(True).alias("by_size")))
+    bands = F.when(F.col("by_size"), F.array(F.xxhash64("group", band), F.xxhash64("group", band - 1))).otherwise(F.array("group"))
+    rows = materialize(rows.join(small(by_size), "group", "left").select(F.explode(bands).alias("group"), "id", "n", "part", "outside"))
     sums, _ = _cost("sets", shard_rows)
     sized = rows.groupBy("group").agg(*sums)
     one = (F.col("l") + F.col("m") <= shard_rows) & (F.col("lv") + F.col("mv") <= 2 * _VALUES)
@@ -272,7 +288,13 @@ def _candidates(sketches: DataFrame, shared: DataFrame, several: DataFrame, simi
     sizes = F.least("an", "bn") + 1e-9 >= similarity * F.greatest("an", "bn")
     met = side(rare, "a").join(side(rare, "b"), "token").where(F.col("aid") < F.col("bid")).where(sizes).selectExpr("aid a", "bid b")
     alone = ~(F.col("aheavy") & F.col("bheavy")) & (needed("an", "bn") <= F.least("ah", "bh"))
-    more = side(crowded, "a", "h", "heavy").join(side(crowded, "b", "h", "heavy"), "token").where(F.col("aid") < F.col("bid")).where(sizes & alone).selectExpr("aid a", "bid b")
+    # the smaller text of a pair goes to the bands of all sizes at which its crowded shingles alone may be enough
+    least = F.greatest(F.col("an"), (F.col("an") - (1 + similarity) / similarity * (F.col("ah") + 1e-6)) / similarity)
+    bands = F.sequence(_size_band(least * (1 - 1e-9), similarity, 4), _size_band(F.col("an") / similarity * (1 + 1e-9), similarity, 4))
+    smaller = side(crowded, "a", "h", "heavy").withColumn("band", F.explode(bands))
+    larger = side(crowded, "b", "h", "heavy").withColumn("band", _size_band(F.col("bn"), similarity, 4))
+    once = F.struct("an", "aid") < F.struct("bn", "bid")
+    more = smaller.join(larger, ["token", "band"]).where(once & sizes & alone).select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b"))
     met = materialize(shared.where("rows = 2").select("a", "b").unionByName(met).unionByName(more).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
     hint = F.broadcast if met.count() <= 200_000 else (lambda x: x)
     size = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(x + "n"))

@@ -268,3 +268,31 @@ def test_clashing_columns(spark, tmp_path):
     for docs in (df, spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/t").withColumn("_metadata", F.lit(1))):
         kept = similar.drop_near_duplicates(docs)
         assert kept.columns == docs.columns and {(r.doc_id, r.row, r.tokens) for r in kept.collect()} == {(i, "row", "tokens") for i in range(7)}
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9, 1.0])
+def test_similar_sizes_share_a_band(spark, similarity):
+    """Sizes that can be similar are in the same or in neighbouring bands."""
+    n = 700
+    band = [r.b for r in spark.range(1, n).select(similar._size_band(F.col("id"), similarity).alias("b")).collect()]
+    for a in range(1, n):
+        for b in range(a, min(n, int((a + 1e-9) / similarity) + 1)):
+            assert 0 <= band[b - 1] - band[a - 1] <= 1
+
+
+def test_a_family_of_many_sizes_meets_by_bands(spark, monkeypatch):
+    """Texts of many sizes around one passage, hardly any of them near-duplicates: bands of size send a third fewer sets, and
+    the groups are those of all pairs."""
+    draw = random.Random(14)
+    passage = [f"p{j}" for j in range(40)]
+    texts = [" ".join(passage + [f"u{i}v{j}" for j in range(int(1.01**i) + draw.randrange(3))]) for i in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sent = []
+    forests = similar._forests
+    monkeypatch.setattr(similar, "_forests", lambda shards, s: (sent.append(shards.count()), forests(shards, s))[1])
+    run = lambda: {r.node: r.component for r in similar.similar_groups(df, shard_rows=20, few=4, sample_docs=1).collect()}
+    got, banded = run(), sent[-1]
+    assert [got[i] for i in range(500)] == matrix_components(texts)
+    monkeypatch.setattr(similar, "_size_band", lambda n, *rest: F.lit(0))
+    assert run() == got
+    assert banded < 0.75 * sent[-1]
