@@ -80,3 +80,26 @@ def test_blocks_of_queries_give_the_same_scores(spark):
     df = spark.createDataFrame([(i, "ACDEFGHIKLMNPQRSTVWY"[i % 7 : 8 + i]) for i in range(9)], "id long, seq string")
     rows = lambda out: sorted(map(tuple, out.collect()))
     assert rows(align.align_all(df, df, block_rows=2)) == rows(align.align_all(df, df))
+
+
+def test_many_queries_in_pieces_and_blocks(monkeypatch):
+    """Long texts in overlapping pieces, few lanes, antidiagonals in runs, several passes of queries: as the naive programme."""
+    draw = random.Random(5)
+    some = lambda n: "".join(draw.choice(A + "J-") for _ in range(n))
+    for name, value in (("_BODY", 8), ("_CELLS", 40), ("_STEPS", 7), ("_ROWS", 20)):
+        monkeypatch.setattr(align, name, value)
+    queries = ["", "W", some(12), some(9), some(30)]
+    database = ["", some(150), some(40) + queries[4][:20] + queries[4][24:] + some(300), some(1), some(150)] * 2
+    cut = [len(align._pieces([d], align._span(align._codes(queries[2]), parity().dense, 11, 1))[0]) for d in database]
+    assert max(cut) > 1
+    for gaps in ((11, 1), (3, 1), (2, 2), (1, 4), (5, 0)):
+        assert align.scores_many(queries, database, parity(), *gaps).tolist() == [[naive(q, d, parity(), *gaps) for d in database] for q in queries]
+
+
+def test_a_text_is_sent_to_python_once_for_all_queries(spark):
+    q = spark.createDataFrame([(1, A), (2, None), (3, ""), (4, A * 60)], "id long, seq string")
+    d = spark.createDataFrame([(7, A + A), (8, None), (9, ""), (10, "WW"), (11, A * 60)], "id int, seq string")
+    out = align.align_all(q, d)
+    assert "NestedLoopJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    want = lambda a, b: None if a is None or b is None else align.TOO_LONG if max(len(a), len(b)) > 1024 else naive(a, b, parity(), 11, 1)
+    assert sorted((r.query_id, r.db_id, r.sw_score) for r in out.collect()) == [(a.id, b.id, want(a.seq, b.seq)) for a in q.collect() for b in d.collect()]
