@@ -98,3 +98,43 @@ def test_annotation_pairs_come_once_without_a_distinct(spark):
     assert sorted(map(tuple, got.collect())) == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")  # nothing is aggregated above the join
+
+
+def test_judgements_equal_pairs_without_making_them(spark):
+    """Repeated ids, several and null annotations, labels that only one side has: as with all pairs, of which none is made."""
+    random.seed(6)
+    rows = [(i % 50, random.choice([None, 0, 1, 2, 50 + i]), [random.choice(["x", "y", "z", f"own{i % 7}", None]) for _ in range(random.randrange(4))] or None) for i in range(60)]
+    db = spark.createDataFrame(rows, "id long, label int, annotations array<string>")
+    q = db.where("id % 3 = 0").unionByName(spark.createDataFrame([(900, 7, ["none"])], db.schema))
+    hits = spark.createDataFrame([(a, r, random.randrange(55)) for a in range(0, 50, 3) for r in range(1, 9)], "query_id long, rank int, db_id long")
+    asked = q.select("id").distinct().withColumnRenamed("id", "query_id")
+    shown = lambda relevant: sorted(tuple(round(x, 9) for x in r) for r in metrics.per_query(asked, hits, relevant, (1, 5)).collect())
+    assert shown(metrics.family_judgement(q, db)) == shown(metrics.family_relevance(q, db))
+    assert shown(metrics.annotation_judgement(q, db)) == shown(metrics.annotation_relevance(q, db))
+
+
+@pytest.mark.parametrize("name", ["ndcg_at_k", "evaluate_families", "evaluate_annotations"])
+def test_no_join_makes_all_relevant_pairs(spark, tmp_path, name):
+    """4,000 rows of one label, 80 of them queries: 320,000 relevant pairs, of which no operator has as many rows."""
+    from strandsift.plans import registry
+
+    vectors = spark.range(4000).selectExpr("id vec_id", "array(cast(sin(id) as float), cast(cos(id) as float)) embedding", "1 label")
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = registry.queries()[name](spark, str(tmp_path))
+    rows = out._jdf.queryExecution()
+    out.collect()
+    found = [int(x) for x in _rows_of(rows.executedPlan())]
+    assert found and max(found) < 100_000
+
+
+def _rows_of(plan):
+    """numOutputRows of the operators of a plan that has run."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        yield from _rows_of(plan.executedPlan())
+        return
+    if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+        yield from _rows_of(plan.plan())
+    if plan.metrics().contains("numOutputRows"):
+        yield plan.metrics().apply("numOutputRows").value()
+    for i in range(plan.children().size()):
+        yield from _rows_of(plan.children().apply(i))
