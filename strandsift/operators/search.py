@@ -24,6 +24,8 @@ from strandsift.sources.shared import one_by_one
 DIGITS = 9
 _BLOCK_VALUES = 16_000_000
 _NATIVE_PAIRS = 30_000
+#: Scores that one Arrow batch has at most, or one row's.
+_OUT_ROWS = 1 << 19
 
 
 def _parts(queries: DataFrame, blocks: int) -> Iterator[DataFrame]:
@@ -43,27 +45,83 @@ def _slices(n: int, width: int, cells: int = 4_000_000) -> Iterator[slice]:
     return (slice(i, i + step) for i in range(0, n, step))
 
 
-def _pairs(queries: DataFrame, database: DataFrame, score, values: int) -> DataFrame:
-    blocks = _blocks(queries, values)
-    d = database.select(F.col("id").alias("db_id"), F.col("embedding").alias("_d"))
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / (np.sqrt(np.einsum("ij,ij->i", m, m)) + vector.EPSILON)[:, None]
+
+
+def _by_size(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors) of each length; null vectors are in none."""
+    sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes[sizes >= 0]).tolist():
+        rows = np.flatnonzero(sizes == size)
+        yield rows, column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), size)
 
-    def one(part: DataFrame) -> DataFrame:
-        q = part.select(F.col("id").alias("query_id"), F.col("embedding").alias("_q"))
-        return d.crossJoin(F.broadcast(q)).select("query_id", "db_id", score(F.col("_q"), F.col("_d")).alias("score"))
 
-    return one_by_one((one(p) for p in _parts(queries, blocks)), blocks > 1)
+def _score_block(part: DataFrame, database: DataFrame, unit: bool) -> DataFrame:
+    """All pairs of one block of queries with the database, each Arrow batch multiplied with the block. Pairs of a null
+    vector or of unlike lengths have null scores."""
+    kinds = [x.schema["id"].dataType for x in (part, database)]
+    id_type = to_arrow_type(kinds[0])
+    rows = part.select("id", "embedding").collect()  # one block
+    own = pa.array([r.id for r in rows], id_type)
+    vectors = list(_by_size(pa.array([r.embedding for r in rows], pa.list_(pa.float64()))))
+    sent = part.sparkSession.sparkContext.broadcast((own, {m.shape[1]: (at, _unit(m) if unit else m) for at, m in vectors}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asked = sent.value
+        for whole in batches if len(own) else ():
+            step = max(1, _OUT_ROWS // len(own))
+            for begin in range(0, whole.num_rows, step):
+                batch = whole.slice(begin, step)
+                score = np.zeros((len(own), batch.num_rows))
+                unknown = np.ones(score.shape, bool)
+                for at, d in _by_size(batch.column(1)):
+                    if d.shape[1] in asked:
+                        places, q = asked[d.shape[1]]
+                        met = np.ix_(places, at)
+                        score[met], unknown[met] = q @ (_unit(d) if unit else d).T, False
+                query = own.take(pa.array(np.repeat(np.arange(len(own)), batch.num_rows)))
+                found = batch.column(0).take(pa.array(np.tile(np.arange(batch.num_rows), len(own))))
+                yield pa.RecordBatch.from_arrays([query, found, pa.array(score.ravel(), mask=unknown.ravel() if unknown.any() else None)], names=["query_id", "db_id", "score"])
+
+    return database.select("id", "embedding").mapInArrow(run, f"query_id {kinds[0].simpleString()}, db_id {kinds[1].simpleString()}, score double")
+
+
+def _spread(database: DataFrame, held: int) -> DataFrame:
+    """A small table is one file split, and one core would do the whole product; a large one stays where it is."""
+    cores = database.sparkSession.sparkContext.defaultParallelism
+    return database.repartition(cores) if held < cores else database
+
+
+def _scores(queries: DataFrame, database: DataFrame, unit: bool, values: int) -> DataFrame:
+    blocks = _blocks(queries, values)
+    database = _spread(database.select("id", "embedding"), database.select(F.spark_partition_id()).distinct().count())
+    return one_by_one((_score_block(p, database, unit) for p in _parts(queries, blocks)), blocks > 1)
 
 
 def dot_scores(queries: DataFrame, database: DataFrame, block_values: int = _BLOCK_VALUES) -> DataFrame:
     """(query_id, db_id, score): plain dot products. Both inputs have columns id and embedding. Queries are broadcast in
     blocks of about ``block_values`` components at most, one after another."""
-    return _pairs(queries, database, vector.dot, block_values)
+    return _scores(queries, database, False, block_values)
 
 
 def cosine_scores(queries: DataFrame, database: DataFrame, block_values: int = _BLOCK_VALUES) -> DataFrame:
-    """(query_id, db_id, score): as dot_scores, both sides being normalised once, below the join."""
-    unit = lambda df: df.select("id", F.explode(F.array(vector.l2_normalize(F.col("embedding")))).alias("embedding"))
-    return _pairs(unit(queries), unit(database), vector.dot, block_values)
+    """(query_id, db_id, score): as dot_scores, of unit vectors."""
+    return _scores(queries, database, True, block_values)
+
+
+def top_k_dot(queries: DataFrame, database: DataFrame, k: int, block_values: int = _BLOCK_VALUES) -> DataFrame:
+    """(query_id, rank, db_id, score): as top_k over dot_scores; each Arrow batch keeps its k best, so that not all pairs are
+    sorted. Query ids should be unique."""
+    queries, database = queries.select("id", "embedding"), database.select("id", "embedding")
+    return search(queries, database, k, "blocks", block_values=block_values, unit=False)
+
+
+def _native_cosines(queries: DataFrame, database: DataFrame) -> DataFrame:
+    """cosine_scores as one Catalyst plan over one block of queries, both sides being normalised once, below the join."""
+    unit = lambda df, name, v: df.select(F.col("id").alias(name), F.explode(F.array(vector.l2_normalize(F.col("embedding")))).alias(v))
+    met = unit(database, "db_id", "_d").crossJoin(F.broadcast(unit(queries, "query_id", "_q")))
+    return met.select("query_id", "db_id", vector.dot(F.col("_q"), F.col("_d")).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, strict: bool = False, database_rows: int | None = None) -> DataFrame:
@@ -76,7 +134,7 @@ def top_k(scores: DataFrame, k: int, strict: bool = False, database_rows: int |
     return kept.select("query_id", "rank", "db_id", "score")
 
 
-def _block_top_k(database: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, exclude_self: bool, kinds: tuple[str, str], pa_query) -> DataFrame:
+def _block_top_k(database: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, exclude_self: bool, kinds: tuple[str, str], pa_query, unit: bool = True) -> DataFrame:
     """The k best of each Arrow batch for one block of queries."""
     sent = database.sparkSession.sparkContext.broadcast((ids, matrix))
 
@@ -90,25 +148,27 @@ def _block_top_k(database: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: in
                 continue
             kept = batch.filter(pa.array(fits))
             values = kept.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
-            values = values / (np.sqrt(np.einsum("ij,ij->i", values, values)) + vector.EPSILON)[:, None]
+            values = _unit(values) if unit else values
             db = kept.column(0)
             names = np.array(db.to_pylist(), object)
             for part in _slices(len(q), len(values)):
                 own = own_ids[part]
-                s = np.round(q[part] @ values.T, DIGITS)
+                s = q[part] @ values.T
                 s[np.isnan(s)] = -np.inf
                 if exclude_self:
                     s[own[:, None] == names[None, :]] = -np.inf
                 n = min(k, s.shape[1])
                 limit = -np.partition(-s, n - 1, axis=1)[:, n - 1]
-                row, at = np.nonzero((s >= limit[:, None]) & (s > -np.inf))  # all that tie with the last; the final cut decides
+                # all that may tie with the last when rounded; the final cut decides
+                row, at = np.nonzero((s >= limit[:, None] - 2 * 10.0**-DIGITS) & (s > -np.inf))
                 yield pa.RecordBatch.from_arrays([pa.array(own[row].tolist(), pa_query), db.take(pa.array(at)), pa.array(s[row, at])], names=["query_id", "db_id", "score"])
 
     return database.mapInArrow(run, f"query_id {kinds[0]}, db_id {kinds[1]}, score double")
 
 
-def search(queries: DataFrame, database: DataFrame, k: int = 10, strategy: str = "auto", exclude_self: bool = False, strict: bool = False, block_values: int = _BLOCK_VALUES) -> DataFrame:
-    """(query_id, rank, db_id, score): the ``k`` nearest database rows of each query by cosine, ties by db_id.
+def search(queries: DataFrame, database: DataFrame, k: int = 10, strategy: str = "auto", exclude_self: bool = False, strict: bool = False, block_values: int = _BLOCK_VALUES, unit: bool = True) -> DataFrame:
+    """(query_id, rank, db_id, score): the ``k`` nearest database rows of each query by cosine, ties by db_id. ``unit=False``
+    takes plain dot products (blocks alone).
 
     Both inputs have columns id and embedding. Null vectors, vectors of another length and NaN scores are never
     hits; ``exclude_self`` leaves out the row whose id equals the query's; ``strict`` raises if the database has fewer
@@ -127,13 +187,10 @@ def search(queries: DataFrame, database: DataFrame, k: int = 10, strategy: str =
     known = queries.where("embedding is not null")
     blocks = _blocks(known, block_values)
     if strategy == "native":
-        # a small table is one file split; without this one core would do the whole product. A large one stays where it is
-        cores = database.sparkSession.sparkContext.defaultParallelism
-        if len(held) < cores:
-            database = database.repartition(cores)
+        database = _spread(database, len(held))
 
         def best(part: DataFrame) -> DataFrame:
-            scores = cosine_scores(part, database, 2**62)  # a block already
+            scores = _native_cosines(part, database)
             if exclude_self:
                 scores = scores.where(~F.col("query_id").eqNullSafe(F.col("db_id")))
             return top_k(scores, k)
@@ -142,7 +199,7 @@ def search(queries: DataFrame, database: DataFrame, k: int = 10, strategy: str =
         kind = to_arrow_type(queries.schema["id"].dataType)
 
         def best(part: DataFrame) -> DataFrame:
-            sizes = [_block_top_k(database, ids, matrix, k, exclude_self, kinds, kind) for ids, matrix in _matrices(part).values()]
+            sizes = [_block_top_k(database, ids, matrix, k, exclude_self, kinds, kind, unit) for ids, matrix in _matrices(part, unit).values()]
             if not sizes:
                 return top_k(cosine_scores(part, database, 2**62), k)
             return top_k(reduce(DataFrame.unionByName, sizes), k)
@@ -151,8 +208,8 @@ def search(queries: DataFrame, database: DataFrame, k: int = 10, strategy: str =
     return one_by_one((best(p) for p in _parts(known, blocks)), blocks > 1)
 
 
-def _matrices(queries: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Unit query vectors by length; at most one block's worth comes to the driver."""
+def _matrices(queries: DataFrame, unit: bool = True) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Query vectors by length, as unit vectors or as they are; at most one block's worth comes to the driver."""
     by: dict[int, tuple[list, list]] = {}
     for r in queries.orderBy("id").collect():
         ids, rows = by.setdefault(len(r.embedding), ([], []))
@@ -163,7 +220,7 @@ def _matrices(queries: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         m = np.array(rows, np.float64).reshape(len(rows), size)
         held = np.empty(len(ids), object)
         held[:] = ids
-        out[size] = (held, m / (np.sqrt(np.einsum("ij,ij->i", m, m)) + vector.EPSILON)[:, None])
+        out[size] = (held, _unit(m) if unit else m)
     return out
 
 

@@ -117,3 +117,20 @@ def test_blocks_of_queries_give_the_same_rows(spark, strategy):
     assert rows(search.search(queries, df, 5, strategy, block_values=40)) == rows(search.search(queries, df, 5, strategy))
     for f in (search.dot_scores, search.cosine_scores):
         assert rows(f(queries, df, 40)) == rows(f(queries, df))
+
+
+def test_scores_of_null_and_unlike_vectors_are_null(spark):
+    """As with SQL's dot product, in slices of rows; no pair is left out."""
+    db = frame(spark, [(1, [3.0, 4.0]), (2, None), (3, [1.0]), (4, []), (5, [0.0, 0.0]), (6, [math.nan, 1.0])])
+    for f, want in ((search.dot_scores, 25.0), (search.cosine_scores, 1.0)):
+        got = {(r.query_id, r.db_id): r.score for r in f(db, db).collect()}
+        assert len(got) == 36 and got[1, 1] == pytest.approx(want) and got[5, 1] == got[4, 4] == 0.0 and math.isnan(got[6, 1])
+        assert all(got[a, b] is None for a, b in ((1, 2), (2, 2), (1, 3), (3, 4), (4, 1)))
+        assert "NestedLoopJoin" not in f(db, db)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_k_dot_equals_all_scores(spark, database):
+    queries = database.where("id in (3, 7, 150, 202)")
+    want = rows(search.top_k(search.dot_scores(queries, database), 9))
+    out = search.top_k_dot(queries, database, 9)
+    assert rows(out) == want and "NestedLoopJoin" not in out._jdf.queryExecution().executedPlan().toString()
