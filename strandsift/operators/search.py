@@ -1,7 +1,8 @@
 """Exact nearest neighbours: score every query against every vector and keep the k best.
 
-Two plans give the same rows. 'native' is one Catalyst plan: a broadcast block of queries, scores by higher-order
-functions, and a row_number that Spark turns into partial and final group limits. 'blocks' multiplies each Arrow batch
+Two plans give the same rows. 'native' is all Catalyst: a broadcast block of queries, scores by built-in expressions, and
+a row_number that Spark turns into partial and final group limits. From a number of pairs on, a sample of the database
+first gives each query a score that its k best reach, and the join lets no other pair out. 'blocks' multiplies each Arrow batch
 of the database with a block of queries in numpy and keeps the k best of each batch, so that only k rows per query and
 batch reach the shuffle. 'auto' takes 'blocks' from a number of pairs on. Queries always come in blocks of bounded
 size, one after another where there are several; the database is never broadcast nor collected."""
@@ -13,17 +14,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from strandsift.functions import vector
-from strandsift.sources.shared import one_by_one
+from strandsift.sources.shared import one_by_one, scratch
 
 #: Scores are compared after rounding, so that the order of summation does not decide ties.
 DIGITS = 9
 _BLOCK_VALUES = 16_000_000
 _NATIVE_PAIRS = 30_000
+#: Components up to which a vector is laid out as columns, so that Spark compiles its product; lengths of which this is done.
+_FLAT_SIZE = 256
+_FLAT_SIZES = 8
 #: Scores that one Arrow batch has at most, or one row's.
 _OUT_ROWS = 1 << 19
 
@@ -87,10 +91,11 @@ def _score_block(part: DataFrame, database: DataFrame, unit: bool) -> DataFrame:
     return database.select("id", "embedding").mapInArrow(run, f"query_id {kinds[0].simpleString()}, db_id {kinds[1].simpleString()}, score double")
 
 
-def _spread(database: DataFrame, held: int) -> DataFrame:
-    """A small table is one file split, and one core would do the whole product; a large one stays where it is."""
-    cores = database.sparkSession.sparkContext.defaultParallelism
-    return database.repartition(cores) if held < cores else database
+def _spread(database: DataFrame, held: int, each: int = 1) -> DataFrame:
+    """A small table is one file split, and one core would do the whole product; a large one stays where it is. ``each``: tasks a
+    core."""
+    tasks = each * database.sparkSession.sparkContext.defaultParallelism
+    return database.repartition(tasks) if held < tasks else database
 
 
 def _scores(queries: DataFrame, database: DataFrame, unit: bool, values: int) -> DataFrame:
@@ -124,6 +129,46 @@ def _native_cosines(queries: DataFrame, database: DataFrame) -> DataFrame:
     return met.select("query_id", "db_id", vector.dot(F.col("_q"), F.col("_d")).alias("score"))
 
 
+def _flat(df: DataFrame, name: str, prefix: str, size: int, *more: str) -> DataFrame:
+    """Unit vectors of ``size`` components as columns that are never null; those with a null or NaN component are left out, as
+    they have no score."""
+    unit = df.where(F.size("embedding") == size).select(F.col("id").alias(name), *more, vector.l2_normalize(F.col("embedding")).alias("_u"))
+    known = unit.where(vector.total(F.col("_u")).isNotNull() & ~F.isnan(vector.total(F.col("_u"))))
+    return known.select(name, *more, *[F.coalesce(F.get("_u", F.lit(i)), F.lit(0.0)).alias(f"{prefix}{i}") for i in range(size)])
+
+
+def _flat_cosines(queries: DataFrame, database: DataFrame, size: int, low: DataFrame | None = None) -> DataFrame:
+    """_native_cosines of the vectors of ``size`` components, their product being compiled; only pairs of at least the query's
+    score in ``low`` (asked, low), if it has one there."""
+    score = _summed([F.col(f"_q{i}") * F.col(f"_d{i}") for i in range(size)])
+    if low is not None:
+        bound = queries.join(low, F.col("id").eqNullSafe(F.col("asked")), "left")
+        queries = bound.select("id", "embedding", F.coalesce("low", F.lit(float("-inf"))).alias("low"))
+    met = _flat(database, "db_id", "_d", size).crossJoin(F.broadcast(_flat(queries, "query_id", "_q", size, *(["low"] if low is not None else []))))
+    return (met if low is None else met.where(score >= F.col("low"))).select("query_id", "db_id", score.alias("score"))
+
+
+def _summed(terms: list[Column]) -> Column:
+    """In pairs, so that sums do not wait for each other."""
+    while len(terms) > 1:
+        terms = [reduce(Column.__add__, terms[i : i + 2]) for i in range(0, len(terms), 2)]
+    return terms[0]
+
+
+def _native_top_k(queries: DataFrame, database: DataFrame, rows: int, k: int, sizes: list[int], exclude_self: bool) -> DataFrame:
+    """The ``k`` best of many pairs. One row in the root of ``rows`` / ``k`` is a sample, whose k-th best score no hit falls short
+    of: what is sorted for a query grows with the root of ``rows``."""
+    spark = queries.sparkSession
+    every = max(1, int((rows / max(k, 1)) ** 0.5))
+    other = lambda df: df.where(~F.col("query_id").eqNullSafe(F.col("db_id"))) if exclude_self else df
+    scored = lambda some, low: other(reduce(DataFrame.unionByName, [_flat_cosines(queries, some, n, low) for n in sizes]))
+    path = scratch(spark, "low")  # written, so that no broadcast waits for it
+    best = top_k(scored(database.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), None), k)
+    # ties are broken after rounding
+    best.groupBy(F.col("query_id").alias("asked")).agg(F.count(F.lit(1)).alias("n"), (F.min("score") - 2 * 10.0**-DIGITS).alias("low")).where(F.col("n") >= k).select("asked", "low").write.parquet(path)
+    return top_k(scored(database, spark.read.schema(f"asked {queries.schema['id'].dataType.simpleString()}, low double").parquet(path)), k)
+
+
 def top_k(scores: DataFrame, k: int, strict: bool = False, database_rows: int | None = None) -> DataFrame:
     """(query_id, rank, db_id, score): the ``k`` largest scores of each query, ties by db_id. NaN and null scores are
     never taken. ``strict`` raises if k exceeds ``database_rows``."""
@@ -187,9 +232,14 @@ def search(queries: DataFrame, database: DataFrame, k: int = 10, strategy: str =
     known = queries.where("embedding is not null")
     blocks = _blocks(known, block_values)
     if strategy == "native":
-        database = _spread(database, len(held))
+        sizes = [r.n for r in known.select(F.size("embedding").alias("n")).distinct().limit(_FLAT_SIZES + 1).collect()]
+        many = 0 < len(sizes) <= _FLAT_SIZES and 0 < min(sizes) <= max(sizes) <= _FLAT_SIZE and rows * known.count() > _NATIVE_PAIRS
+        # tasks of many pairs are several a core, so that none is waited for long
+        database = _spread(database, len(held), 4) if many else _spread(database, len(held))
 
         def best(part: DataFrame) -> DataFrame:
+            if many:
+                return _native_top_k(part, database, rows, k, sizes, exclude_self)
             scores = _native_cosines(part, database)
             if exclude_self:
                 scores = scores.where(~F.col("query_id").eqNullSafe(F.col("db_id")))

@@ -134,3 +134,21 @@ def test_top_k_dot_equals_all_scores(spark, database):
     want = rows(search.top_k(search.dot_scores(queries, database), 9))
     out = search.top_k_dot(queries, database, 9)
     assert rows(out) == want and "NestedLoopJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_native_sorts_few_of_many_pairs(spark, exclude_self):
+    """124,000 pairs and more, of which no operator has as many rows; odd vectors, repeated and null ids, two lengths."""
+    from test_metrics import _rows_of
+
+    draw = np.random.default_rng(5)
+    own = [(i % 1990, draw.normal(size=6).astype(np.float32).tolist()) for i in range(2000)] + [(3000 + i, draw.normal(size=5).tolist()) for i in range(40)]
+    own += [(5000 + i, own[7][1]) for i in range(30)] + [(6000, None), (6001, [math.nan] * 6), (6002, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (6003, [0.0] * 6), (6004, [math.inf] * 6), (None, own[9][1])]
+    df = frame(spark, own).repartition(3)
+    queries = df.where("id % 33 = 7 or id in (3001, 6001, 6002, 6003, 6004)")
+    got = search.search(queries, df, 9, "native", exclude_self)
+    shown = lambda out: sorted((r.query_id, r.rank, -1 if r.db_id is None else r.db_id, round(r.score, 9)) for r in out.collect())
+    pairs = queries.count() * df.count()
+    assert pairs > 4 * search._NATIVE_PAIRS
+    assert shown(got) == shown(search.search(queries.where("id not in (6002)"), df.where("id is null or id <> 6002"), 9, "blocks", exclude_self))
+    assert max(_rows_of(got._jdf.queryExecution().executedPlan())) < pairs / 4
