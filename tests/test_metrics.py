@@ -138,3 +138,18 @@ def _rows_of(plan):
         yield plan.metrics().apply("numOutputRows").value()
     for i in range(plan.children().size()):
         yield from _rows_of(plan.children().apply(i))
+
+
+@pytest.mark.parametrize("small", [200_000, 5, 0])
+def test_annotation_pairs_are_only_made_where_they_are_results(spark, monkeypatch, small):
+    """Annotations are compared by class, before any pair of rows is made; with tables that are sent to all tasks, or not."""
+    monkeypatch.setattr(metrics, "_SMALL", small)
+    random.seed(8)
+    rows = [(i % 70, [random.choice(["x", "y", "z", "all", f"own{i % 9}", None]) for _ in range(random.randrange(5))]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, annotations array<string>")
+    by = {}
+    for i, notes in rows:
+        by.setdefault(i, set()).update(x for x in notes if x is not None)
+    out = metrics.annotation_relevance(df.where("id % 5 = 3"), df)
+    assert sorted(map(tuple, out.collect())) == sorted((a, b) for a in by for b in by if a % 5 == 3 and by[a] & by[b])
+    assert "array_intersect" not in out._jdf.queryExecution().optimizedPlan().toString()
