@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 POOLINGS = ("mean", "cls")
 #: Tokens of a batch of sequences without a limit of length.
 _BATCH_TOKENS = 65_536
+#: Letters of a token up to which the vectors of all tokens are one table.
+_DENSE_WIDTH = 3
 
 
 class Encoder(Protocol):
@@ -35,12 +37,13 @@ class KmerEncoder:
     def __init__(self, dim: int = 64, k: int = 3, layers: int = 2):
         self.dim, self.k, self.layers = dim, k, layers
         self.known: dict[str, np.ndarray] = {}  # token vectors of this process
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # those of letters, by place, and which are known
 
     def info(self) -> dict:
         return {"name": f"kmer-{self.k}", "hidden_size": self.dim, "num_layers": self.layers, "num_attention_heads": 0, "vocab_size": 26**self.k, "max_position_embeddings": None}
 
     def __getstate__(self):
-        return {"dim": self.dim, "k": self.k, "layers": self.layers, "known": {}}
+        return {"dim": self.dim, "k": self.k, "layers": self.layers, "known": {}, "tables": {}}
 
     def _vector(self, token: str) -> np.ndarray:
         found = self.known.get(token)
@@ -58,6 +61,8 @@ class KmerEncoder:
         if not -self.layers <= layer < self.layers:
             raise ValueError(f"layer {layer} of {self.layers}")
         width = 1 + layer % self.layers * (self.k - 1)  # deeper layers see more context
+        if width <= _DENSE_WIDTH and all(map(str.isascii, sequences)) and (letters := "".join(sequences)).isupper() == bool(letters) and letters.isalpha() == bool(letters):
+            return self._hidden_letters(sequences, max_length, width)
         tokens = [["<s>", *(s[i : i + width] for i in range(len(s) if max_length is None else min(len(s), max_length))), "</s>"] for s in sequences]
         place: dict[str, int] = {}
         at = [[place.setdefault(t, len(place)) for t in row] for row in tokens]
@@ -67,6 +72,38 @@ class KmerEncoder:
         mask = (np.arange(longest) < np.array([len(row) for row in at])[:, None]).astype(np.float32)
         return table[index] * mask[:, :, None], mask
 
+    def _hidden_letters(self, sequences: list[str], max_length: int | None, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same of sequences of A to Z, whose tokens are numbers in base 27: places of a table."""
+        cut = [np.frombuffer((s if max_length is None else s[:max_length + width - 1]).encode(), np.uint8).astype(np.int64) - 64 for s in sequences]
+        sizes = [len(s) if max_length is None else min(len(s), max_length) for s in sequences]
+        first, last = 27**width, 27**width + 1  # the places of the two tokens of their own
+        index = np.zeros((len(cut), max(sizes, default=-2) + 2), np.int64)
+        for row, (x, n) in enumerate(zip(cut, sizes, strict=True)):
+            x = np.append(x, np.zeros(width, np.int64))  # tokens at the end are shorter
+            index[row, 0], index[row, n + 1] = first, last
+            for i in range(width):
+                index[row, 1 : n + 1] = index[row, 1 : n + 1] * 27 + x[i : i + n]
+        mask = (np.arange(index.shape[1]) < np.array(sizes, np.int64)[:, None] + 2).astype(np.float32)
+        if width not in self.tables:
+            self.tables[width] = np.zeros((last + 1, self.dim), np.float32), np.zeros(last + 1, bool)
+        table, filled = self.tables[width]
+        met = np.zeros(last + 1, bool)
+        met[index] = True
+        for place in np.flatnonzero(met & ~filled).tolist():
+            table[place], filled[place] = self._hashed("<s>" if place == first else "</s>" if place == last else _letters(place)), True
+        out = table.take(index, axis=0)
+        for row, n in enumerate(sizes):
+            out[row, n + 2 :] = 0
+        return out, mask
+
+
+def _letters(place: int) -> str:
+    out = ""
+    while place:
+        place, c = divmod(place, 27)
+        out = (chr(64 + c) if c else "") + out
+    return out
+
 
 class FolderEncoder:
     """A learned encoder from a folder in the transformers layout, or a model name that library can resolve.
@@ -112,19 +149,23 @@ def pool(hidden: np.ndarray, mask: np.ndarray, how: str = "mean") -> np.ndarray:
     return (hidden * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1e-9)
 
 
-def encode(df: DataFrame, encoder: Encoder, sequence: str = "seq", output: str = "embedding", batch_size: int = 32, max_length: int | None = 1022, pooling: str = "mean", layer: int = -1) -> DataFrame:
+def encode(df: DataFrame, encoder: Encoder, sequence: str = "seq", output: str = "embedding", batch_size: int = 32, max_length: int | None = 1022, pooling: str = "mean", layer: int = -1, keep: tuple[str, ...] | None = None) -> DataFrame:
     """``df`` with an array<float> column ``output``. Longer sequences are cut to ``max_length`` (None: never);
-    null ones give null. Without a limit, batches of long sequences have fewer of them."""
+    null ones give null. Without a limit, batches are of like length, and those of long sequences have fewer of them. ``keep``:
+    the columns to be returned beside ``output`` (default: all), as texts that nobody reads need not come back from Python."""
     if pooling not in POOLINGS:
         raise ValueError(f"unknown pooling {pooling!r}; known: {', '.join(POOLINGS)}")
     columns = [c for c in df.columns if c != output]
-    schema = df.select(columns).schema.add(output, T.ArrayType(T.FloatType()))
+    kept = [c for c in columns if keep is None or c in keep]
+    schema = df.select(kept).schema.add(output, T.ArrayType(T.FloatType()))
     at = columns.index(sequence)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors: list = []
-            values = batch.column(at).to_pylist()
+            given = batch.column(at).to_pylist()
+            vectors: list = [None] * len(given)
+            order = sorted(range(len(given)), key=lambda i: len(given[i] or "")) if max_length is None else list(range(len(given)))
+            values = [given[i] for i in order]
             k = 0
             while k < len(values):
                 part, longest = values[k : k + batch_size], 0
@@ -133,10 +174,11 @@ def encode(df: DataFrame, encoder: Encoder, sequence: str = "seq", output: str =
                     if i and (i + 1) * longest > _BATCH_TOKENS:
                         part = part[:i]
                         break
-                k += len(part)
                 hidden, mask = encoder.hidden([s or "" for s in part], max_length, layer)
-                vectors += [None if s is None else v.tolist() for s, v in zip(part, pool(hidden, mask, pooling), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*columns, output])
+                for i, s, v in zip(order[k:], part, pool(hidden, mask, pooling), strict=False):
+                    vectors[i] = None if s is None else v.tolist()
+                k += len(part)
+            yield pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in kept), pa.array(vectors, pa.list_(pa.float32()))], names=[*kept, output])
 
     # the work per byte is far above a shuffle's; a small table would otherwise be encoded in one task. Rows are dealt in
     # turn, whatever they hold, to a stated number of tasks, which Spark does not merge

@@ -103,3 +103,22 @@ def test_a_text_is_sent_to_python_once_for_all_queries(spark):
     assert "NestedLoopJoin" not in out._jdf.queryExecution().executedPlan().toString()
     want = lambda a, b: None if a is None or b is None else align.TOO_LONG if max(len(a), len(b)) > 1024 else naive(a, b, parity(), 11, 1)
     assert sorted((r.query_id, r.db_id, r.sw_score) for r in out.collect()) == [(a.id, b.id, want(a.seq, b.seq)) for a in q.collect() for b in d.collect()]
+
+
+def test_rerank_finds_its_hits_once(spark, tmp_path):
+    """What finds the hits may be an encoder over a whole table: no row of it is computed again."""
+    import uuid
+
+    folder = str(tmp_path)
+
+    def found(batches):
+        for batch in batches:
+            if batch.num_rows:
+                open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+            yield batch
+
+    sequences = spark.createDataFrame([(1, "MKVLAAG"), (2, "MKVLA"), (3, "WWWW"), (4, None)], "id long, seq string")
+    hits = spark.createDataFrame([(1, 1, 3, 0.9), (1, 2, 2, 0.8), (1, 3, 1, 0.7)], "query_id long, rank int, db_id long, score double").coalesce(1)
+    out = align.rerank(hits.mapInArrow(found, hits.schema), sequences, sequences, max_length=None).orderBy("rank").collect()
+    assert [(r.db_id, r.first_rank) for r in out] == [(1, 3), (2, 2), (3, 1)]
+    assert len(list(tmp_path.iterdir())) == 1

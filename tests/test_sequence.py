@@ -294,3 +294,29 @@ def test_batches_under_a_budget(spark):
     for n in (1, 2, 3, 10, 97, 1000):
         stride, offset = split._stride(n, 3)
         assert sorted((x * stride + offset) % n for x in range(n)) == list(range(n))
+
+
+def test_tokens_of_letters_are_places_of_a_table(monkeypatch):
+    """As by the strings themselves, with and without a limit; other letters still go by strings."""
+    import random
+
+    from strandsift.operators import encode
+
+    random.seed(2)
+    long = ["".join(random.choices("ABCXYZ", k=n)) for n in (0, 1, 2, 3, 40, 9)]
+    cases = [(s, m, layer) for s in (long, [], [""], ["aB", "A-"], ["É"]) for m in (None, 1, 5) for layer in (-1, 0)]
+    own = encode.KmerEncoder(8)
+    got = [own.hidden(*c) for c in cases]
+    assert own.tables
+    monkeypatch.setattr(encode, "_DENSE_WIDTH", 0)
+    for (h, m), (want, mask) in zip(got, [encode.KmerEncoder(8).hidden(*c) for c in cases], strict=True):
+        assert (h == want).all() and (m == mask).all()
+
+
+def test_encoded_rows_keep_their_order_and_named_columns(spark):
+    from strandsift.operators import encode
+
+    df = spark.createDataFrame([(i, None if i == 5 else "ACDEF" * (i * 7 % 11)) for i in range(12)], "id long, seq string")
+    got = {r.id: r.embedding for r in encode.encode(df, encode.KmerEncoder(8), max_length=None, keep=("id",)).collect()}
+    for r in df.collect():
+        assert got[r.id] is None if r.seq is None else got[r.id] == pytest.approx(encode.pool(*encode.KmerEncoder(8).hidden([r.seq], None))[0].tolist())
