@@ -4,7 +4,7 @@ Vectors are cut into parts, each part is coded as the number of its nearest entr
 sample, and the table keeps one byte a part beside the vector. A scan reads codes alone and scores a row by one look-up
 a part. The distance between a vector and what its codes stand for is kept too, so each look-up score has an upper and
 a lower bound: rows whose upper bound does not reach the k-th best lower bound are no hits, the others are scored from
-their vectors, and the result equals that of a search over all. With ``shortlist`` the rows of the best look-up scores
+their vectors in the same batch, and the result equals that of a search over all. With ``shortlist`` the rows of the best look-up scores
 are taken instead, so many a query, and the result is approximate."""
 
 from __future__ import annotations
@@ -18,14 +18,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandsift.operators.ivf import _units, sample_units
-from strandsift.operators.search import _BLOCK_VALUES, DIGITS, _blocks, _matrices, _parts, _slices, top_k
+from strandsift.operators.search import _BLOCK_VALUES, DIGITS, _blocks, _matrices, _pair_scores, _parts, _slices, top_k
 from strandsift.sources.shared import one_by_one, scratch
 
 #: How far rounding may move a score, errors being kept as floats.
 _SLACK = 1e-6
 #: (row, query) pairs up to which candidates are broadcast to the vectors; beyond, both sides are shuffled by row.
 _BROADCAST_PAIRS = 1_000_000
-_PAIRS = 100_000
+#: (row, query) pairs that a task scores at once.
+_PAIRS = 500_000
+#: Queries whose look-up tables (16 parts: 32 KB each) a task holds at once.
+_TABLES = 500
 
 
 @dataclass
@@ -100,11 +103,11 @@ def build_pq(database: DataFrame, path: str | None = None, parts: int = 16, samp
     return index
 
 
-def _tables(index: PqIndex, q: np.ndarray) -> np.ndarray:
+def _tables(books: list[np.ndarray], q: np.ndarray) -> np.ndarray:
     """What each code adds to the score of each query: (parts, queries, 256)."""
-    out = np.zeros((len(index.books), len(q), 256))
+    out = np.zeros((len(books), len(q), 256))
     at = 0
-    for i, book in enumerate(index.books):
+    for i, book in enumerate(books):
         out[i, :, : len(book)] = q[:, at : at + book.shape[1]] @ book.T
         at += book.shape[1]
     return out
@@ -117,13 +120,18 @@ def _look_up(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(spark: SparkSession, index: PqIndex, ids: np.ndarray, tables: np.ndarray, norms: np.ndarray, exclude_self: bool, schema: str, keep) -> DataFrame:
+def _few(n: int, rows: int, cells: int) -> Iterator[slice]:
+    """``_slices`` of so few queries that their look-up tables, which are made where they are used, are small too."""
+    return _slices(n, max(rows, cells // _TABLES), cells)
+
+
+def _scan(spark: SparkSession, index: PqIndex, ids: np.ndarray, q: np.ndarray, norms: np.ndarray, exclude_self: bool, schema: str, keep) -> DataFrame:
     """``keep`` (first query, look-up scores, their errors, rows) over each Arrow batch of codes and slice of queries."""
-    sent = spark.sparkContext.broadcast((ids, tables, norms))
+    sent = spark.sparkContext.broadcast((ids, index.books, q, norms))
     names = schema.replace(",", "").split()[::2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_ids, tables, norms = sent.value
+        own_ids, books, q, norms = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -131,8 +139,8 @@ def _scan(spark: SparkSession, index: PqIndex, ids: np.ndarray, tables: np.ndarr
             error = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
             row = batch.column(0).to_numpy(zero_copy_only=False)
             named = np.array(batch.column(3).to_pylist(), object) if exclude_self else None
-            for part in _slices(len(own_ids), len(row), 2_000_000):
-                s = _look_up(tables[:, part], codes)
+            for part in _few(len(own_ids), len(row), 2_000_000):
+                s = _look_up(_tables(books, q[part]), codes)
                 if exclude_self:
                     s[own_ids[part][:, None] == named[None, :]] = -np.inf
                 yield pa.RecordBatch.from_arrays(keep(part.start, s, norms[part][:, None] * error[None, :] + _SLACK, row), names=names)
@@ -157,16 +165,41 @@ def _last(spark: SparkSession, scan, queries: int, k: int) -> np.ndarray:
     return least
 
 
-def _reaching(scan, least: np.ndarray) -> DataFrame:
-    """(row, places): the queries whose k-th lower bound a row's upper bound reaches."""
+def _reached(spark: SparkSession, index: PqIndex, ids: np.ndarray, q: np.ndarray, norms: np.ndarray, least: np.ndarray, exclude_self: bool, k: int) -> DataFrame:
+    """(query_id, db_id, score, n): of each Arrow batch and slice of queries the ``k`` best by their vectors, of the rows whose
+    upper bound reaches the query's k-th lower bound; queries by place. A slice's first row counts in n the pairs scored from their
+    vectors. No pair leaves its batch otherwise, and a slice has ``_PAIRS`` pairs at most, or one query's."""
+    sent = spark.sparkContext.broadcast((ids, index.books, q, norms, least))
 
-    def keep(start, s, error, row):
-        at, which = np.nonzero(((s + error) >= least[start : start + len(s), None]).T & (s > -np.inf).T)
-        found, first = np.unique(at, return_index=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(which + start, pa.int32()))
-        return [pa.array(row[found]), lists]
-
-    return scan("row long, places array<int>", keep)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_ids, books, q, norms, least = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            error = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
+            named = np.array(batch.column(0).to_pylist(), object) if exclude_self else None
+            x = None
+            for part in _few(len(own_ids), batch.num_rows, _PAIRS):
+                s = _look_up(_tables(books, q[part]), codes)
+                if exclude_self:
+                    s[own_ids[part][:, None] == named[None, :]] = -np.inf
+                s[(s + norms[part][:, None] * error[None, :] + _SLACK) < least[part, None]] = -np.inf
+                which, at = np.nonzero(s > -np.inf)
+                if not len(at):
+                    continue
+                if x is None:
+                    _, x = _units(batch.column(1), q.shape[1])
+                # many pairs are one product, few are scored each
+                score = (q[part] @ x.T)[which, at] if 4 * len(at) > s.size else _pair_scores(q[part], x, which, at)
+                best = _best_of(which, score, k)  # the final cut decides between ties
+                # the first row stays for its count, others if they reach what the k-th best has at least
+                best = best[(score[best] >= least[part][which[best]] - _SLACK) | (np.arange(len(best)) == 0)]
+                n = np.zeros(len(best), np.int64)
+                n[0] = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(which[best] + part.start, pa.int32()), batch.column(0).take(pa.array(at[best])), pa.array(_pair_scores(q[part], x, which[best], at[best])), pa.array(n)], names=["query_id", "db_id", "score", "n"])
+
+    return index.table(spark).select("id", "embedding", "codes", "error").mapInArrow(run, f"query_id int, db_id {index.id_type}, score double, n long")
 
 
 def _short(scan, n_best: int) -> DataFrame:
@@ -187,13 +220,13 @@ def _short(scan, n_best: int) -> DataFrame:
 
 
 def _best_of(place: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Which of the pairs are among the ``k`` best of their place, with all that tie with the last."""
+    """Which of the pairs are among the ``k`` best of their place, with all that may tie with the last when rounded."""
     order = np.lexsort((-score, place))
     p, s = place[order], score[order]
     first = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(first, len(p)))
     last = s[first + np.minimum(sizes, k) - 1]
-    return order[s >= np.repeat(last, sizes)]
+    return order[s >= np.repeat(last, sizes) - 2 * 10.0**-DIGITS]
 
 
 def _rescored(index: PqIndex, found: DataFrame, pairs: int, q: np.ndarray, k: int) -> DataFrame:
@@ -208,13 +241,14 @@ def _rescored(index: PqIndex, found: DataFrame, pairs: int, q: np.ndarray, k: in
         for batch in batches:
             _, x = _units(batch.column(1), q.shape[1])
             places = batch.column(2)
-            of = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
-            asked = places.flatten().to_numpy(zero_copy_only=False)
-            s = np.zeros(len(of))
-            for i in range(0, len(of), _PAIRS):
-                s[i : i + _PAIRS] = np.round(np.einsum("ij,ij->i", q[asked[i : i + _PAIRS]], x[of[i : i + _PAIRS]]), DIGITS)
-            best = _best_of(asked, s, k)  # the final cut decides between ties
-            yield pa.RecordBatch.from_arrays([pa.array(asked[best], pa.int32()), batch.column(0).take(pa.array(of[best])), pa.array(s[best])], names=["query_id", "db_id", "score"])
+            ends = np.cumsum(places.value_lengths().to_numpy(zero_copy_only=False))
+            every = places.flatten().to_numpy(zero_copy_only=False)
+            for i in range(0, len(every), _PAIRS):
+                asked = every[i : i + _PAIRS]
+                of = np.searchsorted(ends, np.arange(i, i + len(asked)), "right")
+                s = _pair_scores(q, x, asked, of)
+                best = _best_of(asked, s, k)  # the final cut decides between ties
+                yield pa.RecordBatch.from_arrays([pa.array(asked[best], pa.int32()), batch.column(0).take(pa.array(of[best])), pa.array(s[best])], names=["query_id", "db_id", "score"])
 
     return met.mapInArrow(run, f"query_id int, db_id {index.id_type}, score double")
 
@@ -237,17 +271,23 @@ def search_pq(index: PqIndex, queries: DataFrame, k: int = 10, shortlist: int |
         ids, q = matrices[index.size]
         good = np.isfinite(q).all(1)
         ids, q = ids[good], q[good]
-        tables, norms = _tables(index, q), np.sqrt((q * q).sum(1))
-        scan = lambda schema, keep: _scan(spark, index, ids, tables, norms, exclude_self, schema, keep)
-        found = _short(scan, max(k, shortlist)) if shortlist else _reaching(scan, _last(spark, scan, len(q), k))
+        norms = np.sqrt((q * q).sum(1))
+        scan = lambda schema, keep: _scan(spark, index, ids, q, norms, exclude_self, schema, keep)
         path = scratch(spark, "pq-found")
-        found.write.parquet(path)
-        found = spark.read.schema("row long, places array<int>").parquet(path)
-        pairs = found.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+        if shortlist:
+            _short(scan, max(k, shortlist)).write.parquet(path)
+            found = spark.read.schema("row long, places array<int>").parquet(path)
+            pairs = found.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+            scored = _rescored(index, found, pairs, q, k)
+        else:
+            _reached(spark, index, ids, q, norms, _last(spark, scan, len(q), k), exclude_self, k).write.parquet(path)
+            scored = spark.read.schema(f"query_id int, db_id {index.id_type}, score double, n long").parquet(path)
+            pairs = scored.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            scored = scored.drop("n")
         index.pairs += len(q) * index.rows
         index.rescored += pairs
         names = spark.createDataFrame([(i, x) for i, x in enumerate(ids.tolist())], f"place int, id {kind}")
-        hits = top_k(_rescored(index, found, pairs, q, k), k).withColumnRenamed("query_id", "place")
+        hits = top_k(scored, k).withColumnRenamed("query_id", "place")
         return hits.join(F.broadcast(names), "place").select(F.col("id").alias("query_id"), "rank", "db_id", "score")  # one block of queries
 
     return one_by_one((best(p) for p in _parts(queries, blocks)), blocks > 1)

@@ -53,6 +53,13 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / (np.sqrt(np.einsum("ij,ij->i", m, m)) + vector.EPSILON)[:, None]
 
 
+def _pair_scores(q: np.ndarray, x: np.ndarray, of: np.ndarray, at: np.ndarray, step: int = 100_000) -> np.ndarray:
+    """The products of the rows ``of`` of q with the rows ``at`` of x, in runs; they do not depend on which pairs are scored together,
+    as those of a product of matrices may in the last bits."""
+    runs = [np.einsum("ij,ij->i", q[of[i : i + step]], x[at[i : i + step]]) for i in range(0, len(of), step)]
+    return np.concatenate(runs) if runs else np.zeros(0)
+
+
 def _by_size(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, their vectors) of each length; null vectors are in none."""
     sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
@@ -206,7 +213,7 @@ def _block_top_k(database: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: in
                 limit = -np.partition(-s, n - 1, axis=1)[:, n - 1]
                 # all that may tie with the last when rounded; the final cut decides
                 row, at = np.nonzero((s >= limit[:, None] - 2 * 10.0**-DIGITS) & (s > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array(own[row].tolist(), pa_query), db.take(pa.array(at)), pa.array(s[row, at])], names=["query_id", "db_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[row].tolist(), pa_query), db.take(pa.array(at)), pa.array(_pair_scores(q[part], values, row, at))], names=["query_id", "db_id", "score"])
 
     return database.mapInArrow(run, f"query_id {kinds[0]}, db_id {kinds[1]}, score double")
 

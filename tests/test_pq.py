@@ -64,3 +64,21 @@ def test_best_of_each_place_with_ties():
     assert sorted(pq._best_of(place, score, 2).tolist()) == [0, 1, 2, 3, 4]
     assert sorted(pq._best_of(place, score, 1).tolist()) == [2, 4]
     assert not len(pq._best_of(place[:0], score[:0], 3))
+
+
+def test_what_a_task_holds_does_not_grow_with_the_queries(spark, monkeypatch):
+    """Without structure nearly all pairs are candidates: they leave their batch only as its best, and look-up tables are those of
+    few queries."""
+    from test_metrics import _rows_of
+
+    draw = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(draw.normal(size=(1500, 8)).astype(np.float32))], "id long, embedding array<float>").repartition(2)
+    index, queries = pq.build_pq(df, parts=2, sample_rows=300), df.where("id % 3 = 0")
+    sent, plain = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda own, value: sent.append(value) or plain(value))
+    got = pq.search_pq(index, queries, 5)
+    numbers = lambda value: sum(map(numbers, value)) if isinstance(value, (tuple, list)) else np.size(value)
+    assert sent and max(map(numbers, sent)) < 500 * (8 + 4) + 2 * 256 * 8  # queries and books, not 500 x 2 x 256 look-up scores
+    monkeypatch.undo()
+    assert rows(got) == rows(search.search(queries, df, 5, "blocks"))
+    assert max(_rows_of(got._jdf.queryExecution().executedPlan())) < index.rescored / 4
