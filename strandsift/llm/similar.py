@@ -10,8 +10,8 @@ A SimHash tells similar texts only with some probability, while here no link may
    any more. So a ball of near copies, however large, shrinks to few parts, each node being sent once a round.
 3. Two similar sets share shingles of both prefixes, the more the nearer their sizes. Shingles of up to ``few`` nodes give
    pairs. A crowded shingle (up to ``shard_rows`` nodes) gives only the pairs that may share no others, as few of a text's
-   shingles are crowded and its sizes leave little choice. What sizes and the number of shared shingles rule out goes; the
-   rest is verified on the sets. Texts whose prefix is mostly crowded, and shingles of more nodes, are dealt to shards in
+   shingles are crowded and its sizes leave little choice. What sizes and the number of shared shingles rule out goes, as does
+   what two sets' counts over parts of all shingles rule out; the rest is verified on the sets. Texts whose prefix is mostly crowded, and shingles of more nodes, are dealt to shards in
    which each node outside the largest part meets every other; the sets are compared there and a forest of verified links
    comes out. Shingles of one and the same largest part share their shards where that sends fewer sets, and sets of sizes
    too far apart never meet where that does.
@@ -30,11 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandsift.llm import simhash
-from strandsift.llm.common import encoded, keyed_rows, materialize, small, stored
+from strandsift.llm.common import encoded, keyed_rows, marked, materialize, small, stored
 from strandsift.llm.components import connected_components
 
 #: Shingles that a task holds at a time, about.
 _VALUES = 1_000_000
+#: Parts of all shingles at most, of which each set's are counted.
+_MOST_PARTS = 8192
+#: Tokens that are sent to every task at most; of more, one bit each is.
+_TOKENS = 1_000_000
 
 
 def _text(text_column: str) -> Column:
@@ -62,18 +66,18 @@ def _common_shingles(keyed: DataFrame, words: int, text_column: str, sample_docs
 
 
 def _sketches(keyed: DataFrame, words: int, similarity: float, id_column: str, text_column: str, sample_docs: int) -> DataFrame:
-    """(file, index, doc, p, q, print, n, tokens, id) of each row: its key, its id, the digest of its shingle set, its
-    SimHash, the size of the set, its prefix, and a number of its own."""
+    """(file, index, doc, p, q, print, n, counts, tokens, id) of each row: its key, its id, the digest of its shingle set, its
+    SimHash, the size of the set and of its parts, its prefix, and a number of its own."""
     common = _common_shingles(keyed, words, text_column, sample_docs)
     by_value = np.argsort(common)
     common, place = common[by_value], by_value + 1
-    names = ["p", "q", "print", "n", "tokens"]
+    names = ["p", "q", "print", "n", "counts", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
                 batch = whole.slice(k, 1024)
-                digests, prints, sizes, tokens = [], [], [], []
+                digests, prints, sizes, counts, tokens = [], [], [], [], []
                 for text in encoded(batch.column(3)):
                     every = simhash.shingle_hashes(text, words)
                     own = np.unique(every)
@@ -84,17 +88,45 @@ def _sketches(keyed: DataFrame, words: int, similarity: float, id_column: str, t
                     digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                     prints.append(simhash.majority(every))
                     sizes.append(len(own))
+                    counts.append(_part_counts(own))
                     tokens.append(own[np.lexsort((own, late))][: len(own) - _least_shared(len(own), similarity) + 1].view(np.int64))
                 pq = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                columns = [pa.array(np.ascontiguousarray(pq[:, 0])), pa.array(np.ascontiguousarray(pq[:, 1])), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]
+                columns = [pa.array(np.ascontiguousarray(pq[:, 0])), pa.array(np.ascontiguousarray(pq[:, 1])), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["file", "index", "doc", *names])
 
     kind = keyed.schema["row"].dataType[id_column].dataType.simpleString()
     rows = keyed.select("file", "index", F.col("row")[id_column].alias("doc"), _text(text_column))
-    out = rows.mapInArrow(run, f"file string, index long, doc {kind}, p long, q long, print long, n int, tokens array<long>")
+    out = rows.mapInArrow(run, f"file string, index long, doc {kind}, p long, q long, print long, n int, counts binary, tokens array<long>")
     return stored(out.withColumn("id", F.monotonically_increasing_id()))
 
 
+def _part_counts(own: np.ndarray) -> bytes:
+    """How many of a set's shingles lie in each part of all, 255 meaning so many or more; about two to a part."""
+    parts = min(max(1 << len(own).bit_length() - 1, 64), _MOST_PARTS) if len(own) else 64
+    return np.minimum(np.bincount((own % parts).astype(np.int64), minlength=parts), 255).astype(np.uint8).tobytes()
+
+
+def _most_shared(x: bytes, y: bytes) -> int:
+    """The shingles that two sets share at most: no more of a part than the smaller count."""
+    a, b = (np.frombuffer(c, np.uint8) for c in ((x, y) if len(x) <= len(y) else (y, x)))
+    if max(a.max(), b.max()) == 255:
+        return 1 << 40
+    return int(np.minimum(a, b.reshape(-1, len(a)).sum(0, dtype=np.int64)).sum())
+
+
+def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` (with an, bn, acounts, bcounts) that may be similar by the counts of their parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            shared = np.fromiter(map(_most_shared, batch.column(4).to_pylist(), batch.column(5).to_pylist()), np.int64, len(n))
+            good = pa.array(shared + 1e-9 >= similarity * (n - shared))
+            yield pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:2]], names=["a", "b"])
+
+    return pairs.select("a", "b", "an", "bn", "acounts", "bcounts").mapInArrow(run, "a long, b long")
+
+
 def _sets(keyed: DataFrame, sketches: DataFrame, wanted: DataFrame, words: int, text_column: str) -> DataFrame:
     """(id, shingles, n) of the ``wanted`` ids, from their texts."""
 
@@ -105,8 +137,9 @@ def _sets(keyed: DataFrame, sketches: DataFrame, wanted: DataFrame, words: int,
                 hashes = [np.unique(simhash.shingle_hashes(t, words)).view(np.int64) for t in encoded(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.list_(pa.int64())), pa.array(list(map(len, hashes)), pa.int64())], names=["id", "shingles", "n"])
 
-    keys = small(materialize(sketches.select("id", "file", "index").join(small(wanted), "id")))
-    return stored(keyed.select("file", "index", _text(text_column)).join(keys, ["file", "index"]).select("id", "text").mapInArrow(run, "id long, shingles array<long>, n long"))
+    keys = materialize(sketches.select("id", "file", "index").join(small(wanted), "id"))
+    texts = marked(keyed.select("file", "index", _text(text_column)), keys, "index", ("file",)).where("marked")
+    return stored(texts.join(small(keys), ["file", "index"]).select("id", "text").mapInArrow(run, "id long, shingles array<long>, n long"))
 
 
 def _forests(shards: DataFrame, similarity: float) -> DataFrame:
@@ -297,11 +330,15 @@ def _candidates(sketches: DataFrame, shared: DataFrame, several: DataFrame, simi
     more = smaller.join(larger, ["token", "band"]).where(once & sizes & alone).select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b"))
     met = materialize(shared.where("rows = 2").select("a", "b").unionByName(met).unionByName(more).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
     hint = F.broadcast if met.count() <= 200_000 else (lambda x: x)
-    size = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(x + "n"))
+    size = lambda x, *more: sketches.select(F.col("id").alias(x), *[F.col(c).alias(x + c) for c in ("n", *more)])
     met = size("b").join(hint(size("a").join(hint(met), "a")), "b").where(sizes)
     for x in ("a", "b"):
         met = met.join(small(h).withColumnsRenamed({"id": x, "h": x + "h"}), x, "left")
     pairs = materialize(met.where(F.col("c") + F.coalesce(F.least("ah", "bh"), F.lit(0)) * (F.col("ah").isNotNull() & F.col("bh").isNotNull()).cast("int") >= needed("an", "bn")).select("a", "b"))
+    n = pairs.count()
+    counted = size("a", "counts").join(F.broadcast(pairs) if n <= 200_000 else pairs, "a")
+    # the counts are some 300 bytes a pair
+    pairs = materialize(_possible(size("b", "counts").join(F.broadcast(counted) if n <= 100_000 else counted, "b"), similarity))
     heavy = crowded.where("heavy").select("id", "token")
     meeting = heavy.groupBy("token").agg(F.count(F.lit(1)).alias("together")).where("together > 1").select("token")
     crowd = heavy.join(materialize(meeting), "token").select("id", "token").unionByName(several.where(F.col("rows") > shard_rows).select("id", "token"))
@@ -315,9 +352,12 @@ def _groups(keyed: DataFrame, words: int, similarity: float, id_column: str, tex
     clusters = _fingerprint_groups(nodes, radius, shard_rows)
     copies = small(materialize(sketches.select("id", "p", "q").join(nodes.where("rows > 1").select("p", "q", F.col("id").alias("node")), ["p", "q"]).where("id <> node").select("id")), 1_000_000)
     posts = sketches.select("id", "n", "tokens").join(copies, "id", "left_anti").select("id", "n", F.explode("tokens").alias("token"))
-    shared = materialize(posts.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-    several = small(materialize(shared.where("rows > 2").select("token", "rows")), 1_000_000)
-    several = materialize(posts.join(several, "token"))
+    # most tokens occur once, so that sums by task before the shuffle would only make its rows wider
+    shared = materialize(posts.select("token", "id").repartition("token").groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    several = materialize(shared.where("rows > 2").select("token", "rows"))
+    few_tokens = several.count() <= _TOKENS
+    held = posts if few_tokens else marked(posts, several, f"token & {(1 << 27) - 1}").where("marked").drop("marked")
+    several = materialize(held.join(F.broadcast(several) if few_tokens else several, "token"))
     pairs, crowd = _candidates(sketches, shared, several, similarity, shard_rows, few)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowd.select("id")).unionByName(clusters.select("id"))
     known = _sets(keyed, sketches, materialize(wanted.distinct()), words, text_column)
@@ -360,5 +400,5 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     order = F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("id").alias("id"))
     members = materialize(sketches.select("file", "index", "p", "q", "id", order.alias("order")).join(small(named), ["p", "q"]).select("file", "index", "id", "component", "order"))
     first = materialize(members.groupBy("component").agg(F.min("order").alias("first")).select(F.col("first.id").alias("id")))
-    out = small(materialize(members.join(first, "id", "left_anti").select("file", "index")))
-    return keyed.join(out, ["file", "index"], "left_anti").select("row.*")
+    out = members.join(first, "id", "left_anti").select("file", "index")
+    return marked(keyed, out, "index", ("file",)).where("not marked").select("row.*")

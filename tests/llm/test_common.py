@@ -48,3 +48,14 @@ def test_short_batches_leave_a_setting_alone(spark):
             assert spark.conf.get(key) == want
     finally:
         spark.conf.set(key, before)
+
+
+def test_marked_rows(spark):
+    """Bits over places far apart, by key and without, are the rows asked for; none, if none are."""
+    rows = [(f, i) for f in ("a", "b", "c") for i in (0, 1, 7, 8, 32_767, 32_768, 40_000, (1 << 33) + 5, (3 << 33) + 9)]
+    df = spark.createDataFrame(rows, "file string, index long")
+    some = [r for n, r in enumerate(rows) if n % 3 == 0 and r[0] != "c"]
+    chosen = spark.createDataFrame(some, df.schema)
+    assert sorted(map(tuple, common.marked(df, chosen, "index", ("file",)).where("marked").drop("marked").collect())) == sorted(some)
+    assert {r["index"] for r in common.marked(df, chosen, "index").where("marked").collect()} == {i for _, i in some}
+    assert common.marked(df, chosen.limit(0), "index").where("marked").count() == 0

@@ -296,3 +296,53 @@ def test_a_family_of_many_sizes_meets_by_bands(spark, monkeypatch):
     monkeypatch.setattr(similar, "_size_band", lambda n, *rest: F.lit(0))
     assert run() == got
     assert banded < 0.75 * sent[-1]
+
+
+def test_no_sets_of_pairs_that_share_too_little(spark, monkeypatch):
+    """Texts that share most of a prefix, yet too little in all, are told by the counts of their parts: their sets are not made."""
+    draw = random.Random(15)
+    texts = []
+    for group in range(30):
+        base = [f"g{group}w{i}" for i in range(400)]
+        for i, first in enumerate((20, 150, 300)):
+            texts.append(" ".join(base[:first] + [f"g{group}c{i}x{j}" for j in range(35)] + base[first + 35 :]))
+        texts.append(texts[-1] + f" end{draw.random()}")
+    want = matrix_components(texts)
+    made, sets = [], similar._sets
+    monkeypatch.setattr(similar, "_sets", lambda keyed, sketches, wanted, *rest: (made.append(wanted.count()), sets(keyed, sketches, wanted, *rest))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.node: r.component for r in similar.similar_groups(df).collect()}
+    assert [got[i] for i in range(120)] == want and len(set(want)) == 90
+    assert 60 <= made[0] < 75
+
+
+def test_the_bound_on_shared_shingles():
+    """Counts of parts never give less than what two sets share."""
+    draw = np.random.default_rng(16)
+    for n in (0, 1, 5, 63, 64, 300, 2000, 30_000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            every = np.unique(draw.integers(0, 1 << 63, 3 * n + 8).astype(np.uint64))
+            k = int(share * n)
+            a, b = every[:n], np.concatenate([every[:k], every[n : n + int(1.2 * n) - k]])
+            assert similar._most_shared(similar._part_counts(a), similar._part_counts(b)) >= k
+    same = np.arange(0, 300 * 256, 256).astype(np.uint64)  # all in one part
+    assert similar._most_shared(similar._part_counts(same), similar._part_counts(same)) >= 300
+
+
+@pytest.mark.parametrize("tokens", [0, 1_000_000])
+def test_texts_are_not_shuffled(spark, monkeypatch, tmp_path, tokens):
+    """However many rows and tokens there are: what is dropped is sent as bits."""
+    monkeypatch.setattr(similar, "small", lambda df, rows=0: df)
+    monkeypatch.setattr(similar, "_TOKENS", tokens)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, -1)
+        texts = [" ".join(f"w{i % 70}x{j}" for j in range(40)) for i in range(300)]
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/t")
+        kept = similar.drop_near_duplicates(spark.read.parquet(f"{tmp_path}/t"))
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(70))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    finally:
+        spark.conf.set(key, before)
