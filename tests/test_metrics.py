@@ -153,3 +153,13 @@ def test_annotation_pairs_are_only_made_where_they_are_results(spark, monkeypatc
     out = metrics.annotation_relevance(df.where("id % 5 = 3"), df)
     assert sorted(map(tuple, out.collect())) == sorted((a, b) for a in by for b in by if a % 5 == 3 and by[a] & by[b])
     assert "array_intersect" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_one_class_follow_each_other(spark):
+    """Each task gives the pairs of one class of queries together, so that files hold the repeating ids in little room."""
+    rows = [(i, [f"a{i % 5}", "b"]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, annotations array<string>")
+    out = metrics.annotation_relevance(df.where("id < 50"), df)
+    parts = [[r.query_id % 5 for r in p] for p in out.rdd.glom().collect()]
+    assert sum(map(len, parts)) == out.distinct().count() == 50 * 400
+    assert all(sum(x != y for x, y in zip(p, p[1:])) < 5 for p in parts)
