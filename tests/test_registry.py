@@ -60,3 +60,10 @@ def test_whole_texts_are_encoded_and_aligned(spark, tmp_path):
         scores = {r.db_id: r.sw_score for r in run(name)}
         assert scores[0] > scores[1] >= 0
     assert run("sw_pairs")[0].sw_score == scores[0]
+
+
+@pytest.mark.parametrize("name", ["sw_rerank"])
+def test_every_item_is_asked(spark, duck, name):
+    """No item of the benchmark is left out."""
+    want = {r[0] for r in duck.sql("SELECT item_id FROM benchmark WHERE length(text) > 2").fetchall()}
+    assert {r.query_id for r in registry.queries()[name](spark, FOLDER).select("query_id").distinct().collect()} == want
