@@ -62,7 +62,7 @@ def test_whole_texts_are_encoded_and_aligned(spark, tmp_path):
     assert run("sw_pairs")[0].sw_score == scores[0]
 
 
-@pytest.mark.parametrize("name", ["sw_rerank"])
+@pytest.mark.parametrize("name", ["sw_rerank", "sw_seeded"])
 def test_every_item_is_asked(spark, duck, name):
     """No item of the benchmark is left out."""
     want = {r[0] for r in duck.sql("SELECT item_id FROM benchmark WHERE length(text) > 2").fetchall()}
